@@ -28,7 +28,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-PLACES = 1 << 12
+CHUNK = 1 << 18
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,23 +65,18 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seeds: tuple[int, ...], lower: bool) -> list[np.ndarray]:
-    """For each seed a 64-bit hash of each word: a sum of random numbers for (byte, place), mixed with the length."""
-    if not len(starts):
-        return [np.zeros(0, U) for _ in seeds]
-    sizes = ends - starts
-    out = []
-    with np.errstate(over="ignore"):
-        total = int(sizes.sum())
-        within = np.arange(total, dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        letters = data[np.repeat(starts, sizes) + within]
+    """For each seed a 64-bit hash of each word's bytes; A to Z count as a to z where lower is set."""
+    out = [np.empty(len(starts), U) for _ in seeds]
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + CHUNK)))
+        low = int(starts[a])
+        letters = data[low : int(ends[b - 1])]
         if lower:
             letters = LOWER[letters]
-        for seed in seeds:
-            byte, place = _stream(seed, 256), _stream(seed ^ 0x5DEECE66D, PLACES) | U(1)
-            value = byte[letters] * place[within & (PLACES - 1)]
-            if (sizes > PLACES).any():
-                value *= _mix((within // PLACES).astype(U) + U(seed)) | U(1)
-            out.append(_mix(np.add.reduceat(value, np.cumsum(sizes) - sizes) + sizes.astype(U)))
+        for seed, to in zip(seeds, out, strict=True):
+            to[a:b] = Rolling(_stream(seed, 256)[letters], seed ^ 0x5DEECE66D).at(starts[a:b] - low, ends[a:b] - starts[a:b])
+        a = b
     return out
 
 
