@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, warc
+from . import chat, decontaminate, minhash, mixing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_chat_format": chat.op3_chat_format,
+    "op4_minhash_dedup": minhash.op4_minhash_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
