@@ -77,3 +77,16 @@ def need(df: DataFrame, *columns: str) -> None:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns are missing: {missing}; there are {df.columns}")
 
+
+
+#: Buckets of the filter below; its broadcast never holds more rows.
+FILTER_BUCKETS = 1 << 18
+
+
+def narrowed(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key falls into a bucket of a wanted key: all that are wanted, and few others while the
+    wanted are few. A join on the key follows; this only keeps texts out of its shuffle. What is broadcast is
+    bounded by FILTER_BUCKETS whatever the data.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BUCKETS)).cast("int")
+    return df.withColumn("_b", bucket).join(F.broadcast(wanted.select(bucket.alias("_b")).distinct()), "_b", "left_semi").drop("_b")
