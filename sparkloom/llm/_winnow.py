@@ -43,6 +43,25 @@ def segments(rolling: W.Rolling, n_items: int, first: np.ndarray, length: int, g
     return documents[head], starts[head], np.diff(np.append(head, len(starts))), a[head]
 
 
+def halves(one: W.Rolling, two: W.Rolling, n_items: int, first: np.ndarray, length: int, gram: int, half: int):
+    """The segments, each cut where its windows stop to hold the run of `half` items from the anchor on.
+
+    Windows before the cut hold the run of that length which ends with the anchor. Gives for each of the two kinds
+    (document, start, n, g1, g2, h1, h2): the hashes of the anchor, of that run, and two of all the windows' items.
+    """
+    doc, start, count, anchor = segments(one, n_items, first, length, gram)
+    split = np.clip(anchor - (length - half) - start, 0, count)
+    for late in (True, False):
+        s, c = (start, split) if late else (start + split, count - split)
+        ok = np.flatnonzero(c > 0)
+        d, s, c, p = doc[ok], s[ok], c[ok], anchor[ok]
+        with np.errstate(over="ignore"):
+            shape = (c.astype(U) << U(32)) | ((p - s).astype(U) << U(1)) | U(late)
+            h1, h2 = (r.at(s, c + length - 1) ^ W._mix(shape + U(r.seed)) for r in (one, two))
+            g2 = one.at(p + gram - half if late else p, half) ^ U(0x5851F42D4C957F2D if late else 0)
+        yield d, s - first[d], c, one.at(p, gram), g2, h1, h2
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted, disjoint, not touching spans with the same points."""
     out: list[tuple[int, int]] = []

@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._common import narrowed, need, table, written
-from ._winnow import merged, segments
+from ._winnow import halves, merged
 
-U = np.uint64
 LENGTH = 50
 SEEDS = (0xC0FFEE, 0xF00D)
 LAST = 2**63 - 1
@@ -59,31 +58,16 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
                 (one, two), n, first, *_ = _rollings(batch.column(2))
                 ids, ts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
                 shas = [hashlib.sha256(SPACES.sub(b" ", (x or "").encode()).strip(b" ")).hexdigest() for x in batch.column(2).to_pylist()]
-                yield _rows(ids, ts, np.zeros(len(ids), np.int32), np.diff(first), shas=shas)
-                doc, start, count, anchor = segments(one, n, first, length, quarter)
-                # offset of the anchor in the window: up to `cut`, the half-length run from the anchor on lies in the window; beyond, the one that ends with it
-                cut = length - half
-                split = np.clip(anchor - cut - start, 0, count)
-                for late in (True, False):
-                    s = start if late else start + split
-                    c = split if late else count - split
-                    ok = np.flatnonzero(c > 0)
-                    if not len(ok):
-                        continue
-                    d, s, c, p = doc[ok], s[ok], c[ok], anchor[ok]
-                    run_at = p + quarter - half if late else p
-                    with np.errstate(over="ignore"):
-                        shape = (c.astype(U) << U(32)) | ((p - s).astype(U) << U(1)) | U(late)
-                        h1, h2 = (r.at(s, c + length - 1) ^ W._mix(shape + U(seed)) for r, seed in zip((one, two), SEEDS, strict=True))
-                        g2 = one.at(run_at, half) ^ U(0x5851F42D4C957F2D if late else 0)
-                    yield _rows(ids[d], ts[d], (s - first[d]).astype(np.int32), c, g1=one.at(p, quarter), g2=g2, h1=h1, h2=h2)
+                yield _rows(ids, ts, np.zeros(len(ids)), np.diff(first), shas=shas)
+                for d, s, c, g1, g2, h1, h2 in halves(one, two, n, first, length, quarter, half):
+                    yield _rows(ids[d], ts[d], s, c, g1=g1, g2=g2, h1=h1, h2=h2)
 
     return docs.mapInArrow(run, "id bigint, t int, s int, n int, g1 bigint, g2 bigint, h1 bigint, h2 bigint, sha string")
 
 
 def _rows(ids, ts, s, n, shas=None, **hashes) -> pa.RecordBatch:
     m = len(ids)
-    cols = [pa.array(ids, pa.int64()), pa.array(ts, pa.int32()), pa.array(s, pa.int32()), pa.array(np.asarray(n).astype(np.int32))]
+    cols = [pa.array(ids, pa.int64()), pa.array(ts, pa.int32()), pa.array(np.asarray(s).astype(np.int32)), pa.array(np.asarray(n).astype(np.int32))]
     cols += [pa.array(hashes[k].view(np.int64)) if k in hashes else pa.nulls(m, pa.int64()) for k in ("g1", "g2", "h1", "h2")]
     return pa.RecordBatch.from_arrays([*cols, pa.array(shas, pa.string()) if shas else pa.nulls(m, pa.string())], names=["id", "t", "s", "n", "g1", "g2", "h1", "h2", "sha"])
 
@@ -108,14 +92,15 @@ def _windows(reps: DataFrame, length: int) -> DataFrame:
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    """(id, t, n_removed, sha, kept) of (id, t, text, spans of (lo, hi)): the text's words without those spans."""
+    """(id, t, n_removed, sha) of (id, t, text, spans of (lo, hi)): the text's words without those spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i, t, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = [w for w in SPACES.split((text or "").encode()) if w]
-                kept, at, removed = [], 0, 0
+                kept: list[bytes] = []
+                at = removed = 0
                 for lo, hi in merged([(x["lo"], x["hi"]) for x in spans]):
                     kept += words[at:lo]
                     removed += hi - lo
