@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, minhash, mixing, substrings, suffixes, warc
+from . import chat, decontaminate, minhash, mixing, substrings, suffixes, tokens, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_chat_format": chat.op3_chat_format,
     "op4_minhash_dedup": minhash.op4_minhash_dedup,
+    "op6_token_records": tokens.op6_token_records,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
