@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, minhash, mixing, substrings, suffixes, tokens, warc
+from . import chat, decontaminate, embeddings, minhash, mixing, substrings, suffixes, tokens, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_minhash_dedup": minhash.op4_minhash_dedup,
     "op6_token_records": tokens.op6_token_records,
+    "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
