@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, minhash, mixing, substrings, suffixes, tokens, warc
+from . import chat, decontaminate, embeddings, minhash, mixing, quality, substrings, suffixes, tokens, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_chat_format": chat.op3_chat_format,
     "op4_minhash_dedup": minhash.op4_minhash_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_token_records": tokens.op6_token_records,
     "op7_embedding_dedup": embeddings.op7_embedding_dedup,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
