@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import evidence, expression, flow, quality, ranking, space  # noqa: F401
+from ._register import QUERIES, SQL
+
 FLAGSHIP = "evidence_gated_ranking"
-QUERIES: dict = {}
-SQL: dict = {}
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
