@@ -98,13 +98,13 @@ def node_expr(spark: SparkSession, d: str) -> DataFrame:
 
 #: A neutral table of signal chains over brands, between region types.
 CHAINS = [
-    ("Brand#11", "Brand#12", "Brand#13", "Brand#14", "ASIA", "EUROPE", "path_a"),
-    ("Brand#11", "Brand#15", "Brand#21", "Brand#22", "ASIA", "EUROPE", "path_a"),
-    ("Brand#23", "Brand#24", "Brand#25", "Brand#31", "EUROPE", "AMERICA", "path_b"),
-    ("Brand#32", "Brand#33", "Brand#34", "Brand#35", "AMERICA", "AFRICA", "path_c"),
-    ("Brand#41", "Brand#42", "Brand#43", "Brand#44", "AFRICA", "ASIA", "path_d"),
-    ("Brand#45", "Brand#51", "Brand#52", "Brand#53", "MIDDLE EAST", "ASIA", "path_e"),
-    ("Brand#54", "Brand#55", "Brand#99", "Brand#11", "ASIA", "ASIA", "path_f"),
+    ("Brand#1", "Brand#2", "Brand#3", "Brand#4", "ASIA", "EUROPE", "path_a"),
+    ("Brand#1", "Brand#5", "Brand#6", "Brand#7", "ASIA", "EUROPE", "path_a"),
+    ("Brand#8", "Brand#9", "Brand#10", "Brand#11", "EUROPE", "AMERICA", "path_b"),
+    ("Brand#12", "Brand#13", "Brand#14", "Brand#15", "AMERICA", "AFRICA", "path_c"),
+    ("Brand#16", "Brand#17", "Brand#18", "Brand#19", "AFRICA", "ASIA", "path_d"),
+    ("Brand#20", "Brand#21", "Brand#22", "Brand#23", "MIDDLE EAST", "ASIA", "path_e"),
+    ("Brand#24", "Brand#25", "Brand#99", "Brand#1", "ASIA", "ASIA", "path_f"),
 ]
 CHAIN_COLUMNS = ("ligand", "receptor", "tf", "target", "source_type", "target_type", "pathway")
 CHAINS_SQL = "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in CHAINS) + ") AS lr(" + ", ".join(CHAIN_COLUMNS) + ")"

@@ -10,7 +10,7 @@ from ._register import query
 from .bindings import CELLS, EXPR, FLOW, POINTS, cells, expr, flow, nodes, points, table
 
 #: An ordered taxonomy over part types.
-TYPE_RULES = [(["steel", "copper"], "metal_hard"), (["brass", "tin", "nickel"], "metal_soft"), (["polished", "plated"], "finished")]
+TYPE_RULES = [(["standard", "economy"], "basic_plain"), (["promo"], "basic_offer"), (["large", "medium"], "sized")]
 TYPE_CASE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(p_type), '{t}')" for t in ts) + f" THEN '{n}'" for ts, n in TYPE_RULES) + " ELSE 'Unknown' END"
 
 
@@ -30,10 +30,10 @@ def schema_issue_report(spark, d):
     return spark.createDataFrame([(i,) for i in issues], "issue string")
 
 
-@query("label_taxonomy_map", f"SELECT {TYPE_CASE} AS level1, CASE {TYPE_CASE} WHEN 'metal_hard' THEN 'metal' WHEN 'metal_soft' THEN 'metal' ELSE {TYPE_CASE} END AS level0, count(*)::BIGINT AS n FROM part GROUP BY ALL")
+@query("label_taxonomy_map", f"SELECT {TYPE_CASE} AS level1, CASE {TYPE_CASE} WHEN 'basic_plain' THEN 'basic' WHEN 'basic_offer' THEN 'basic' ELSE {TYPE_CASE} END AS level0, count(*)::BIGINT AS n FROM part GROUP BY ALL")
 def label_taxonomy_map(spark, d):
     parts = table(spark, d, "part").withColumn("level1", V.label_by_rules(F.col("p_type"), TYPE_RULES))
-    return V.map_names(parts, "level1", {"metal_hard": "metal", "metal_soft": "metal"}, "level0").groupBy("level1", "level0").agg(F.count(F.lit(1)).alias("n"))
+    return V.map_names(parts, "level1", {"basic_plain": "basic", "basic_offer": "basic"}, "level0").groupBy("level1", "level0").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("first_nonempty_label", "SELECT p_partkey, coalesce(nullif(trim(CASE WHEN p_size % 3 = 0 THEN ' ' WHEN p_size % 3 = 1 THEN 'NA' ELSE p_brand END), CASE WHEN p_size % 3 = 1 THEN 'NA' ELSE '' END), p_type) AS label FROM part")
