@@ -38,7 +38,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them from there, which cuts the lineage.
 
-    Readers of lost executors' results find the files again; nothing is computed twice.
+    Readers of lost executors' results find the files again; nothing is computed twice. A join with a written
+    aggregate has plain exchanges on both sides, which adaptive execution needs to split a hot key.
     """
     spark = df.sparkSession
     path = scratch(spark, name)

@@ -238,11 +238,11 @@ def near_vectors(table: DataFrame, *, cosine: float = COSINE, axes: int = AXES,
     if found is None:
         return rest
     found = written(found, "found")
-    counts = found.filter("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("n"))
-    known = components(found.filter("kind = 1").select("a", "b")).select(F.col("id").alias("cid"), F.col("component").alias("root"))
+    counts = written(found.filter("kind = 0").groupBy(F.col("a").alias("cid")).agg(F.sum("b").alias("n")), "counts")
+    known = written(components(found.filter("kind = 1").select("a", "b")).select(F.col("id").alias("cid"), F.col("component").alias("root")), "known")
     linked = of_row.join(counts, "cid", "left").join(known, "cid", "left").select("vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).cast("bigint").alias("n_links"), F.coalesce("root", "cid").alias("root"))
     linked = written(linked, "linked")
-    least = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    least = written(linked.groupBy("root").agg(F.min("vec_id").alias("component_id")), "least")
     out = linked.join(least, "root").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return out.union(rest)
 

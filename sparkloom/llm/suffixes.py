@@ -277,7 +277,7 @@ def repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, s
     rows = written(_scan(keyed, length, gram), "segments")
     documents = rows.filter("g2 is null").select("id", "t", F.col("n").cast("bigint").alias("n_bytes"), "sha")
     level = rows.filter("g2 is not null").drop("sha")
-    several = level.groupBy("g2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("g2")
+    several = written(level.groupBy("g2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("g2"), "several")
     level = written(level.join(several, "g2", "left_semi"), "level")
     classes = written(level.groupBy("g2", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "t", "s")).alias("least")), "classes")
     runs = classes.groupBy("g2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("g2", F.ceil(F.col("_n") / shard_segments).cast("int").alias("parts"))
