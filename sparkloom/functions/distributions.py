@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _normal_sf(z: np.ndarray) -> np.ndarray:
@@ -42,11 +43,11 @@ def t_two_sided_p(t: float, dof: float) -> float:
     return math.nan if t != t or not dof > 0 else incomplete_beta(dof / 2, 0.5, dof / (dof + t * t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     return pd.Series(_normal_sf(z.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([t_two_sided_p(a, b) for a, b in zip(t.to_numpy(float), dof.to_numpy(float), strict=True)]).replace({np.nan: None}).astype(float)

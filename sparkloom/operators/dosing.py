@@ -75,7 +75,7 @@ def calibrate(summary: DataFrame) -> DataFrame:
     entries = F.transform(F.map_entries("dose_effect"), lambda x: F.struct(x["key"].cast("double").alias("dose"), F.abs(x["value"]).alias("e")))
     rows = summary.select(F.abs("mean_effect").alias("m"), entries.alias("x")).withColumn("half", 0.5 * F.array_max(F.col("x.e")))
     rows = rows.select("m", F.array_min(F.transform("x", lambda v: F.struct(F.round(F.abs(v["e"] - F.col("half")), 9).alias("d"), v["dose"].alias("dose"))))["dose"].alias("dose"))
-    held = lambda c, lo, hi: F.coalesce(F.least(F.lit(hi), F.greatest(F.lit(lo), F.avg(c))), F.lit(1.0))
+    held = lambda c, lo, hi: F.when(F.count(c) == 0, 1.0).otherwise(F.least(F.lit(hi), F.greatest(F.lit(lo), F.avg(c))))
     return rows.agg(held("m", 0.1, 2.0).alias("emax"), held("dose", 0.05, 20.0).alias("ec50"))
 
 
