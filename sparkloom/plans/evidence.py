@@ -70,24 +70,24 @@ def distance_calibration(spark, d):
     return rounded(E.calibration_error(v, "x", "p", "o"))
 
 
-YEARS = f"SELECT y AS repeat, src, dst, n / (sum(n) OVER (PARTITION BY y, src))::DOUBLE AS freq FROM (SELECT year(l_shipdate) AS y, c.c_nationkey AS src, s.s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c.c_custkey JOIN supplier s ON l_suppkey = s.s_suppkey WHERE c.c_nationkey < 8 AND s.s_nationkey < 8 GROUP BY ALL)"
+YEARS = f"SELECT y AS repeat, src, dst, n / (sum(n) OVER (PARTITION BY y, src))::DOUBLE AS freq FROM (SELECT year(l_shipdate) AS y, c.c_nationkey AS src, s.s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer c ON o_custkey = c.c_custkey JOIN supplier s ON l_suppkey = s.s_suppkey GROUP BY ALL)"
 
 
 def yearly(spark, d):
     from pyspark.sql import Window
 
-    n = nation_lines(spark, d).filter("src < 8 and dst < 8").groupBy(F.year("l_shipdate").alias("repeat"), "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    n = nation_lines(spark, d).groupBy(F.year("l_shipdate").alias("repeat"), "src", "dst").agg(F.count(F.lit(1)).alias("n"))
     return n.select("repeat", "src", "dst", (F.col("n") / F.sum("n").over(Window.partitionBy("repeat", "src"))).alias("freq"))
 
 
-@query("edge_stability_fits", f"WITH v AS (SELECT src, dst, freq - 0.12 AS value FROM ({YEARS})), s AS (SELECT src, dst, quantile_cont(value, 0.5) AS m, avg((abs(value) > 0.02)::INT) AS f, count(*) FILTER (abs(value) > 0.02) AS n, count(*) FILTER (value > 0.02) AS p FROM v GROUP BY ALL) SELECT src, dst, round(m, 6) AS median_effect, round(f, 6) AS selection_frequency, round(CASE WHEN n > 0 THEN greatest(p, n - p) / n::DOUBLE ELSE 0 END, 6) AS direction_agreement, round(abs(m) * f * CASE WHEN n > 0 THEN greatest(p, n - p) / n::DOUBLE ELSE 0 END, 6) AS score, n = 0 AS abstains FROM s")
+@query("edge_stability_fits", f"WITH v AS (SELECT src, dst, freq - 0.04 AS value FROM ({YEARS})), s AS (SELECT src, dst, quantile_cont(value, 0.5) AS m, avg((abs(value) > 0.01)::INT) AS f, count(*) FILTER (abs(value) > 0.01) AS n, count(*) FILTER (value > 0.01) AS p FROM v GROUP BY ALL) SELECT src, dst, round(m, 6) AS median_effect, round(f, 6) AS selection_frequency, round(CASE WHEN n > 0 THEN greatest(p, n - p) / n::DOUBLE ELSE 0 END, 6) AS direction_agreement, round(abs(m) * f * CASE WHEN n > 0 THEN greatest(p, n - p) / n::DOUBLE ELSE 0 END, 6) AS score, n = 0 AS abstains FROM s")
 def edge_stability_fits(spark, d):
-    runs = yearly(spark, d).select("repeat", F.lit("all").alias("context"), "src", "dst", (F.col("freq") - 0.12).alias("value"))
-    return rounded(E.stability_table(runs, 0.02))
+    runs = yearly(spark, d).select("repeat", F.lit("all").alias("context"), "src", "dst", (F.col("freq") - 0.04).alias("value"))
+    return rounded(E.stability_table(runs, 0.01))
 
 
-STAB = f"""WITH y AS ({YEARS}), nu AS (SELECT r AS run, src, dst, {DRAW.format("'null', r::VARCHAR, src::VARCHAR, dst::VARCHAR")} * 0.25 AS freq FROM (SELECT DISTINCT src, dst FROM y) CROSS JOIN (SELECT unnest(range(12)) AS r)),
-o AS (SELECT src, dst, avg(freq) AS m, stddev_pop(freq) AS sd, avg((freq >= 0.1)::INT) AS ss FROM y GROUP BY ALL), n AS (SELECT nu.src, nu.dst, avg(freq) AS nm, quantile_cont(freq, 0.95) AS p95, count(*)::BIGINT AS k, count(*) FILTER (freq >= m) AS ge FROM nu JOIN o ON o.src = nu.src AND o.dst = nu.dst GROUP BY ALL),
+STAB = f"""WITH y AS ({YEARS}), nu AS (SELECT r AS run, src, dst, {DRAW.format("'null', r::VARCHAR, src::VARCHAR, dst::VARCHAR")} * 0.08 AS freq FROM (SELECT DISTINCT src, dst FROM y) CROSS JOIN (SELECT unnest(range(12)) AS r)),
+o AS (SELECT src, dst, avg(freq) AS m, stddev_pop(freq) AS sd, avg((freq >= 0.035)::INT) AS ss FROM y GROUP BY ALL), n AS (SELECT nu.src, nu.dst, avg(freq) AS nm, quantile_cont(freq, 0.95) AS p95, count(*)::BIGINT AS k, count(*) FILTER (freq >= m) AS ge FROM nu JOIN o ON o.src = nu.src AND o.dst = nu.dst GROUP BY ALL),
 p AS (SELECT o.*, n.nm, n.p95, n.k, (ge + 1) / (k + 1)::DOUBLE AS p FROM o JOIN n ON o.src = n.src AND o.dst = n.dst), r AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS rk, count(*) OVER () AS total FROM p), q AS (SELECT *, least(1, min(p * total / rk) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)"""
 
 
@@ -95,15 +95,15 @@ p AS (SELECT o.*, n.nm, n.p95, n.k, (ge + 1) / (k + 1)::DOUBLE AS p FROM o JOIN
 def edge_stability_table(spark, d):
     y = yearly(spark, d)
     pairs = y.select("src", "dst").distinct()
-    nulls = pairs.crossJoin(spark.range(12).withColumnRenamed("id", "run")).select("run", "src", "dst", (E.draw(F.lit("null"), F.col("run"), F.col("src"), F.col("dst")) * 0.25).alias("freq"))
-    out = E.edge_stability(pairs.withColumn("base_edge", F.lit(True)), y, nulls, 0.1, 0.5)
+    nulls = pairs.crossJoin(spark.range(12).withColumnRenamed("id", "run")).select("run", "src", "dst", (E.draw(F.lit("null"), F.col("run"), F.col("src"), F.col("dst")) * 0.08).alias("freq"))
+    out = E.edge_stability(pairs.withColumn("base_edge", F.lit(True)), y, nulls, 0.035, 0.5)
     return rounded(out.select("src", "dst", "mean_freq", "seed_support", "null_p95", "n_nulls", "p", "q", "control_pass", "stability_class"))
 
 
-@query("null_check", "SELECT 20::BIGINT AS n_nulls, round(avg(v), 6) AS null_mean, round((count(*) FILTER (v >= 9) + 1) / 21.0::DOUBLE, 6) AS p, round(9 - avg(v), 6) AS advantage, (count(*) FILTER (v >= 9) + 1) / 21.0 <= 0.3 AND 9 - avg(v) > 0 AS passes FROM (SELECT value AS v FROM events WHERE event_id < 20)")
+@query("null_check", "SELECT count(*)::BIGINT AS n_nulls, round(avg(v), 6) AS null_mean, round((count(*) FILTER (v >= 11) + 1) / (count(*) + 1)::DOUBLE, 6) AS p, round(11 - avg(v), 6) AS advantage, (count(*) FILTER (v >= 11) + 1) / (count(*) + 1)::DOUBLE <= 0.3 AND 11 - avg(v) > 0 AS passes FROM (SELECT avg(value) AS v FROM events GROUP BY user_id)")
 def null_check(spark, d):
-    nulls = table(spark, d, "events").filter("event_id < 20").select("value")
-    return rounded(E.empirical_check(9.0, nulls, max_p=0.3))
+    nulls = table(spark, d, "events").groupBy("user_id").agg(F.avg("value").alias("value")).select("value")
+    return rounded(E.empirical_check(11.0, nulls, max_p=0.3))
 
 
 @query("label_permutation", f"WITH c AS ({CELLS}), r AS (SELECT cell_id, label FROM c WHERE label <> '5-LOW'), a AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) AS rn FROM r), b AS (SELECT label AS permuted, row_number() OVER (ORDER BY {DRAW.format(chr(39) + 'perm' + chr(39) + ', cell_id::VARCHAR')}, cell_id) AS rn FROM r) SELECT cell_id, permuted FROM a JOIN b USING (rn) UNION ALL SELECT cell_id, label FROM c WHERE label = '5-LOW'")
@@ -120,11 +120,11 @@ def cluster_bootstrap(spark, d):
     return rounded(E.cluster_bootstrap(u, "c_nationkey", "x", 200, "boot"), 4)
 
 
-SAMPLES = f"SELECT DISTINCT repeat AS sample, src, dst FROM ({YEARS}) WHERE freq > 0.12"
+SAMPLES = f"SELECT DISTINCT repeat AS sample, src, dst FROM ({YEARS}) WHERE freq > 0.045"
 
 
 def samples(spark, d):
-    return yearly(spark, d).filter("freq > 0.12").select(F.col("repeat").alias("sample"), "src", "dst")
+    return yearly(spark, d).filter("freq > 0.045").select(F.col("repeat").alias("sample"), "src", "dst")
 
 
 @query("cross_sample_edges", f"SELECT src, dst, round(count(*) / 7.0::DOUBLE, 6) AS frequency, count(*) / 7.0 > 0.5 AS robust FROM ({SAMPLES}) GROUP BY ALL")

@@ -39,11 +39,11 @@ def effective_donors(spark, d):
     return rounded(X.effective_donors(cells(spark, d), ["cell_type", "response"]))
 
 
-BY_DONOR = f"SELECT gene, cell_type, donor, response, value FROM ({EXPR}) JOIN ({CELLS}) USING (cell_id) WHERE gene LIKE 'Brand#1%'"
+BY_DONOR = f"SELECT gene, cell_type, donor, response, value FROM ({EXPR}) JOIN ({CELLS}) USING (cell_id)"
 
 
 def donor_values(spark, d):
-    return expr(spark, d).filter("gene like 'Brand#1%'").join(cells(spark, d), "cell_id")
+    return expr(spark, d).join(cells(spark, d), "cell_id")
 
 
 @query("donor_direction_consistency", f"""WITH m AS (SELECT gene, donor, response, avg(value) AS m FROM ({BY_DONOR}) WHERE response IN ('F', 'O') GROUP BY ALL),
@@ -111,7 +111,7 @@ def rank_sum_p_values(spark, d):
     return R.benjamini_hochberg(out, "p", ["cell_type"]).select("gene", "cell_type", "z", "p", "q")
 
 
-@query("control_standardized", f"WITH v AS (SELECT cell_id, gene, value, response = 'O' AS control FROM ({EXPR}) JOIN ({CELLS}) USING (cell_id) WHERE gene LIKE 'Brand#1%'), s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS d FROM v WHERE control GROUP BY gene) SELECT gene, control, round(avg((value - m) / CASE WHEN d > 1e-6 THEN d ELSE 1 END), 6) + 0.0 AS mean_z, count(*)::BIGINT AS n FROM v JOIN s USING (gene) GROUP BY ALL")
+@query("control_standardized", f"WITH v AS (SELECT cell_id, gene, value, response = 'O' AS control FROM ({EXPR}) JOIN ({CELLS}) USING (cell_id)), s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS d FROM v WHERE control GROUP BY gene) SELECT gene, control, round(avg((value - m) / CASE WHEN d > 1e-6 THEN d ELSE 1 END), 6) + 0.0 AS mean_z, count(*)::BIGINT AS n FROM v JOIN s USING (gene) GROUP BY ALL")
 def control_standardized(spark, d):
     rows = donor_values(spark, d).withColumn("control", F.col("response") == "O")
     z = X.standardize(rows, F.col("control"), ["gene"], "value")

@@ -130,9 +130,9 @@ def paired_universe(spark, d):
     return out.select("source", "target", F.round("score_a", 6).alias("score_a"), F.round("score_b", 6).alias("score_b"), "is_reference", "is_eligible")
 
 
-@query("label_fallback_join", "SELECT c_name AS key, s_name AS label FROM customer LEFT JOIN supplier ON substring(c_name, 10) = substring(s_name, 10) WHERE c_custkey <= 100")
+@query("label_fallback_join", "SELECT c_name AS key, s_name AS label FROM customer LEFT JOIN supplier ON substring(c_name, 10) = substring(s_name, 10)")
 def label_fallback_join(spark, d):
-    rows = table(spark, d, "customer").filter("c_custkey <= 100").select(F.regexp_replace("c_name", "#", "_").alias("key"))
+    rows = table(spark, d, "customer").select(F.regexp_replace("c_name", "#", "_").alias("key"))
     labels = table(spark, d, "supplier").select(F.regexp_replace("s_name", "#", "_").alias("key"), F.col("s_name").alias("label"))
     return V.join_or_fallback(rows, labels, "key", "label").select(F.regexp_replace("key", "_", "#").alias("key"), "label")
 
@@ -177,18 +177,18 @@ def grid_means(spark, d):
     return S.grid_means(points(spark, d), "x", "y", 100.0, ["value"]).withColumn("value", F.round("value", 4))
 
 
-GRID_LABEL = "SELECT gx, gy, round(avg(value), 6) AS value, CASE WHEN avg(b) >= avg(m) THEN 'b' ELSE 'm' END AS label FROM (SELECT floor(x / 100) AS gx, floor(y / 100) AS gy, value, (cell_type = 'BUILDING')::INT AS b, (cell_type = 'MACHINERY')::INT AS m FROM {}) GROUP BY ALL"
+GRID_LABEL = "SELECT gx, gy, round(avg(v), 6) AS value, CASE WHEN avg(a) >= avg(b) THEN 'a' ELSE 'b' END AS label FROM (SELECT floor(x / 100) AS gx, floor(y / 100) AS gy, {} AS v, (cell_type = '{}')::INT AS a, (cell_type = '{}')::INT AS b FROM p) GROUP BY ALL"
 
 
-@query("grid_concordance", f"WITH p AS ({POINTS}), a AS ({GRID_LABEL.format('(SELECT * FROM p WHERE id % 2 = 0)')}), b AS ({GRID_LABEL.format('(SELECT * FROM p WHERE id % 2 = 1)')}) SELECT count(*)::BIGINT AS n, round(corr(a.value, b.value), 6) AS pearson, round(avg((a.label = b.label)::INT), 6) AS concordance FROM a JOIN b USING (gx, gy)")
+@query("grid_concordance", f"WITH p AS ({POINTS}), a AS ({GRID_LABEL.format('value', 'BUILDING', 'MACHINERY')}), b AS ({GRID_LABEL.format('x + y', 'HOUSEHOLD', 'FURNITURE')}) SELECT count(*)::BIGINT AS n, round(corr(a.value, b.value), 6) AS pearson, round(avg((a.label = b.label)::INT), 6) AS concordance FROM a JOIN b USING (gx, gy)")
 def grid_concordance(spark, d):
-    def side(rest):
-        p = points(spark, d).filter(F.col("id") % 2 == rest)
-        p = p.select(F.floor(F.col("x") / 100).alias("gx"), F.floor(F.col("y") / 100).alias("gy"), "value", (F.col("cell_type") == "BUILDING").cast("int").alias("b"), (F.col("cell_type") == "MACHINERY").cast("int").alias("m"))
-        means = p.groupBy("gx", "gy").agg(F.round(F.avg("value"), 6).alias("value"), F.avg("b").alias("b"), F.avg("m").alias("m"))
-        return means.select("gx", "gy", "value", S.dominant(["b", "m"]).alias("label"))
+    """Two annotations of one grid: a value and a dominant label of two types each."""
+    def side(value, first, second):
+        p = points(spark, d).select(F.floor(F.col("x") / 100).alias("gx"), F.floor(F.col("y") / 100).alias("gy"), value.alias("value"), (F.col("cell_type") == first).cast("int").alias("a"), (F.col("cell_type") == second).cast("int").alias("b"))
+        means = p.groupBy("gx", "gy").agg(F.round(F.avg("value"), 6).alias("value"), F.avg("a").alias("a"), F.avg("b").alias("b"))
+        return means.select("gx", "gy", "value", S.dominant(["a", "b"]).alias("label"))
 
-    out = S.grid_concordance(side(0), side(1))
+    out = S.grid_concordance(side(F.col("value"), "BUILDING", "MACHINERY"), side(F.col("x") + F.col("y"), "HOUSEHOLD", "FURNITURE"))
     return out.select("n", F.round("pearson", 6).alias("pearson"), F.round("concordance", 6).alias("concordance"))
 
 

@@ -67,19 +67,18 @@ def correlation_network(spark, d):
     return rounded(P.correlation_edges(expr(spark, d), "cell_id", "gene", "value", -0.035))
 
 
-def vectors(spark, d, rest=None, of=10):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return e if rest is None else e.filter(F.col("id") % of == rest)
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
 VEC = "SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings"
-VKNN = f"SELECT id, neighbor, rank FROM (SELECT a.id, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY {{}}, b.id) AS rank FROM ({VEC}) a JOIN ({VEC}) b ON a.id <> b.id WHERE a.id % 10 = 0) WHERE rank <= 10"
+VKNN = f"SELECT id, neighbor, rank FROM (SELECT a.id, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY {{}}, b.id) AS rank FROM ({VEC}) a JOIN ({VEC}) b ON a.id <> b.id) WHERE rank <= 10"
 
 
 def _vector_knn(spark, d, order):
     from pyspark.sql import Window
 
-    pairs = P.vector_pairs(vectors(spark, d, 0).select("id", "v"), vectors(spark, d).select("id", "v"))
+    pairs = P.vector_pairs(vectors(spark, d).select("id", "v"), vectors(spark, d).select("id", "v"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter("rank <= 10").select("id", "neighbor", "rank")
 
 
@@ -89,7 +88,7 @@ BY_DOT = "round(-list_dot_product(a.v, b.v), 6)"
 
 @query("embedding_knn", VKNN.format(BY_D2))
 def embedding_knn(spark, d):
-    """Queries are the vectors whose id is divisible by ten, against all."""
+    """Every vector against all others."""
     return _vector_knn(spark, d, [F.round("d2", 6), F.col("neighbor")])
 
 
@@ -99,20 +98,20 @@ def knn_preservation(spark, d):
 
 
 DIM = 64
-MEANS = f"SELECT label, [{', '.join(f'avg(v[{i + 1}])' for i in range(DIM))}] AS m FROM ({VEC}) WHERE id % 2 = 0 GROUP BY label"
-TRANSFER = f"WITH p AS ({MEANS}), s AS (SELECT id, t.label AS truth, p.label, list_cosine_similarity(t.v, p.m) AS s FROM ({VEC}) t, p WHERE id % 2 = 1) SELECT id, truth, arg_max(label, (round(s, 9), -label)) AS predicted, exp(max(s)) / sum(exp(s)) AS confidence FROM s GROUP BY id, truth"
+MEANS = f"SELECT label, [{', '.join(f'avg(v[{i + 1}])' for i in range(DIM))}] AS m FROM ({VEC}) GROUP BY label"
+TRANSFER = f"WITH p AS ({MEANS}), s AS (SELECT id, t.label AS truth, p.label, list_cosine_similarity(t.v, p.m) AS s FROM ({VEC}) t, p) SELECT id, truth, arg_max(label, (round(s, 9), -label)) AS predicted, exp(max(s)) / sum(exp(s)) AS confidence FROM s GROUP BY id, truth"
 
 
 @query("label_transfer", f"SELECT id, predicted, round(confidence, 6) AS confidence FROM ({TRANSFER})")
 def label_transfer(spark, d):
-    protos = P.prototypes(vectors(spark, d, 0, 2), "label", DIM)
-    return rounded(P.label_transfer(vectors(spark, d, 1, 2).select("id", "v"), protos))
+    protos = P.prototypes(vectors(spark, d), "label", DIM)
+    return rounded(P.label_transfer(vectors(spark, d).select("id", "v"), protos))
 
 
 @query("prediction_qc", f"WITH t AS ({TRANSFER}), l AS (SELECT truth AS l FROM t UNION SELECT predicted FROM t), f AS (SELECT l, 2.0 * count(*) FILTER (truth = l AND predicted = l) / (count(*) FILTER (truth = l) + count(*) FILTER (predicted = l)) AS f FROM t, l GROUP BY l) SELECT round((SELECT avg((truth = predicted)::INT) FROM t), 6) AS accuracy, round(avg(f), 6) AS macro_f1 FROM f")
 def prediction_qc(spark, d):
-    protos = P.prototypes(vectors(spark, d, 0, 2), "label", DIM)
-    out = P.label_transfer(vectors(spark, d, 1, 2).select("id", "v"), protos).join(vectors(spark, d, 1, 2).select("id", "label"), "id")
+    protos = P.prototypes(vectors(spark, d), "label", DIM)
+    out = P.label_transfer(vectors(spark, d).select("id", "v"), protos).join(vectors(spark, d).select("id", "label"), "id")
     return rounded(P.accuracy_f1(out, "label", "predicted"))
 
 
@@ -124,9 +123,9 @@ def clustering_agreement(spark, d):
     return rounded(P.clustering_agreement(rows, "a", "b"))
 
 
-@query("within_between_separation", f"WITH p AS (SELECT sqrt({BY_D2}) AS distance, a.label = b.label AS same FROM ({VEC}) a JOIN ({VEC}) b ON a.id <> b.id WHERE a.id % 10 = 0), s AS (SELECT avg(distance) FILTER (same) AS within, avg(distance) FILTER (NOT same) AS between FROM p) SELECT round(within, 5) AS within, round(between, 5) AS between, round(between / within, 5) AS separation FROM s")
+@query("within_between_separation", f"WITH p AS (SELECT sqrt({BY_D2}) AS distance, a.label = b.label AS same FROM ({VEC}) a JOIN ({VEC}) b ON a.id <> b.id), s AS (SELECT avg(distance) FILTER (same) AS within, avg(distance) FILTER (NOT same) AS between FROM p) SELECT round(within, 5) AS within, round(between, 5) AS between, round(between / within, 5) AS separation FROM s")
 def within_between_separation(spark, d):
-    pairs = P.vector_pairs(vectors(spark, d, 0).select("id", "v"), vectors(spark, d).select("id", "v"))
+    pairs = P.vector_pairs(vectors(spark, d).select("id", "v"), vectors(spark, d).select("id", "v"))
     label = vectors(spark, d).select("id", "label")
     pairs = pairs.join(label, "id").join(label.toDF("neighbor", "other"), "neighbor")
     return rounded(P.separation(pairs.select(F.sqrt(F.round("d2", 6)).alias("distance"), (F.col("label") == F.col("other")).alias("same"))), 5)
