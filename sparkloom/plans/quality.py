@@ -210,7 +210,7 @@ def name_combinations(spark, d):
     return S.combinations(table(spark, d, "region").select(F.col("r_name").alias("name")), 3).select(F.array_join("combo", "+").alias("combo"), "size")
 
 
-@query("set_overlap", f"WITH a AS (SELECT DISTINCT src, dst FROM ({FLOW}) WHERE qty > 2500), b AS (SELECT DISTINCT src, dst FROM ({FLOW}) WHERE n > 100) SELECT (SELECT count(*) FROM a)::BIGINT AS n_a, (SELECT count(*) FROM b)::BIGINT AS n_b, (SELECT count(*) FROM a JOIN b USING (src, dst))::BIGINT AS n_both, round((SELECT count(*) FROM a JOIN b USING (src, dst)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b))::DOUBLE, 6) AS jaccard")
+@query("set_overlap", f"WITH a AS (SELECT DISTINCT src, dst FROM ({FLOW}) WHERE qty > 2500), b AS (SELECT DISTINCT src, dst FROM ({FLOW}) WHERE n > 100) SELECT (SELECT count(*) FROM a)::BIGINT AS n_a, (SELECT count(*) FROM b)::BIGINT AS n_b, (SELECT count(*) FROM a JOIN b USING (src, dst))::BIGINT AS n_both, coalesce(round((SELECT count(*) FROM a JOIN b USING (src, dst)) / nullif((SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), 0)::DOUBLE, 6), 0) AS jaccard")
 def set_overlap(spark, d):
     f = flow(spark, d)
     return S.jaccard(f.filter("qty > 2500"), f.filter("n > 100"), ["src", "dst"]).withColumn("jaccard", F.round("jaccard", 6))
