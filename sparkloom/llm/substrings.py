@@ -30,13 +30,13 @@ SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 STEP = 4 << 20
 
 
-def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about STEP bytes of text; a longer text is one slice."""
+def _pieces(batch: pa.RecordBatch, text: int, step: int = STEP) -> Iterator[pa.RecordBatch]:
+    """Slices of about `step` bytes of text; a longer text is one slice."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)
     ends = np.cumsum(np.asarray(sizes))
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP)))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step)))
         yield batch.slice(a, b - a)
         a = b
 

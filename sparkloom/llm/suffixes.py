@@ -30,7 +30,9 @@ GRAM = 64
 SEEDS = (0xBEEF, 0xCAFE)
 #: Segments of one run that go to one shard at most, and bytes of text at which a shard is sorted.
 SHARD_SEGMENTS = 4096
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+#: Bytes of text that are hashed at once; a longer text is whole.
+STEP = 1 << 20
 LANES = 4096
 SCHEMA = "id bigint, t int, lo int, hi int, g2 bigint, part int, prints binary"
 
@@ -128,7 +130,7 @@ def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _pieces(whole, 2):
+            for batch in _pieces(whole, 2, STEP):
                 data, offsets = W.buffers(batch.column(2))
                 ids, ts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
                 shas = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -154,14 +156,14 @@ def _slices(texts: DataFrame, length: int) -> DataFrame:
         names = ["g2", "salt", "parts", "id", "t", "s", "n", "piece"]
         types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for whole in batches:
-            for batch in _pieces(whole, 2):
+            for batch in _pieces(whole, 2, STEP):
                 rows, held = [], 0
                 for i, t, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     data = (text or "").encode()
                     for x in spans:
                         rows.append((x["g2"], x["salt"], x["parts"], i, t, x["s"], x["n"], data[x["s"] : x["s"] + x["n"] + length - 1]))
                         held += len(rows[-1][-1])
-                        if held > 4 << 20:
+                        if held > STEP:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                             rows, held = [], 0
                 if rows:
