@@ -20,15 +20,15 @@ from sparkloom.operators import validate as V
 
 
 def test_candidate_pool_rules(spark):
-    rows = [("A", "neu", "x", 1.0, 0.01), ("A", "icb", "x", 0.8, 0.03), ("B", "neu", "x", -0.7, 0.02), ("C", "ifng", "y", 0.5, None), ("D", "neu", "x", 1.0, None), ("D", "neu", "y", -1.0, None), ("E", "neu", "x", 0.0, 0.5), ("nan", "neu", "x", 9.0, 0.0), (None, "neu", "x", 9.0, 0.0)]
+    rows = [("A", "one", "x", 1.0, 0.01), ("A", "two", "x", 0.8, 0.03), ("B", "one", "x", -0.7, 0.02), ("C", "three", "y", 0.5, None), ("D", "one", "x", 1.0, None), ("D", "one", "y", -1.0, None), ("E", "one", "x", 0.0, 0.5), ("nan", "one", "x", 9.0, 0.0), (None, "one", "x", 9.0, 0.0)]
     effects = spark.createDataFrame(rows, "gene string, source string, cell_type string, effect double, p double")
-    pool = {r["gene"]: r for r in R.candidate_pool(effects, sources=("neu", "icb", "ifng")).collect()}
+    pool = {r["gene"]: r for r in R.candidate_pool(effects, sources=("one", "two", "three")).collect()}
     assert set(pool) == set("ABCDE")
     assert pool["A"]["source_count"] == 2 and pool["A"]["min_p"] == 0.01
     assert pool["D"]["direction_consistency"] == 0.5  # signs cancel
     assert pool["C"]["min_p"] == 1.0 and pool["C"]["neg_log10_p"] == 0.0
     assert pool["E"]["direction_consistency"] == 0.5  # a zero effect has no sign
-    ranked = R.evidence_gated_rank(R.candidate_pool(effects, sources=("neu", "icb", "ifng"))).orderBy("rank").collect()
+    ranked = R.evidence_gated_rank(R.candidate_pool(effects, sources=("one", "two", "three"))).orderBy("rank").collect()
     assert ranked[0]["gene"] == "A" and [r["rank"] for r in ranked] == [1, 2, 3, 4, 5] and ranked[0]["final_score"] == 1.0
 
 
