@@ -10,7 +10,10 @@ any record can be read at once, in any order.
 
 from __future__ import annotations
 
+import array
+import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -27,8 +30,8 @@ END_ID = 1
 ROLL = 512 << 20
 READ_RECORDS = 2048
 OUT_BYTES = 4 << 20
-CACHED_WORDS = 600_000
-CACHED_PIECES = 400_000
+CACHED_WORDS = 1_200_000
+CACHED_PIECES = 800_000
 MASK = 0xA282EAD8
 NO_ID, WIDE = 1, 2
 MANIFEST = "shard bigint, file string, bytes bigint, records bigint, tokens bigint"
@@ -59,8 +62,7 @@ class Encoder:
     """A tokenizers file's ids of whole texts, word by word with a cache.
 
     For tokenizers whose normalizer works on single characters or composes them, and whose pieces don't cross white
-    space, as the BPE files with word ends do; others, and those with other parts, are run on whole texts. Words are cut at
-    blanks, tabs and line ends only; what else is white space stays inside a word, which the file's own parts handle.
+    space, as the BPE files with word ends do; files with other parts are run on whole texts.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -81,38 +83,61 @@ class Encoder:
         self.marks = [x["content"] for x in parts["added_tokens"]]
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.pack = lambda ids: array.array(kind, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
         import regex
 
         self.pieces_of = regex.compile(self.PATTERN).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], self.dtype).tobytes()
-            if len(self.pieces) < CACHED_PIECES:
-                self.pieces[piece] = found
-        return found
-
-    def word(self, word: str) -> bytes:
+        self.words = _Cache(self._word, CACHED_WORDS)
+        self.pieces = _Cache(self._piece, CACHED_PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece in lower case, of ASCII and Latin-1 letters or marks."""
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return self._model(text)
+
+    def _model(self, text: str) -> bytes:
+        return self.pack([t.id for t in self.tokenizer.model.tokenize(text)])
+
+    def _word(self, word: str) -> bytes:
+        if plain := PLAIN(word):
+            # letters that lowering and composing treat alike everywhere; the most common words by far
+            return self.pieces[plain[1].lower()] + (self.pieces[plain[2]] if plain[2] else b"")
         if any(m in word for m in self.marks):
-            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        elif word.isascii() and word.isprintable():
-            out = b"".join(map(self.piece, self.pieces_of(word.lower())))
-        else:
-            t = self.tokenizer
-            out = b"".join(self.piece(p) for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)))
-        if len(self.words) < CACHED_WORDS and len(word) < 64:
-            self.words[word] = out
-        return out
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        if word.isascii() and word.isprintable():
+            return b"".join(map(self.pieces.__getitem__, self.pieces_of(word.lower())))
+        t = self.tokenizer
+        return b"".join(self._model(p) for p, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(word)))
 
     def encode(self, text: str) -> bytes:
         """The ids' bytes, of this object's dtype."""
         if not self.by_word:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        get, word = self.words.get, self.word
-        return b"".join([get(w) if w in self.words else word(w) for line in text.replace("\r", "\n").replace("\t", "\n").split("\n") for w in line.split(" ") if w])
+        # Python's split also cuts at these four, which are no white space to the file's parts
+        words = re.split(r"[ \t\n\r]+", text) if SEPARATORS(text) else text.split()
+        return b"".join(map(self.words.__getitem__, words))
+
+
+class _Cache(dict):
+    """Values by key, worked out when first asked for and kept while there are fewer than `most`."""
+
+    def __init__(self, work, most: int):
+        super().__init__()
+        self.work, self.most = work, most
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.work(key)
+        if len(self) < self.most and len(key) < 64:
+            self[key] = out
+        return out
+
+
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+SEPARATORS = re.compile("[\x1c-\x1f]").search
+#: Byte-level BPE's letter for each byte: itself if it is printable, else the next letter from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 _encoders: dict[str, Encoder] = {}
