@@ -24,6 +24,10 @@ LANG_SHARE = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 TOPIC_SHARE = {"prose": 0.90, "table": 0.06, "shout": 0.02, "symbols": 0.02}
 PASSES = 8
 POWER = 0.5
+#: Of the bounded fit: passes between two checks, at most so many checks, and the distance of any margin, as a part of the
+#: sample, at which it ends. So few cells are fitted in one task, without a shuffle for each margin.
+BLOCK, BLOCKS, NEAR = 4, 8, 1e-4
+FEW = 1 << 14
 
 
 def topic_of(text: Column, marks: Sequence[tuple[str, str]] = TOPIC_MARKS, rest: str = TOPIC_REST) -> Column:
@@ -76,13 +80,64 @@ def rake(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], passes
     return whole.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("_total") > 0, F.col("share") / F.col("_total")).otherwise(0.0)).drop("_total", *targets)
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", lang_share: Mapping[str, float] = LANG_SHARE, topic_share: Mapping[str, float] = TOPIC_SHARE, power: float = POWER, keep: float = 0.5, passes: int = PASSES, seed: str = "mix") -> DataFrame:
+def _level(margin: DataFrame, size: float) -> float:
+    """The factor of the shares in (_share, _supply) by which least(_supply, factor * _share) sums to size."""
+    level, last = size, -1.0
+    while level > last:
+        full = F.lit(level) * F.col("_share") >= F.col("_supply")
+        taken, open_share = margin.agg(F.sum(F.when(full, F.col("_supply"))), F.sum(F.when(~full, F.col("_share")))).first()
+        if not open_share:
+            return level
+        level, last = (size - (taken or 0.0)) / open_share, level
+    return last
+
+
+def bound(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], keep: float) -> DataFrame:
+    """From the fit of rake() (column share) the tokens to sample of each cell, column _take, at most its weight.
+
+    Where no cell's share of the sample (keep of all weight) exceeds its weight, the fit is left as it is. Otherwise a
+    value whose weight is less than its target is taken whole and the other values of its margin share the rest by their
+    targets; then the cells are raked to these targets, full cells staying full while their margin lacks tokens. So the
+    sample has the size asked for, as far as the cells with a share hold it.
+    """
+    cap, few = F.col(weight).cast("double"), lambda df, n: df.coalesce(1) if n <= FEW else df
+    n, whole, supply = cells.agg(F.count(F.lit(1)), F.sum(weight), F.sum(F.when(F.col("share") > 0, cap))).first()
+    size = min(float(keep) * float(whole or 0), supply or 0.0)
+    out = cells.withColumn("_take", F.least(cap, F.lit(size) * F.col("share")))
+    if not out.filter((F.lit(size) * F.col("share") > cap) & (cap > 0)).limit(1).count():
+        return out
+    for column, target in margins.items():
+        margin = written(cells.filter("share > 0").groupBy(column).agg(F.sum(cap).alias("_supply")).join(target, column), "margin")
+        level = F.lit(_level(margin, size))
+        out = out.join(margin.select(column, F.least(F.col("_supply"), level * F.col("_share")).alias(f"_t_{column}")), column, "left")
+    targets = [f"_t_{c}" for c in margins]
+    out = written(out, "bounded")
+    for _ in range(BLOCKS):
+        out = few(out, n)
+        for _ in range(BLOCK):
+            out = out.withColumn("_gap", F.lit(0.0))
+            for column, t in zip(margins, targets, strict=True):
+                at, full, want = Window.partitionBy(column), F.col("_take") >= cap * (1 - 1e-12), F.col(t)
+                out = out.withColumns({"_sum": F.sum("_take").over(at), "_full": F.sum(F.when(full, F.col("_take")).otherwise(0.0)).over(at)})
+                more = F.when(full, F.col("_take")).otherwise(F.least(cap, F.col("_take") * (want - F.col("_full")) / F.nullif(F.col("_sum") - F.col("_full"), F.lit(0.0))))
+                take = F.when(F.col("_sum") < want, more).otherwise(F.col("_take") * want / F.nullif(F.col("_sum"), F.lit(0.0)))
+                out = out.withColumns({"_gap": F.greatest(F.col("_gap"), F.abs(F.col("_sum") - want)), "_take": F.when(F.col("share") > 0, F.coalesce(take, F.col("_take"))).otherwise(0.0)}).drop("_sum", "_full")
+        out = written(out, "bounded")
+        if (out.agg(F.max("_gap")).first()[0] or 0.0) <= NEAR * size:
+            break
+        out = out.drop("_gap")
+    total = out.agg(F.sum("_take").alias("_total"))
+    return out.crossJoin(F.broadcast(total)).withColumn("share", F.col("_take") / F.col("_total")).drop("_total", "_gap", *targets)
+
+
+def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", lang_share: Mapping[str, float] = LANG_SHARE, topic_share: Mapping[str, float] = TOPIC_SHARE, power: float = POWER, keep: float = 0.5, passes: int = PASSES, seed: str = "mix", bounded: bool = True) -> DataFrame:
     """Adds _source, _lang, _topic, _tokens, _share, _p, _u and _sampled to the documents.
 
     Targets: sources by their tokens to the given power (1 leaves them as they are, 0 makes them equal), languages and
     topics by the given shares. Tokens are words. A document's probability is keep * all tokens * its cell's share /
-    its cell's tokens, at most 1, so that the expected sample holds the fitted shares and, where no cell runs dry, the
-    part keep of all tokens. A null source or language is the value "(null)"; a value without target is not sampled; a
+    its cell's tokens. Shares are fitted within what the cells hold (bound()), so that the expected sample has the part
+    keep of all tokens and the target shares; a value with fewer tokens than its target is taken whole. With bounded
+    False, probabilities over 1 are cut to 1 and nothing makes up for them. A null source or language is the value "(null)"; a value without target is not sampled; a
     document without words weighs nothing and is not sampled; equal keys (null among them) share their draw, so repeated rows come or go together. An
     empty table gives an empty result. Other columns pass through.
     """
@@ -91,9 +146,14 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: s
     cells = written(marked.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_cell_tokens")), "cells")
     spark = docs.sparkSession
     sources = cells.groupBy("_source").agg(F.pow(F.sum("_cell_tokens").cast("double"), F.lit(float(power))).alias("_share"))
-    fitted = rake(cells, "_cell_tokens", {"_source": _norm(sources, "_source"), "_lang": _norm(_present(cells, _targets(spark, lang_share, "_lang"), "_lang"), "_lang"), "_topic": _norm(_present(cells, _targets(spark, topic_share, "_topic"), "_topic"), "_topic")}, passes)
-    total = fitted.agg(F.sum("_cell_tokens").alias("_all"))
-    fitted = fitted.crossJoin(F.broadcast(total)).select("_source", "_lang", "_topic", F.col("share").alias("_share"), F.when((F.col("_cell_tokens") > 0), F.least(F.lit(1.0), F.lit(float(keep)) * F.col("_all") * F.col("share") / F.col("_cell_tokens"))).otherwise(0.0).alias("_p"))
+    margins = {"_source": _norm(sources, "_source"), "_lang": _norm(_present(cells, _targets(spark, lang_share, "_lang"), "_lang"), "_lang"), "_topic": _norm(_present(cells, _targets(spark, topic_share, "_topic"), "_topic"), "_topic")}
+    fitted = rake(cells, "_cell_tokens", margins, passes)
+    if bounded:
+        fitted = bound(written(fitted, "cells"), "_cell_tokens", margins, keep)
+    else:
+        total = fitted.agg(F.sum("_cell_tokens").alias("_all"))
+        fitted = fitted.crossJoin(F.broadcast(total)).withColumn("_take", F.lit(float(keep)) * F.col("_all") * F.col("share"))
+    fitted = fitted.select("_source", "_lang", "_topic", F.col("share").alias("_share"), F.when(F.col("_cell_tokens") > 0, F.least(F.lit(1.0), F.col("_take") / F.col("_cell_tokens"))).otherwise(0.0).alias("_p"))
     fitted = written(fitted, "fitted")
     out = marked.join(fitted, ["_source", "_lang", "_topic"], "left")
     out = out.withColumn("_p", F.when(F.col("_tokens") > 0, F.col("_p")).otherwise(0.0)).withColumn("_u", uniform_of(F.col(key), seed))
@@ -110,8 +170,8 @@ def _norm(target: DataFrame, column: str) -> DataFrame:
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """Per document its cell, its probability and whether it is sampled."""
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    """Per document its cell, its probability and whether it is sampled; probabilities as its SQL has them, not bounded."""
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), bounded=False)
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_share", 6).alias("share"), F.round("_p", 6).alias("probability"), F.col("_sampled").alias("sampled"))
 
 

@@ -87,6 +87,23 @@ def test_mixing_fits_the_margins(spark):
     assert mixing.mix(odd).filter("_sampled and _tokens = 0").count() == 0
 
 
+def test_mixing_gives_the_surplus_of_full_cells_to_others(spark):
+    # tokens of the cells (source, lang); 16,800 are wanted
+    sizes = {("a", "en"): 9000, ("a", "de"): 500, ("b", "en"): 6000, ("b", "de"): 4500, ("b", "es"): 700, ("a", "es"): 300}
+    rows = [(i, "w " * 100, lang, source) for i, (source, lang) in enumerate(k for k, n in sizes.items() for _ in range(n // 100))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    out = mixing.mix(docs, lang_share={"en": 0.68, "de": 0.2, "es": 0.12}, topic_share={"prose": 1.0}, power=1.0, keep=0.8)
+    cells = {(r["_source"], r["_lang"]): r for r in out.select("_source", "_lang", "_share", "_p").distinct().collect()}
+    taken = {k: cells[k]["_p"] * n for k, n in sizes.items()}
+    whole = 0.8 * 21000
+    by = lambda i, v: sum(t for k, t in taken.items() if k[i] == v)
+    assert max(r["_p"] for r in cells.values()) <= 1 and sum(taken.values()) == pytest.approx(whole, rel=3e-4)
+    assert by(1, "es") == pytest.approx(1000, rel=1e-3)  # wants 2,016, holds 1,000: taken whole
+    assert by(1, "en") == pytest.approx((whole - 1000) * 0.68 / 0.88, rel=1e-3)
+    assert by(1, "de") == pytest.approx((whole - 1000) * 0.2 / 0.88, rel=1e-3)
+    assert by(0, "a") == pytest.approx(whole * 9800 / 21000, rel=1e-3)
+
+
 def chats(spark, rows):
     return spark.createDataFrame([(*r, "extra") for r in rows], "conv_id bigint, turn bigint, role string, text string, n string")
 
