@@ -137,7 +137,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: s
     topics by the given shares. Tokens are words. A document's probability is keep * all tokens * its cell's share /
     its cell's tokens. Shares are fitted within what the cells hold (bound()), so that the expected sample has the part
     keep of all tokens and the target shares; a value with fewer tokens than its target is taken whole. With bounded
-    False, probabilities over 1 are cut to 1 and nothing makes up for them. A null source or language is the value "(null)"; a value without target is not sampled; a
+    False, probabilities over 1 are cut to 1 and nothing makes up for them. A null source or language is the value "(null)". A language or topic without a stated
+    share has its part of all tokens as target, and the stated shares are scaled to the rest; a share stated as 0 excludes. A
     document without words weighs nothing and is not sampled; equal keys (null among them) share their draw, so repeated rows come or go together. An
     empty table gives an empty result. Other columns pass through.
     """
@@ -146,7 +147,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: s
     cells = written(marked.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_cell_tokens")), "cells")
     spark = docs.sparkSession
     sources = cells.groupBy("_source").agg(F.pow(F.sum("_cell_tokens").cast("double"), F.lit(float(power))).alias("_share"))
-    margins = {"_source": _norm(sources, "_source"), "_lang": _norm(_present(cells, _targets(spark, lang_share, "_lang"), "_lang"), "_lang"), "_topic": _norm(_present(cells, _targets(spark, topic_share, "_topic"), "_topic"), "_topic")}
+    margins = {"_source": _norm(sources, "_source"), "_lang": _stated(cells, _targets(spark, lang_share, "_lang"), "_lang"), "_topic": _stated(cells, _targets(spark, topic_share, "_topic"), "_topic")}
     fitted = rake(cells, "_cell_tokens", margins, passes)
     if bounded:
         fitted = bound(written(fitted, "cells"), "_cell_tokens", margins, keep)
@@ -160,8 +161,13 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: s
     return out.withColumn("_sampled", F.col("_u") < F.col("_p"))
 
 
-def _present(cells: DataFrame, target: DataFrame, column: str) -> DataFrame:
-    return target.join(cells.filter(F.col("_cell_tokens") > 0).select(column).distinct(), column, "left_semi")
+def _stated(cells: DataFrame, target: DataFrame, column: str) -> DataFrame:
+    """The stated shares of the values that have tokens; a value without one gets its part of all tokens, and the stated
+    shares are scaled to what these values leave."""
+    found = cells.filter(F.col("_cell_tokens") > 0).groupBy(column).agg(F.sum("_cell_tokens").cast("double").alias("_n")).join(target, column, "left")
+    totals = found.agg(F.sum("_share").alias("_sum"), F.coalesce(F.sum(F.when(F.col("_share").isNull(), F.col("_n"))), F.lit(0.0)).alias("_rest"), F.sum("_n").alias("_all"))
+    stated = F.when(F.col("_sum") > 0, F.col("_share") / F.col("_sum") * (1 - F.col("_rest") / F.col("_all"))).otherwise(0.0)
+    return found.crossJoin(F.broadcast(totals)).select(column, F.when(F.col("_share").isNull(), F.col("_n") / F.col("_all")).otherwise(stated).alias("_share"))
 
 
 def _norm(target: DataFrame, column: str) -> DataFrame:

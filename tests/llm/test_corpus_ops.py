@@ -104,6 +104,16 @@ def test_mixing_gives_the_surplus_of_full_cells_to_others(spark):
     assert by(0, "a") == pytest.approx(whole * 9800 / 21000, rel=1e-3)
 
 
+def test_mixing_samples_languages_without_a_stated_share(spark):
+    rows = [(i, "w " * 100, lang, "s") for i, lang in enumerate(["en"] * 80 + ["de"] * 60 + ["it"] * 40 + [None] * 20)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), lang_share={"en": 0.5, "de": 0.5}, keep=0.5)
+    cells = {r["_lang"]: r for r in out.select("_lang", "_share", "_p").distinct().collect()}
+    assert {k: r["_share"] for k, r in cells.items()} == pytest.approx({"en": 0.35, "de": 0.35, "it": 0.2, "(null)": 0.1})
+    assert cells["it"]["_p"] == pytest.approx(0.5) and cells["(null)"]["_p"] == pytest.approx(0.5)
+    none = mixing.mix(spark.createDataFrame(rows[-60:], "doc_id bigint, text string, lang string, source string"), keep=0.5)
+    assert none.select("_p").distinct().first()[0] == pytest.approx(0.5)
+
+
 def chats(spark, rows):
     return spark.createDataFrame([(*r, "extra") for r in rows], "conv_id bigint, turn bigint, role string, text string, n string")
 
