@@ -26,7 +26,6 @@ SPLIT = 64 << 20
 ROLL = 1 << 30
 MIN_BYTES = 0
 MAGIC = b"\x1f\x8b\x08"
-HEAD_LIMIT = 1 << 16
 READ = 1 << 20
 OUT_BYTES = 8 << 20
 FIELDS = "file string, offset bigint, page_id bigint, record_type string, url string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
@@ -117,22 +116,30 @@ class _Window:
 
 
 def header_at(window: _Window, offset: int):
-    """(header fields, first bytes behind the header) if a member with a whole WARC header starts here, else None."""
-    z, text, at = zlib.decompressobj(31), b"", offset
-    while len(text) <= HEAD_LIMIT and at < window.size and not z.eof:
+    """(header fields, first byte behind the header) if a member with a WARC header starts here, else None.
+
+    A header is read to its blank line, however long it is; one that the file's end cuts raises.
+    """
+    z, text, at = zlib.decompressobj(31), bytearray(), offset
+    while at < window.size and not z.eof:
         piece = window.get(at, 4096)
         at += len(piece)
+        seen = max(0, len(text) - 3)
         try:
             text += z.decompress(piece)
         except zlib.error:
+            if text.startswith(b"WARC/"):
+                raise ValueError(f"the header of the record at {offset} is damaged") from None
             return None
         if text[:5] != b"WARC/"[: len(text[:5])]:
             return None
-        end = text.find(b"\r\n\r\n")
+        end = text.find(b"\r\n\r\n", seen)
         if end >= 0:
             lines = text[:end].decode("utf-8", "replace").split("\r\n")
             fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
             return (fields, end + 4) if fields.get("content-length", "").isdigit() and "warc-type" in fields else None
+    if text.startswith(b"WARC/"):
+        raise ValueError(f"the header of the record at {offset} has no end")
     return None
 
 
@@ -177,12 +184,30 @@ def read_warc(manifest: DataFrame, *, split: int = SPLIT) -> DataFrame:
     """The records of the files in (file, bytes); the manifest can be a listing of any gzip-compressed archives.
 
     A response's payload is its content; that of a revisit is null and its length that of the header. Digests of
-    responses are checked. An empty manifest gives an empty result.
+    responses are checked. Where the manifest has a column records, the records are counted first, and a file with
+    another number raises. An empty manifest gives an empty result.
     """
     need(manifest, "file", "bytes")
     ranges = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("bigint"))).alias("start")).filter("bytes > 0")
     ranges = ranges.repartition(manifest.sparkSession.sparkContext.defaultParallelism * 4)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, starts = (c.to_pylist() for c in batch.columns)
+            found = []
+            for name, size, start in zip(names, sizes, starts, strict=True):
+                fs, p = local_or_uri(name)
+                with fs.open_input_file(p) as file:
+                    found.append(sum(1 for _ in records_in(_Window(file, int(size)), int(start), min(int(start) + split, int(size)))))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.int64())], names=["file", "found"])
+
+    if "records" in manifest.columns:
+        found = ranges.mapInArrow(count, "file string, found bigint").groupBy("file").agg(F.sum("found").alias("found"))
+        stated = manifest.groupBy("file").agg(F.sum("records").alias("records"))
+        wrong = stated.join(found, "file", "left").filter(F.coalesce("found", F.lit(0)) != F.col("records")).first()
+        if wrong:
+            raise ValueError(f"{wrong['file']}: {wrong['found'] or 0} records were found and {wrong['records']} written")
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
         schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in FIELDS.split(", ")])

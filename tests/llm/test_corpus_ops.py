@@ -75,6 +75,16 @@ def test_magic_inside_a_payload_is_no_record(tmp_path):
     assert [c for _, _, c in found] == [fake, b"x"]
 
 
+def test_a_record_with_a_long_header_is_read(spark, tmp_path):
+    url = "data:," + "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(3000))
+    pages = spark.createDataFrame([(1, "u", "a"), (2, url, "b"), (3, "v", "c")], "page_id bigint, url string, html string").coalesce(1)
+    manifest = warc.write_warc(pages, f"file://{tmp_path}/w")
+    for split in (50_000, 1 << 20):
+        assert sorted((r["page_id"], r["url"]) for r in warc.read_warc(manifest, split=split).collect()) == [(1, "u"), (2, url), (3, "v")]
+    with pytest.raises(ValueError, match="3 records were found and 4 written"):
+        warc.read_warc(manifest.withColumn("records", F.col("records") + 1))
+
+
 def test_mixing_fits_the_margins(spark):
     docs = spark.createDataFrame([(i, "a b c " * (1 + i % 4), "en" if i % 3 else "de", f"s{i % 2}") for i in range(400)], "doc_id bigint, text string, lang string, source string")
     out = mixing.mix(docs, lang_share={"en": 0.5, "de": 0.5}, keep=0.3).cache()
