@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +17,15 @@ _own: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: the session's spark.checkpoint.dir.
 
-    Where that is unset, as in a test on one machine, a new temporary folder is set.
+    Where that is unset and Spark runs in one process, as in a test, a new temporary folder is set; with executors
+    elsewhere a folder of one machine would lose rows, so that raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.sparkContext.setCheckpointDir(found)
     if "://" not in found and not found.startswith("file:"):
@@ -73,13 +78,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str):
+    """The column of this very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df, however capitalised, has."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns of these names renamed, and what selects df's columns under their own names again.
+
+    So an operator that adds columns of these names doesn't touch those that the rows came with.
+    """
+    taken = {n.lower() for n in names}
+    own = [c for c in df.columns if c.lower() in taken]
+    moved = dict(zip(own, fresh(df, *own), strict=True))
+    renamed = df.select(*(col(c).alias(moved.get(c, c)) for c in df.columns))
+    return renamed, lambda out: out.select(*(col(moved.get(c, c)).alias(c) for c in df.columns))
+
+
 def need(df: DataFrame, *columns: str) -> None:
     """Raises ValueError where a column is missing."""
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns are missing: {missing}; there are {df.columns}")
 
 
-
 #: Buckets of the filter below; its broadcast never holds more rows.
 FILTER_BUCKETS = 1 << 18
 

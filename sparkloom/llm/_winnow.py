@@ -7,12 +7,52 @@ Consecutive windows with the same anchor are a segment; there are about two for
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import _words as W
 
 U = np.uint64
 PLACE = 28
+#: The id of rows without one: as large as the largest.
+LAST = 2**63 - 1
+#: What tells rows apart: the id and two hashes, over the text and whether the id is null.
+ROW = ["id", "t", "u"]
+
+
+def row_keys(docs: DataFrame) -> DataFrame:
+    """Columns id, t, u, none and text of (doc_id, text); rows that agree in id, t and u have equal ids and texts."""
+    t, u = (F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("text")) for seed in (1, 2))
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), t.alias("t"), u.alias("u"), F.col("doc_id").isNull().alias("none"), "text")
+
+
+def doc_id(row: DataFrame):
+    """The id as it was, of rows with columns id and none."""
+    return F.when(~row["none"], row["id"]).alias("doc_id")
+
+
+def pieces(batch: pa.RecordBatch, text: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about `step` bytes of text; a text of more than that is a slice of its own."""
+    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step)))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def islands(spans: DataFrame, *keys: str) -> DataFrame:
+    """The maximal runs (keys, lo, hi) of places that spans (keys, lo, hi) of a key cover or that touch."""
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.select(*keys, "lo", "hi", F.when(F.col("lo") <= reach, 0).otherwise(1).alias("_new"))
+    runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
 def segments(rolling: W.Rolling, n_items: int, first: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -3,10 +3,10 @@
 Which strings of `length` bytes start at two places? Strings meet in a shard through an anchor inside them (see
 _winnow): strings with the same run of bytes around the anchor belong to one shard, and strings around which
 nothing is repeated need none. Segments of strings that are equal as a whole count as one. A shard's text is the
-segments that differ around a repeated run; its suffix array is sorted by Larsson and Sadakane's refinement, whose
-ranks double the compared length each round, and Kasai's algorithm gives the common prefixes of neighbours. A run
-with more segments than a shard holds is dealt over several shards, whose sorted strings are merged by binary
-search afterwards.
+segments around a repeated run, of equal ones two; its suffix array is sorted by Larsson and Sadakane's refinement,
+whose ranks double the compared length each round, and Kasai's algorithm gives the common prefixes of neighbours, which
+alone decide what is repeated; the further copies of a segment have the outcome of its first. A run with more segments
+than a shard holds is dealt over several shards; their sorted strings are merged by binary search afterwards.
 """
 
 from __future__ import annotations
@@ -21,20 +21,19 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._common import narrowed, need, table, written
-from ._winnow import halves, merged
-from .substrings import LAST, _pieces
+from ._winnow import ROW, doc_id, halves, islands, merged, pieces, row_keys
 
 U = np.uint64
 LENGTH = 400
 GRAM = 64
 SEEDS = (0xBEEF, 0xCAFE)
-#: Segments of one run that go to one shard at most, and bytes of text at which a shard is sorted.
-SHARD_SEGMENTS = 4096
+#: Segments of one run that go to one shard, about, and bytes of text at which a shard is sorted.
+SHARD_SEGMENTS = 512
 SHARD_BYTES = 1 << 20
-#: Bytes of text that are hashed at once; a longer text is whole.
+#: Bytes of text that are hashed at once; a longer text is walked in stretches of so many windows.
 STEP = 1 << 20
 LANES = 4096
-SCHEMA = "id bigint, t int, lo int, hi int, g2 bigint, part int, prints binary"
+CLASS = ["g2", "h1", "h2"]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -124,214 +123,243 @@ def _rolling(data: np.ndarray) -> list[W.Rolling]:
     return [W.Rolling(W._stream(seed, 256)[data], seed) for seed in SEEDS]
 
 
-def _scan(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row without g2 for each document, with its bytes' number and hash, and one for each segment half."""
+def _scan(docs: DataFrame, length: int, gram: int, step: int) -> DataFrame:
+    """A row without g2 for each document, with its bytes' number and hash, and one for each segment half.
+
+    In the first kind s is 1 where the row has no id.
+    """
     half = (length + gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in _pieces(whole, 2, STEP):
-                data, offsets = W.buffers(batch.column(2))
-                ids, ts = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for batch in pieces(whole, 4, step):
+                data, offsets = W.buffers(batch.column(4))
+                keys = [np.asarray(batch.column(i)) for i in range(3)]
                 shas = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield _rows(ids, ts, np.zeros(len(ids)), np.diff(offsets), shas=shas)
-                one, two = _rolling(data)
-                for d, s, c, _, g2, h1, h2 in halves(one, two, len(data), offsets, length, gram, half):
-                    yield _rows(ids[d], ts[d], s, c, g2=g2, h1=h1, h2=h2)
+                yield _rows(keys, np.asarray(batch.column(3).cast(pa.int32())), np.diff(offsets), shas=shas)
+                # a text of more than step bytes: stretches that hold whole windows, so that each window lies in one
+                cuts = range(0, max(1, len(data) - length + 1), step) if len(data) > step else (0,)
+                for at in cuts:
+                    part = data[at : at + step + length - 1] if len(data) > step else data
+                    bounds = np.array([0, len(part)]) if len(data) > step else offsets
+                    one, two = _rolling(part)
+                    for d, s, c, _, g2, h1, h2 in halves(one, two, len(part), bounds, length, gram, half):
+                        yield _rows([k[d] for k in keys], s + at, c, g2=g2, h1=h1, h2=h2)
+
+    return docs.mapInArrow(run, "id bigint, t bigint, u bigint, s int, n int, g2 bigint, h1 bigint, h2 bigint, sha string")
+
 
-    return docs.mapInArrow(run, "id bigint, t int, s int, n int, g2 bigint, h1 bigint, h2 bigint, sha string")
+def _rows(keys, s, n, shas=None, **hashes) -> pa.RecordBatch:
+    m = len(s)
+    cols = [pa.array(k, pa.int64()) for k in keys] + [pa.array(np.asarray(x).astype(np.int32)) for x in (s, n)]
+    cols += [pa.array(hashes[k].view(np.int64)) if k in hashes else pa.nulls(m, pa.int64()) for k in CLASS]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(shas, pa.string()) if shas else pa.nulls(m, pa.string())], names=[*ROW, "s", "n", *CLASS, "sha"])
 
 
-def _rows(ids, ts, s, n, shas=None, **hashes) -> pa.RecordBatch:
-    m = len(ids)
-    cols = [pa.array(ids, pa.int64()), pa.array(ts, pa.int32()), pa.array(np.asarray(s).astype(np.int32)), pa.array(np.asarray(n).astype(np.int32))]
-    cols += [pa.array(hashes[k].view(np.int64)) if k in hashes else pa.nulls(m, pa.int64()) for k in ("g2", "h1", "h2")]
-    return pa.RecordBatch.from_arrays([*cols, pa.array(shas, pa.string()) if shas else pa.nulls(m, pa.string())], names=["id", "t", "s", "n", "g2", "h1", "h2", "sha"])
+#: Slices of texts: the run and its shard, the segment's class, which of its two places this is, the place of the first
+#: window in its segment, where it lies in the text, the number of windows, and their bytes.
+DDL = "g2 bigint, salt int, parts int, h1 bigint, h2 bigint, copy int, at int, s int, n int, piece binary"
+TYPES = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+SLICE = pa.schema([(x.split()[0], TYPES[x.split()[1]]) for x in DDL.split(", ")])
+SPAN = SLICE.names[:-1]
 
 
 def _slices(texts: DataFrame, length: int) -> DataFrame:
-    """(g2, salt, parts, id, t, s, n, piece) from (id, t, text, spans): the bytes of each span's windows."""
+    """Rows of SLICE from (text, spans): the bytes of each span's n windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g2", "salt", "parts", "id", "t", "s", "n", "piece"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for whole in batches:
-            for batch in _pieces(whole, 2, STEP):
-                rows, held = [], 0
-                for i, t, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, held = [], 0
+            for batch in pieces(whole, 0, STEP):
+                for text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     data = (text or "").encode()
                     for x in spans:
-                        rows.append((x["g2"], x["salt"], x["parts"], i, t, x["s"], x["n"], data[x["s"] : x["s"] + x["n"] + length - 1]))
+                        rows.append((*x.values(), data[x["s"] : x["s"] + x["n"] + length - 1]))
                         held += len(rows[-1][-1])
                         if held > STEP:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                            yield _batch(rows, SLICE)
                             rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return texts.mapInArrow(run, "g2 bigint, salt int, parts int, id bigint, t int, s int, n int, piece binary")
-
-
-class _Shard:
-    """Segments until they are sorted: texts, and which document places their windows are."""
-
-    def __init__(self, length: int):
-        self.length, self.bytes, self.rows, self.last = length, 0, [], None
-
-    def add(self, row) -> None:
-        self.rows.append(row)
-        self.bytes += len(row[7])
-        self.last = (row[0], row[1])
-
-    def sort(self) -> list[pa.RecordBatch]:
-        """Spans (id, t, lo, hi) of repeated strings, and the prints of the strings of runs dealt over several shards."""
-        rows, self.rows, self.bytes = self.rows, [], 0
-        text = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
-        sizes = np.array([len(r[7]) for r in rows])
-        n = np.array([r[6] for r in rows])
-        at = np.cumsum(sizes) - sizes
-        row = np.repeat(np.arange(len(rows)), n)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        starts = at[row] + within
-        valid = np.zeros(len(text), bool)
-        valid[starts] = True
-        hit = repeated_starts(text, valid, self.length)[starts]
-        ids, ts, s = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
-        lo = s[row] + within
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(row)) - 1
-        k = hit[first]
-        r, a, b = row[first][k], lo[first][k], lo[last][k] + self.length
-        batches = [pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(ts[r].astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.int32()), pa.nulls(len(r), pa.binary())], names=[x.split()[0] for x in SCHEMA.split(", ")])]
-        parts = np.array([x[2] for x in rows])
-        if (parts > 1).any():
-            one, two = _rolling(text)
-            g2 = np.array([x[0] for x in rows])
-            for g in np.unique(g2[parts > 1]):
-                mine = np.flatnonzero(g2[row] == g)
-                w1 = one.at(starts[mine], self.length)
-                prints = np.rec.fromarrays([w1, two.at(starts[mine], self.length), ids[row[mine]], ts[row[mine]], lo[mine]], dtype=PRINT)
-                prints.sort(order=("w1", "w2"))
-                count = int(parts[g2 == g][0])
-                cuts = np.searchsorted(prints["w1"], np.array([(i << 64) // count for i in range(1, count)], U))
-                for i, piece in enumerate(np.split(prints, cuts)):
-                    batches.append(pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([int(g)], pa.int64()), pa.array([i], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=batches[0].schema.names))
-        return batches
-
-
-PRINT = np.dtype([("w1", "<u8"), ("w2", "<u8"), ("id", "<i8"), ("t", "<i4"), ("lo", "<i4")])
+            if rows:
+                yield _batch(rows, SLICE)
+
+    return texts.select("text", "spans").mapInArrow(run, DDL)
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+#: What a sorted shard gives: of each class the spans [lo, hi) that are repeated, from the segment's start (w1 null); and of
+#: runs in several shards a row for each different string, with two hashes, its place in its class, and whether it is alone.
+FOUND = "g2 bigint, h1 bigint, h2 bigint, lo int, hi int, salt int, parts int, w1 bigint, w2 bigint, alone boolean"
+
+
+def _shard(rows: list, length: int) -> Iterator[pa.RecordBatch]:
+    """Sorts the segments of some runs: rows of FOUND."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    text = np.frombuffer(b"".join(r[-1] for r in rows), np.uint8)
+    g2, salt, parts, h1, h2, copy, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 3, 4, 5, 8))
+    sizes = np.array([len(r[-1]) for r in rows])
+    row = np.repeat(np.arange(len(rows)), n)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    starts = (np.cumsum(sizes) - sizes)[row] + within
+    valid = np.zeros(len(text), bool)
+    valid[starts] = True
+    hit = repeated_starts(text, valid, length)[starts]
+
+    def batch(r, lo, hi, w1=None, w2=None, alone=None) -> pa.RecordBatch:
+        m = len(r)
+        cols = [pa.array(x[r]) for x in (g2, h1, h2)] + [pa.array(x.astype(np.int32)) for x in (lo, hi, salt[r], parts[r])]
+        cols += [pa.nulls(m, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (w1, w2)]
+        return pa.RecordBatch.from_arrays([*cols, pa.nulls(m, pa.bool_()) if alone is None else pa.array(alone)], names=names)
+
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row)) - 1
+    k = hit[first] & (copy[row[first]] == 0)
+    yield batch(row[first][k], within[first][k], within[last][k] + length)
+    if (parts > 1).any():
+        mine = np.flatnonzero((parts[row] > 1) & (copy[row] == 0))
+        one, two = (r.at(starts[mine], length) for r in _rolling(text))
+        order = np.lexsort((two, one, g2[row[mine]]))
+        o, run = mine[order], g2[row[mine[order]]]
+        head = np.ones(len(o), bool)
+        head[1:] = (run[1:] != run[:-1]) | (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        o, one, two = o[head], one[order][head], two[order][head]
+        yield batch(row[o], within[o], within[o] + length, one, two, ~hit[o])
 
 
 def _sorted(slices: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """FOUND of the slices, those of (g2, salt) being together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(length)
+        rows, held = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard.bytes >= shard_bytes and shard.last != (row[0], row[1]):
-                    yield from shard.sort()
-                shard.add(row)
-        if shard.rows:
-            yield from shard.sort()
+                if held >= shard_bytes and rows[-1][:2] != row[:2]:
+                    yield from _shard(rows, length)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[-1])
+        if rows:
+            yield from _shard(rows, length)
 
-    return slices.mapInArrow(run, SCHEMA)
+    return slices.mapInArrow(run, FOUND)
 
 
-def _merged(prints: DataFrame, length: int) -> DataFrame:
-    """Spans of strings that start in several shards of one run; prints: sorted pieces, those of (g2, part) together."""
+def _merged(strings: DataFrame, length: int) -> DataFrame:
+    """Spans (g2, h1, h2, lo, hi) of strings that start in several shards of one run.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, known, seen = None, None, None
+    strings: slices of one window each, copy being 1 where it is alone in its shard, those of (g2, parts) together and
+    each shard's in order. One shard after the other is merged into the sorted strings so far.
+    """
 
-        def spans() -> pa.RecordBatch:
-            x = known[seen]
-            return pa.RecordBatch.from_arrays([pa.array(x["id"]), pa.array(x["t"]), pa.array(x["lo"]), pa.array(x["lo"] + np.int32(length))], names=["id", "t", "lo", "hi"])
+    def spans(rows: list) -> pa.RecordBatch:
+        known, seen = np.zeros(0, f"S{length}"), np.zeros(0, bool)
+        edge = [i for i in range(len(rows)) if not i or rows[i][1] != rows[i - 1][1]] + [len(rows)]
+        shards = [np.array([r[-1] for r in rows[a:b]], f"S{length}") for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        for piece in shards:
+            at = np.searchsorted(known, piece)
+            same = np.zeros(len(piece), bool)
+            inside = at < len(known)
+            same[inside] = known[at[inside]] == piece[inside]
+            seen[at[same]] = True
+            known, seen = np.insert(known, at[~same], piece[~same]), np.insert(seen, at[~same], False)
+        hit = np.concatenate([seen[np.searchsorted(known, piece)] for piece in shards])
+        found = [(r[0], r[3], r[4], r[6], r[6] + length) for r, h in zip(rows, hit.tolist(), strict=True) if h and r[5]]
+        return _batch(found, pa.schema([(x, pa.int64()) for x in CLASS] + [("lo", pa.int32()), ("hi", pa.int32())])) if found else None
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list = []
         for batch in batches:
-            for g, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                piece = np.frombuffer(data, PRINT)
-                if (g, part) != key:
-                    if key is not None:
-                        yield spans()
-                    key, known, seen = (g, part), piece[:0], np.zeros(0, bool)
-                lo, hi = (np.searchsorted(known["w1"], piece["w1"], side=side) for side in ("left", "right"))
-                mark = np.zeros(len(piece), bool)
-                for i in np.flatnonzero(hi > lo).tolist():
-                    same = np.flatnonzero(known["w2"][lo[i] : hi[i]] == piece["w2"][i]) + lo[i]
-                    seen[same] = True
-                    mark[i] = len(same) > 0
-                known, seen = np.insert(known, hi, piece), np.insert(seen, hi, mark)
-        if key is not None:
-            yield spans()
-
-    return prints.mapInArrow(run, "id bigint, t int, lo int, hi int")
-
-
-def repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and (rows[0][0], rows[0][2]) != (row[0], row[2]):
+                    if (out := spans(rows)) is not None:
+                        yield out
+                    rows = []
+                rows.append(row)
+        if rows and (out := spans(rows)) is not None:
+            yield out
+
+    return strings.mapInArrow(run, "g2 bigint, h1 bigint, h2 bigint, lo int, hi int")
+
+
+def repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS, shard_bytes: int = SHARD_BYTES, step: int = STEP) -> tuple[DataFrame, DataFrame]:
     """(documents, spans) for docs (doc_id, text).
 
-    documents: (id, t, n_bytes, sha) for each row. spans: (id, t, lo, hi), bytes covered by strings of `length` bytes
-    that start at some other place too.
+    documents: (id, t, u, none, n_bytes, sha) for each row, see row_keys. spans: (id, t, u, lo, hi), maximal runs of bytes
+    covered by strings of `length` bytes that start at some other place too.
     """
     need(docs, "doc_id", "text")
-    keyed = _keyed(docs)
-    rows = written(_scan(keyed, length, gram), "segments")
-    documents = rows.filter("g2 is null").select("id", "t", F.col("n").cast("bigint").alias("n_bytes"), "sha")
+    keyed, n = row_keys(docs), max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(_scan(keyed, length, gram, step), "segments")
+    documents = rows.filter("g2 is null").select(*ROW, (F.col("s") == 1).alias("none"), F.col("n").cast("bigint").alias("n_bytes"), "sha")
     level = rows.filter("g2 is not null").drop("sha")
     several = written(level.groupBy("g2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("g2"), "several")
     level = written(level.join(several, "g2", "left_semi"), "level")
-    classes = written(level.groupBy("g2", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "t", "s")).alias("least")), "classes")
-    runs = classes.groupBy("g2").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("g2", F.ceil(F.col("_n") / shard_segments).cast("int").alias("parts"))
+    place = F.struct(*ROW, "s", "n")
+    classes = written(level.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("a"), F.max(place).alias("b")), "classes")
+    runs = classes.groupBy("g2").agg(F.ceil(F.sum(F.least("copies", F.lit(2))) / shard_segments).cast("int").alias("parts"))
     runs = written(runs, "runs")
-    whole = level.join(classes.filter("copies > 1").select("g2", "h1", "h2"), ["g2", "h1", "h2"], "left_semi").select("id", "t", F.col("s").alias("lo"), (F.col("s") + F.col("n") + (length - 1)).alias("hi"))
-    reps = classes.join(runs, "g2").select("g2", "h1", "h2", "parts", "least").join(level, ["g2", "h1", "h2"]).filter((F.col("id") == F.col("least.id")) & (F.col("t") == F.col("least.t")) & (F.col("s") == F.col("least.s")))
-    reps = reps.dropDuplicates(["g2", "h1", "h2"])
-    reps = reps.select("id", "t", F.struct("g2", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int").alias("salt"), "parts", "s", "n").alias("x"))
-    reps = written(reps.groupBy("id", "t").agg(F.collect_list("x").alias("spans")), "reps")
-    texts = narrowed(keyed, reps, "id").dropDuplicates(["id", "t"]).join(reps, ["id", "t"]).select("id", "t", "text", "spans")
-    slices = _slices(texts, length)
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = written(_sorted(slices.repartition(n, "g2", "salt").sortWithinPartitions("g2", "salt"), length, shard_bytes), "found")
-    across = found.filter("g2 is not null").select("g2", "part", "prints").repartition(n, "g2", "part").sortWithinPartitions("g2", "part")
-    return documents, whole.union(found.filter("g2 is null").select("id", "t", "lo", "hi")).union(_merged(across, length))
-
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("id"), F.hash("text").alias("t"), "text")
+    def cut(spans: DataFrame, name: str) -> DataFrame:
+        """Slices of spans (ROW, x of SPAN), each text being read once."""
+        spans = written(spans.groupBy(*ROW).agg(F.collect_list("x").alias("spans")), name)
+        return _slices(narrowed(keyed, spans, "id").drop("none").dropDuplicates(ROW).join(spans, ROW), length)
+
+    salted = classes.join(runs, "g2").withColumn("salt", F.pmod(F.xxhash64("h1"), F.col("parts")).cast("int"))
+    both = F.when(F.col("copies") > 1, F.array("a", "b")).otherwise(F.array("a"))
+    picked = salted.select(*CLASS, "salt", "parts", F.posexplode(both).alias("copy", "p")).select("p.*", *CLASS, "salt", "parts", "copy", F.lit(0).alias("at"))
+    slices = cut(picked.select(*ROW, F.struct(*SPAN).alias("x")), "picked").repartition(n, "g2", "salt").sortWithinPartitions("g2", "salt")
+    found = written(_sorted(slices, length, shard_bytes), "found")
+    spans = found.filter("w1 is null").select(*CLASS, "lo", "hi")
+    if not runs.filter("parts > 1").isEmpty():
+        # only strings whose hashes are in two shards of a run are taken from their texts again and compared
+        strings = found.filter("w1 is not null")
+        twice = written(strings.groupBy("g2", "w1", "w2").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("alone").alias("_alone")).filter("_n > 1 and _alone").select("g2", "w1", "w2"), "twice")
+        strings = written(strings.join(twice, ["g2", "w1", "w2"], "left_semi"), "strings")
+        at = strings.join(classes.select(*CLASS, "a"), CLASS)
+        part = F.pmod(F.xxhash64("w1", "w2"), F.col("parts")).cast("int")
+        at = at.select("a.id", "a.t", "a.u", "g2", "salt", part.alias("parts"), "h1", "h2", F.col("alone").cast("int").alias("copy"), F.col("lo").alias("at"), (F.col("a.s") + F.col("lo")).alias("s"), F.lit(1).alias("n"))
+        strings = cut(at.select(*ROW, F.struct(*SPAN).alias("x")), "places").repartition(n, "g2", "parts").sortWithinPartitions("g2", "parts", "salt", "piece")
+        spans = written(spans.union(_merged(strings, length)), "decided")
+    decided = written(islands(spans, *CLASS), "decided")
+    of_place = level.join(decided, CLASS).select(*ROW, (F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi"))
+    return documents, islands(of_place, *ROW)
 
 
 def _cut(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, t, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = (text or "").encode()
                 kept, at, gone = hashlib.sha256(), 0, merged([(x["lo"], x["hi"]) for x in spans])
                 for lo, hi in gone:
                     kept.update(data[at:lo])
                     at = hi
                 kept.update(data[at:])
-                out.append((i, t, sum(hi - lo for lo, hi in gone), len(gone), kept.hexdigest()))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=["id", "t", "n_removed", "n_spans", "sha"])
+                out.append((*key, sum(hi - lo for lo, hi in gone), len(gone), kept.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, (*[pa.int64()] * 5, pa.string()), strict=True)], names=[*ROW, "n_removed", "n_spans", "sha"])
 
-    return docs.mapInArrow(run, "id bigint, t int, n_removed bigint, n_spans bigint, sha string")
+    return docs.mapInArrow(run, "id bigint, t bigint, u bigint, n_removed bigint, n_spans bigint, sha string")
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text).
+def suffix_dedup(docs: DataFrame, **options: int) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs (doc_id, text); options as of repeated_bytes.
 
     A text is its UTF-8 bytes, null is empty. Each byte is removed that a string of `length` bytes covers which also
     starts anywhere else, in this document or another, judged on the input; matches never cross documents. Rows with
     the same id and text are places of their own, so both lose what they share; ids may be null. n_spans counts
-    maximal removed runs.
+    maximal removed runs. Texts of more than `step` bytes are walked in stretches of it, and whole. An empty table
+    gives an empty result; columns besides doc_id and text are ignored.
     """
-    documents, spans = repeated_bytes(docs, length=length, gram=gram, shard_segments=shard_segments, shard_bytes=shard_bytes)
-    grouped = written(spans.groupBy("id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    cut = _cut(narrowed(_keyed(docs), grouped, "id").dropDuplicates(["id", "t"]).join(grouped, ["id", "t"]).select("id", "t", "text", "spans"))
-    out = documents.join(cut.withColumnRenamed("sha", "_sha"), ["id", "t"], "left")
-    return out.select(F.when(F.col("id") < LAST, F.col("id")).alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("_sha", "sha").alias("kept_sha256"))
+    documents, spans = repeated_bytes(docs, **options)
+    grouped = written(spans.groupBy(*ROW).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    cut = _cut(narrowed(row_keys(docs), grouped, "id").drop("none").dropDuplicates(ROW).join(grouped, ROW).select(*ROW, "text", "spans"))
+    out = documents.join(cut.withColumnRenamed("sha", "_sha"), ROW, "left")
+    return out.select(doc_id(out), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("_sha", "sha").alias("kept_sha256"))
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
