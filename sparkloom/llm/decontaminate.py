@@ -13,13 +13,15 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import need, table, written
+from ._common import col, fresh, need, table, written
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE = 13
 PART = 20
 #: Up to so many bytes a set of words is sent to all executors; beyond, the words are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: The columns that decontaminate() adds.
+ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 #: WORD with each excluded character named, which Java looks up in a table instead of trying ranges.
@@ -60,28 +62,31 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = SIZE, part:
     A document's word is hit if it lies in an occurrence of a window; the document is contaminated if at least one
     word in `part` is hit. items_sha256 is over the ids of occurring items, sorted as strings and joined by commas;
     an item with a null id has windows but is not listed. Null and empty texts have no words; items without words
-    have no windows. Repeated rows and equal ids each keep their own row and result. Other columns pass through,
-    whatever their names, but columns of the names added are replaced.
+    have no windows. Repeated rows and equal ids each keep their own row and result. Texts are read whole, however long. An
+    empty table of documents gives an empty result, an empty benchmark hits nothing. Other columns pass through,
+    whatever their names, but columns of the names added are replaced. Rows are told apart by id and 128 bits of hash.
     """
     need(docs, "doc_id", "text")
     need(items, "item_id", "text")
-    added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    docs = docs.drop(*(c for c in docs.columns if c in added))
-    keyed = docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_k2": F.xxhash64(F.col("doc_id").isNull(), F.col("text"))})
+    docs = docs.select(*(col(c) for c in docs.columns if c.lower() not in ADDED))
+    key = fresh(docs, "_k1", "_k2", "_k3")
+    (own,) = fresh(docs, "_ids")
+    of_row = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *(F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("text")) for seed in (1, 2)))
+    keyed = docs.withColumns(dict(zip(key, of_row, strict=True)))
     windows = written(windows_of(items, size), "windows")
 
     vocabulary = written(windows.select(F.explode("words").alias("word")).distinct(), "vocabulary")
     seen = keyed.select(F.explode(raw_words(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("word"))
-    counts = seen.join(_sent(vocabulary, "word", broadcast_bytes), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("_count"))
+    counts = written(seen.join(_sent(vocabulary, "word", broadcast_bytes), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("_count")), "counts")
     ranked = windows.select("w", "n", "words").distinct().select("w", "n", F.posexplode("words").alias("offset", "word"))
     ranked = ranked.join(counts, "word", "left")
     rarest = ranked.groupBy("w", "n").agg(F.min(F.struct(F.coalesce(F.col("_count"), F.lit(0)).alias("count"), "word", "offset")).alias("r"))
     prefixes = written(rarest.filter("r.count > 0").select("w", "n", F.col("r.word").alias("word"), F.col("r.offset").alias("offset")), "prefixes")
 
-    places = keyed.select("_k1", "_k2", F.posexplode(raw_words(F.col("text"))).alias("_at", "word")).withColumn("word", lowered(F.col("word")))
+    places = keyed.select(*key, F.posexplode(raw_words(F.col("text"))).alias("_at", "word")).withColumn("word", lowered(F.col("word")))
     places = places.join(_sent(prefixes.select("word").distinct(), "word", broadcast_bytes), "word", "left_semi")
     found = places.join(_sent(prefixes, "w", broadcast_bytes), "word").withColumn("start", F.col("_at") - F.col("offset"))
-    found = found.filter("start >= 0").groupBy("_k1", "_k2").agg(F.collect_set(F.struct("start", "n", "w")).alias("_found"))
+    found = found.filter("start >= 0").groupBy(*key).agg(F.collect_set(F.struct("start", "n", "w")).alias("_found"))
 
     # the words are bound to a variable, so that they are taken from the text once for all places
     def sure(words: Column) -> Column:
@@ -89,21 +94,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, size: int = SIZE, part:
         same = lambda x: F.array_join(F.transform(F.slice(words, x["start"] + 1, x["n"]), lowered), " ") == x["w"]
         return F.filter("_found", lambda x: fits(x) & same(x))
 
-    joined = keyed.select("_k1", "_k2", "text").join(found, ["_k1", "_k2"])
-    joined = joined.select("_k1", "_k2", F.transform(F.array(raw_words(F.col("text"))), sure)[0].alias("_sure"))
-    joined = written(joined.filter(F.size("_sure") > 0).dropDuplicates(["_k1", "_k2"]), "sure")
+    joined = keyed.select(*key, "text").join(found, key)
+    joined = joined.select(*key, F.transform(F.array(raw_words(F.col("text"))), sure)[0].alias("_sure"))
+    joined = written(joined.filter(F.size("_sure") > 0).dropDuplicates(key), "sure")
     hit = F.size(F.array_distinct(F.flatten(F.transform("_sure", lambda x: F.sequence(x["start"], x["start"] + x["n"] - 1)))))
-    hits = joined.select("_k1", "_k2", hit.cast("bigint").alias("n_hit"), F.array_distinct(F.col("_sure.w")).alias("_ws"))
+    hits = joined.select(*key, hit.cast("bigint").alias("n_hit"), F.array_distinct(F.col("_sure.w")).alias("_ws"))
 
-    ids = hits.select("_k1", "_k2", F.explode("_ws").alias("w")).join(windows.filter("item_id is not null").select("w", "item_id"), "w")
-    ids = ids.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_ids"))
-    known = hits.select("_k1", "_k2", "n_hit").join(ids, ["_k1", "_k2"], "left")
+    ids = hits.select(*key, F.explode("_ws").alias("w")).join(windows.filter("item_id is not null").select("w", "item_id"), "w")
+    ids = ids.groupBy(*key).agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias(own))
+    known = hits.select(*key, "n_hit").join(ids, key, "left")
 
     no_ids = F.array().cast("array<string>")
     out = keyed.withColumn("n_words", n_words(F.col("text")))
-    out = out.join(known, ["_k1", "_k2"], "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("bigint"), "_ids": F.coalesce("_ids", no_ids)})
-    out = out.withColumns({"n_items": F.size("_ids").cast("bigint"), "items_sha256": F.sha2(F.array_join("_ids", ","), 256), "contaminated": (F.col("n_hit") > 0) & (part * F.col("n_hit") >= F.col("n_words"))})
-    return out.select(*docs.columns, *added)
+    out = out.join(known, key, "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("bigint"), own: F.coalesce(own, no_ids)})
+    out = out.withColumns({"n_items": F.size(own).cast("bigint"), "items_sha256": F.sha2(F.array_join(own, ","), 256), "contaminated": (F.col("n_hit") > 0) & (part * F.col("n_hit") >= F.col("n_words"))})
+    return out.select(*(col(c) for c in docs.columns), *ADDED)
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import need, table, written
+from ._common import col, need, table, written
 
 NULL = "(null)"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,8 @@ POWER = 0.5
 #: sample, at which it ends. So few cells are fitted in one task, without a shuffle for each margin.
 BLOCK, BLOCKS, NEAR = 4, 8, 1e-4
 FEW = 1 << 14
+#: The columns that mix() adds.
+ADDED = ("_source", "_lang", "_topic", "_tokens", "_share", "_p", "_u", "_sampled")
 
 
 def topic_of(text: Column, marks: Sequence[tuple[str, str]] = TOPIC_MARKS, rest: str = TOPIC_REST) -> Column:
@@ -140,10 +142,14 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: s
     False, probabilities over 1 are cut to 1 and nothing makes up for them. A null source or language is the value "(null)". A language or topic without a stated
     share has its part of all tokens as target, and the stated shares are scaled to the rest; a share stated as 0 excludes. A
     document without words weighs nothing and is not sampled; equal keys (null among them) share their draw, so repeated rows come or go together. An
-    empty table gives an empty result. Other columns pass through.
+    empty table gives an empty result. Texts are read whole, however long. Other columns pass through, but columns of the names
+    added are replaced; none of these names can be that of the key, source, language or text (a ValueError).
     """
     need(docs, key, source, lang, text)
-    marked = docs.withColumns({"_source": F.coalesce(F.col(source).cast("string"), F.lit(NULL)), "_lang": F.coalesce(F.col(lang).cast("string"), F.lit(NULL)), "_topic": topic_of(F.col(text)), "_tokens": tokens_of(F.col(text))})
+    if clash := set(ADDED) & {c.lower() for c in (key, source, lang, text)}:
+        raise ValueError(f"columns are added under these names: {sorted(clash)}")
+    docs = docs.select(*(col(c) for c in docs.columns if c.lower() not in ADDED))
+    marked = docs.withColumns({"_source": F.coalesce(col(source).cast("string"), F.lit(NULL)), "_lang": F.coalesce(col(lang).cast("string"), F.lit(NULL)), "_topic": topic_of(col(text)), "_tokens": tokens_of(col(text))})
     cells = written(marked.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_cell_tokens")), "cells")
     spark = docs.sparkSession
     sources = cells.groupBy("_source").agg(F.pow(F.sum("_cell_tokens").cast("double"), F.lit(float(power))).alias("_share"))
@@ -157,7 +163,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: s
     fitted = fitted.select("_source", "_lang", "_topic", F.col("share").alias("_share"), F.when(F.col("_cell_tokens") > 0, F.least(F.lit(1.0), F.col("_take") / F.col("_cell_tokens"))).otherwise(0.0).alias("_p"))
     fitted = written(fitted, "fitted")
     out = marked.join(fitted, ["_source", "_lang", "_topic"], "left")
-    out = out.withColumn("_p", F.when(F.col("_tokens") > 0, F.col("_p")).otherwise(0.0)).withColumn("_u", uniform_of(F.col(key), seed))
+    out = out.withColumn("_p", F.when(F.col("_tokens") > 0, F.col("_p")).otherwise(0.0)).withColumn("_u", uniform_of(col(key), seed))
     return out.withColumn("_sampled", F.col("_u") < F.col("_p"))
 
 
