@@ -67,14 +67,15 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
 
     The payload is the html in UTF-8, empty for null. Of rows with equal payloads of at least min_bytes bytes those
     with the smallest id are responses (repeated rows all are), the others revisit that id; a null id counts as the
-    largest. A null url has no target line. Other columns are ignored. Each attempt of a task writes files of its own
+    largest. A null url has no target line. An empty table writes no file. Other columns are ignored. Each attempt of a task writes files of its own
     and only files that the manifest names count, so a lost executor or a second attempt leaves nothing that is read.
     """
     need(pages, page_id, url, html)
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "sha2": F.sha2("payload", 256)})
     first = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("sha1", "sha2").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    rows = rows.join(first, ["sha1", "sha2"], "left").select("page_id", "url", "payload", "sha1", "first")
+    # written first, so that adaptive execution can split the rows of a hot digest
+    rows = rows.join(written(first, "first"), ["sha1", "sha2"], "left").select("page_id", "url", "payload", "sha1", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = local_or_uri(path)
