@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     shingles of `size` words, or its whole sequence if it has fewer; null and texts without words have an empty set
     and link with nothing. Documents link if den * |intersection| >= num * |union|; component_id is the smallest id
     reachable and kept marks it. Rows with the same id are one document for links, and each gets its row. A row with a
-    null id links with nothing, has a null component and is kept. Any order and repeated rows give the same result.
+    null id links with nothing, has a null component and is kept. Any order and repeated rows give the same result. Texts
+    are whole, however long. An empty table gives an empty result; columns besides doc_id and text are ignored.
     """
     need(docs, "doc_id", "text")
     sketch = written(sketches(docs, size, k), "sketches")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._common import need, table
+from ._common import col, need, table
 
 FOLDS = 5
 MAX_ROWS = 40_000
@@ -189,29 +189,37 @@ def held_out(doc_id, folds: int = FOLDS):
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows: int = MAX_ROWS, folds: int = FOLDS) -> Model:
     """Fits the model on the labelled documents that aren't held out, the max_rows of them with the least id hashes.
 
-    Null labels and ids don't count; an id with several labels has the label that most of them give, 1 if it is even. The driver
-    gets at most max_rows rows of features (more where ids repeat in docs).
+    Null labels and ids don't count; an id with several labels has the label that most of them give, 1 if it is even. Of rows
+    that share an id the one with the least text hash is learned from, so the driver gets at most max_rows rows of features.
+    Null and empty texts have features like others. Without labelled rows, or with one class only, every text scores
+    near that class's share (0.5 without any). Other columns are ignored.
     """
     need(docs, "doc_id", "text")
     need(labels, "doc_id", label)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).filter(~held_out(F.col("doc_id"), folds))
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg((F.avg(F.col(label)) >= 0.5).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text").join(F.broadcast(known), "_id").select("_id", "_y", "text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_t"), "text").join(F.broadcast(known), "_id").select("_id", "_y", "_t", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.astype("<f8").tobytes() for r in features_of(part.column(2))], pa.binary())], names=["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([r.astype("<f8").tobytes() for r in features_of(part.column(3))], pa.binary())], names=["id", "y", "t", "x"])
 
-    got = sorted(rows.mapInArrow(run, "id bigint, y int, x binary").collect(), key=lambda r: (r[0], bytes(r[2])))
+    one = rows.mapInArrow(run, "id bigint, y int, t bigint, x binary").groupBy("id", "y").agg(F.min_by("x", F.struct("t", "x")).alias("x"))
+    got = sorted(one.collect(), key=lambda r: r[0])
     x = np.frombuffer(b"".join(bytes(r[2]) for r in got), "<f8").reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in got], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column _score, in [0, 1]; null and empty texts have one too."""
-    docs = docs.drop("_score")
+    """docs with a column _score, in [0, 1]; null and empty texts have one too, equal texts equal ones.
+
+    Texts are read whole, however long. Repeated rows each have theirs; an empty table gives an empty result. A column
+    _score that docs had is replaced; other columns pass through.
+    """
+    need(docs, "text")
+    docs = docs.select(*(col(c) for c in docs.columns if c.lower() != "_score"))
     columns = docs.columns
     at = columns.index("text")
 

@@ -163,7 +163,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = EN
 
     tokenizer: a path, or a file's name in the public_tokenizers package. A null text is empty and is its end id alone. Null ids come first; rows with equal
     ids are in the order of a hash of their texts. Texts that are longer than a batch are whole, as all are. Files
-    are of one task attempt and count only if the manifest names them. Other columns are ignored.
+    are of one task attempt and count only if the manifest names them. An empty table writes no file. Other columns are
+    ignored.
     """
     need(docs, "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("_t"), F.spark_partition_id().alias("_p"), "text")
