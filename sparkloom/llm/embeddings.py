@@ -4,7 +4,9 @@ Vectors of length 1 whose cosine is at least c are at most epsilon = sqrt(2 - 2
 principal axes, and sorted by the cells, of width epsilon, in which their leading coordinates lie. Stretches of this
 order are blocks; a pair of blocks is joined only if their bounding boxes, over many axes, are within epsilon, and
 inside a task the join halves both stretches again and again, dropping halves that are provably distant, until they
-are small enough for a matrix product. Equal vectors are one, with their number.
+are small enough for a matrix product. Where the coordinates left out are many, boxes rarely are distant; so a leaf first
+takes the product over the box's axes alone and adds the product of the norms left, a bound of the cosine, and only
+pairs within that bound are compared over all components. Equal vectors are one, with their number.
 """
 
 from __future__ import annotations
@@ -72,6 +74,8 @@ class _Pair:
 
     def __init__(self, a, b, same: bool, cosine: float):
         (self.ia, self.ca, self.xa, self.pa), (self.ib, self.cb, self.xb, self.pb) = a, b
+        self.ra, self.rb = (np.sqrt(np.maximum(0.0, 1 - (p * p).sum(axis=1))) for p in (self.pa, self.pb))
+        self.bounded = self.compared = 0
         self.same, self.cosine, self.limit = same, cosine, 2 - 2 * cosine + SLACK
         self.na, self.la = np.zeros(len(self.ia), np.int64), self.ia.copy()
         self.nb, self.lb = (self.na, self.la) if same else (np.zeros(len(self.ib), np.int64), self.ib.copy())
@@ -93,13 +97,21 @@ class _Pair:
 
     def leaf(self, a0: int, a1: int, b0: int, b1: int) -> None:
         x, y = self.xa[a0:a1], self.xb[b0:b1]
-        cos = x @ y.T
-        for i, j in zip(*np.nonzero(np.abs(cos - self.cosine) < NEAR), strict=True):
-            cos[i, j] = float((x[i] * y[j]).sum())
-        hit = cos >= self.cosine
         diagonal = self.same and a0 == b0
+        near = self.pa[a0:a1] @ self.pb[b0:b1].T + self.ra[a0:a1, None] * self.rb[None, b0:b1] >= self.cosine - SLACK
+        self.bounded += near.size
         if diagonal:
-            np.fill_diagonal(hit, False)
+            np.fill_diagonal(near, False)
+        i, j = np.nonzero(near)
+        self.compared += len(i)
+        if 8 * len(i) < near.size:
+            cos = np.einsum("ij,ij->i", x[i], y[j])
+        else:
+            cos = (x @ y.T)[i, j]
+        for k in np.flatnonzero(np.abs(cos - self.cosine) < NEAR).tolist():
+            cos[k] = float((x[i[k]] * y[j[k]]).sum())
+        hit = np.zeros(near.shape, bool)
+        hit[i, j] = cos >= self.cosine
         rows, cols = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
         if not len(rows):
             return
@@ -217,8 +229,8 @@ def near_vectors(table: DataFrame, *, cosine: float = COSINE, axes: int = AXES,
     A vector links with every other whose cosine is at least `cosine`, above 0, in double precision; n_links counts
     them, equal vectors among them; component_id is the smallest id reachable. Vectors that are null, empty, zero, or
     hold null or non-finite components link with nothing, and so do rows with a null id, whose component is null; all
-    of these are kept. Vectors of different lengths don't link. Rows with equal ids are vectors of their own. Other
-    columns are ignored.
+    of these are kept. Vectors of different lengths don't link. Rows with equal ids are vectors of their own. An
+    empty table gives an empty result. Other columns are ignored.
     """
     need(table, "vec_id", "embedding")
     kind = table.schema["embedding"].dataType.elementType.typeName()
