@@ -31,7 +31,7 @@ def documents(spark):
     near[100] = "changed"
     texts = [base, base, " ".join(near), base.upper(), passage + " " + prose(40, 3), prose(40, 4) + "\n" + passage, None, "", "  \n ", "one two", "One  TWO", "x" * 3000, prose(30, 5) + " " + passage[:200], prose(4000, 6), "é " * 120 + prose(70, 7), "é " * 120 + prose(70, 7) + " tail"]
     rows = [(i + 1, t, "en" if i % 2 else None, f"s{i % 3}" if i % 5 else None, len(t or ""), "x") for i, t in enumerate(texts)]
-    rows += [rows[0], (None, base, "en", "s0", 1, None), (None, None, None, None, None, None)]
+    rows += [rows[0], (None, base, "en", "s0", 1, None), (None, None, None, None, None, None), (2**63 - 1, base, "en", "s0", 1, None)]
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
@@ -114,6 +114,19 @@ def test_mixing_gives_the_surplus_of_full_cells_to_others(spark):
     assert by(0, "a") == pytest.approx(whole * 9800 / 21000, rel=1e-3)
 
 
+def test_clashing_columns_pass_through_or_are_replaced(spark):
+    rows = [(i, "a b c " * 20, "en", "s", i, "mine", 1.5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, _P int, `_k1` string, `a.b` double").withColumnsRenamed({"_P": "_p"}).withColumn("_ids", F.lit(3)).withColumn("_score", F.lit(7))
+    out = mixing.mix(docs, keep=0.5)
+    assert out.columns.count("_p") == 1 and all(0 <= r["_p"] <= 1 for r in out.collect()) and "a.b" in out.columns
+    with pytest.raises(ValueError, match="added"):
+        mixing.mix(docs.withColumnRenamed("source", "_source"), source="_source")
+    items = spark.createDataFrame([(1, "a b c a")], "item_id bigint, text string")
+    out = decontaminate.decontaminate(docs, items).collect()
+    assert {(r["_k1"], r["_ids"], r["_p"] == r["doc_id"], r["a.b"]) for r in out} == {("mine", 3, True, 1.5)}
+    assert all(r["contaminated"] and r["n_hit"] == 58 for r in out)
+
+
 def test_mixing_samples_languages_without_a_stated_share(spark):
     rows = [(i, "w " * 100, lang, "s") for i, lang in enumerate(["en"] * 80 + ["de"] * 60 + ["it"] * 40 + [None] * 20)]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), lang_share={"en": 0.5, "de": 0.5}, keep=0.5)
@@ -185,6 +198,15 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_recall_on_real_documents(spark):
+    """Links and components of the whole table equal those of all pairs of sets, for both sizes of shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for size in (4, 5):
+        got = {x["id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(docs, size=size).collect()}
+        assert got == brute_near(rows, size, 4, 5)
+
+
 def test_estimate_is_corrected_for_chance():
     r = np.random.default_rng(1)
     orders = minhash._orders(256)
@@ -210,6 +232,41 @@ def test_quality_learns_and_takes_odd_texts(spark):
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in held)
 
 
+def test_quality_model_scores_as_a_plain_loop_does():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(600, 4))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + 0.3 * r.normal(size=600)) > 0).astype(float)
+    model = quality.fit(x[:400], y[:400], rounds=40, pairs=2, pair_rounds=20)
+
+    def plain(row):
+        total = model.base
+        for edges, values, v in zip(model.edges, model.tables, row, strict=True):
+            total += values[sum(1 for e in edges if e <= v)]
+        for i, j, ei, ej, values in model.pairs:
+            total += values[sum(1 for e in ei if e <= row[i])][sum(1 for e in ej if e <= row[j])]
+        return 1 / (1 + np.exp(-total))
+
+    scores = model.score(x[400:])
+    assert scores == pytest.approx([plain(row) for row in x[400:]], abs=1e-12)
+    assert auc(scores, y[400:]) > 0.85 and (1, 2) in {(i, j) for i, j, *_ in model.pairs}
+
+
+def auc(scores, y):
+    good, bad = scores[y == 1], scores[y == 0]
+    return float(((good[:, None] > bad[None, :]) + 0.5 * (good[:, None] == bad[None, :])).mean())
+
+
+def test_quality_on_held_out_labels(spark):
+    """The registered query on real labels: its contract's columns, and how well it ranks rows that it never saw."""
+    sf = "/root/testdata/sf0.01"
+    out = {r["doc_id"]: r for r in quality.op5_quality(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    held = [r for r in labels if out[r["doc_id"]]["held_out"]]
+    assert len(out) == 1000 and all(r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in out.items())
+    scores, y = np.array([out[r["doc_id"]]["score"] for r in held]), np.array([r["quality"] for r in held])
+    assert len(held) > 50 and auc(scores, y) > 0.95
+
+
 def test_token_files_hold_the_library_ids(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -276,6 +333,19 @@ def test_near_vectors_equal_brute_force(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_few_pairs_of_vectors_are_compared_in_full():
+    r = np.random.default_rng(8)
+    x = embeddings._unit(r.normal(size=(1500, 64)))
+    x[700:760] = embeddings._unit(x[:60] + r.normal(scale=0.04, size=(60, 64)))
+    axes = np.linalg.svd(x)[2].T[:, :16]
+    side = np.arange(1500), np.ones(1500, np.int64), x, x @ axes
+    pair = embeddings._Pair(side, side, True, 0.9)
+    pair.join(0, 1500, 0, 1500)
+    hit = x @ x.T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert (pair.na == hit.sum(axis=1)).all() and hit.any() and pair.compared < 0.05 * pair.bounded
+
+
 def test_suffix_array_and_prefixes():
     r = np.random.default_rng(0)
     text = np.concatenate([r.integers(97, 99, 1200), r.integers(97, 99, 300).repeat(1)] * 2).astype(np.uint8)
@@ -305,7 +375,7 @@ def test_repeated_bytes_equal_brute_force(spark):
             if count[b[j : j + 400]] > 1:
                 gone[j : j + 400] = b"\1" * 400
         expected[i, len(b), sum(gone), sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1])), hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
-    for options in ({}, {"shard_segments": 2, "shard_bytes": 2000}):
+    for options in ({}, {"shard_segments": 2, "shard_bytes": 2000}, {"shard_segments": 1, "shard_bytes": 1, "step": 700}):
         assert collections.Counter(tuple(r) for r in suffixes.suffix_dedup(docs, **options).collect()) == expected
     assert suffixes.suffix_dedup(docs.limit(0)).count() == 0
 
@@ -327,10 +397,39 @@ def test_repeated_words_equal_brute_force(spark):
             if first[tuple(w[j : j + 50])] < (2**63 - 1 if i is None else i):
                 gone[j : j + 50] = [True] * 50
         expected[i, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest()] += 1
-    assert collections.Counter(tuple(r) for r in substrings.substring_dedup(docs).collect()) == expected
+    for step in (substrings.STEP, 300):
+        assert collections.Counter(tuple(r) for r in substrings.substring_dedup(docs, step=step).collect()) == expected
     assert substrings.substring_dedup(docs.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_keep_their_own_results(spark):
+    # the last two texts have equal 32-bit hashes
+    rows = [(1, "text number zzz"), (None, "text number 2654"), (None, "text number 91281")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, sha string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    out = suffixes.suffix_dedup(docs, length=8, gram=4).collect()
+    assert sorted(r["kept_sha256"] for r in out) == sorted([sha("zzz"), sha("2654"), sha("91281")])
+    out = substrings.substring_dedup(docs, length=2).collect()
+    assert sorted((r["doc_id"] or 0, r["n_removed"], r["kept_sha256"]) for r in out) == sorted([(1, 0, sha("text number zzz")), (0, 2, sha("2654")), (0, 2, sha("91281"))])
+
+
+def test_texts_of_megabytes(spark):
+    """Longer than a stretch: a copy shifted by some bytes, one letter over and over, and a word without spaces."""
+    base = prose(500_000, 11, 50_000)
+    texts = [base, "shift " + base[:1_500_000] + " end", "a" * 1_200_000, ("b" * 3_000_000) + " " + base[2_000_000:2_000_600]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in suffixes.suffix_dedup(docs, step=1 << 18).collect()}
+    assert len(base) > 3_000_000 and [out[i]["n_bytes"] for i in range(4)] == [len(t) for t in texts]
+    assert (out[0]["n_removed"], out[0]["n_spans"], out[1]["n_removed"], out[1]["n_spans"]) == (1_500_600, 2, 1_500_000, 1)
+    assert out[2]["n_removed"] == len(texts[2]) and out[3]["n_removed"] == 3_000_600
+    assert out[1]["kept_sha256"] == hashlib.sha256(b"shift  end").hexdigest()
+    out = {r["doc_id"]: r for r in substrings.substring_dedup(docs, step=1 << 18).collect()}
+    words = base.split()
+    whole = len(base[:1_500_000].rsplit(" ", 1)[0].split()) if base[1_500_000] != " " else len(base[:1_500_000].split())
+    assert out[0]["n_removed"] == 0 and out[0]["n_words"] == len(words) and out[1]["n_removed"] == whole
+    assert out[3]["n_words"] == 1 + len(texts[3].split()[1:]) and out[2]["n_removed"] == 0
+
+
 def test_contamination_equals_brute_force(spark):
     docs = documents(spark)
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
