@@ -4,7 +4,7 @@ Which strings of `length` bytes start at two places? Strings meet in a shard thr
 _winnow): strings with the same run of bytes around the anchor belong to one shard, and strings around which
 nothing is repeated need none. Segments of strings that are equal as a whole count as one. A shard's text is the
 segments around a repeated run, of equal ones two; its suffix array is sorted by Larsson and Sadakane's refinement,
-whose ranks double the compared length each round, and Kasai's algorithm gives the common prefixes of neighbours, which
+whose ranks multiply the compared length each round, and Kasai's algorithm gives the common prefixes of neighbours, which
 alone decide what is repeated; the further copies of a segment have the outcome of its first. A run with more segments
 than a shard holds is dealt over several shards; their sorted strings are merged by binary search afterwards.
 """
@@ -29,17 +29,19 @@ GRAM = 64
 SEEDS = (0xBEEF, 0xCAFE)
 #: Segments of one run that go to one shard, about, and bytes of text at which a shard is sorted.
 SHARD_SEGMENTS = 512
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 18
 #: Bytes of text that are hashed at once; a longer text is walked in stretches of so many windows.
 STEP = 1 << 20
-LANES = 4096
+STRETCH = 16
 CLASS = ["g2", "h1", "h2"]
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """The suffixes of text in order, a suffix before those that it starts.
 
-    A round ranks suffixes by twice as many bytes as the one before, and sorts only those that still have equals.
+    Larsson and Sadakane's refinement: a suffix's rank by its first h bytes and those of the suffixes h (and 2 h) further
+    on give its rank by 2 h (3 h) bytes. A round ranks only those that still have equals; as many ranks are joined as one
+    number holds.
     """
     n = len(text)
     if n == 0:
@@ -47,10 +49,13 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.ndarray(n, dtype=">u8", buffer=padded, strides=(1,)).astype(U)
     sa = np.argsort(key)
-    rank = np.zeros(n + 1, np.int64)  # 0: behind the end
+    key = key[sa]
+    rank = np.zeros(n + 1, U)  # 0: behind the end
     head = np.ones(n, bool)
-    head[1:] = key[sa[1:]] != key[sa[:-1]]
-    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0))
+    head[1:] = key[1:] != key[:-1]
+    rank[sa] = np.maximum.accumulate(np.where(head, np.arange(1, n + 1), 0)).astype(U)
+    bits = n.bit_length()
+    joined = 3 if 3 * bits <= 64 else 2
     h = 8
     while True:
         alone = head.copy()
@@ -59,53 +64,50 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not len(at):
             break
         p = sa[at]
-        old, after = rank[p], rank[np.minimum(p + h, n)]
-        order = np.argsort((old.astype(U) << U(32)) | after.astype(U))
-        sa[at], old, after = p[order], old[order], after[order]
+        key = rank[p]
+        for k in range(1, joined):
+            key = (key << U(bits)) | rank[np.minimum(p + k * h, n)]
+        order = np.argsort(key)
+        sa[at], key = p[order], key[order]
         new = np.ones(len(at), bool)
-        new[1:] = (old[1:] != old[:-1]) | (after[1:] != after[:-1])
+        new[1:] = key[1:] != key[:-1]
         head[at] = new
-        rank[sa[at]] = np.maximum.accumulate(np.where(new, at + 1, 0))
-        h *= 2
+        rank[sa[at]] = np.maximum.accumulate(np.where(new, at + 1, 0)).astype(U)
+        h *= joined
     return sa
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int, lanes: int = LANES) -> np.ndarray:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int, stretch: int = STRETCH) -> np.ndarray:
     """For each place of the suffix array the bytes, depth at most, that its suffix shares with the one before.
 
-    Kasai's walk in text order, where each suffix shares at least one byte less than the one that starts before it;
-    many stretches of the text are walked at once, eight bytes compared at a time.
+    Kasai's walk in text order, where each suffix shares no more than one byte less than the one that starts before it;
+    all stretches of the text are walked at once, eight bytes compared at a time.
     """
     n = len(text)
-    out = np.zeros(n, np.int64)
     if n < 2:
-        return out
+        return np.zeros(n, np.int64)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.concatenate([np.ndarray(n, dtype="<u8", buffer=padded, strides=(1,)).astype(U), np.zeros(depth + 8, U)])
-    before = np.full(n, -1, np.int64)
+    before = np.full(-(-n // stretch) * stretch, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    stretch = -(-n // lanes)
     lane = np.arange(0, n, stretch)
     shared = np.zeros(len(lane), np.int64)
-    place = np.zeros(n, np.int64)
-    place[sa] = np.arange(n)
+    out = np.zeros((stretch, len(lane)), np.int64)
     for step in range(stretch):
-        i = lane + step
-        go = np.flatnonzero(i < n)
-        shared = np.maximum(shared - 1, 0)
-        shared[go[before[i[go]] < 0]] = 0
-        go = go[before[i[go]] >= 0]
+        b = before[step::stretch]
+        shared = np.where(b < 0, 0, np.maximum(shared - 1, 0))
+        go = np.flatnonzero(b >= 0)
+        x, y, s = lane[go] + step, b[go], shared[go]
         while len(go):
-            a, b = i[go] + shared[go], before[i[go]] + shared[go]
-            differ = words[a] ^ words[b]
-            low = differ & (~differ + U(1))
-            more = np.where(differ == 0, 8, np.floor(np.log2(np.maximum(low, U(1)).astype(np.float64))).astype(np.int64) >> 3)
-            more = np.minimum(more, n - np.maximum(a, b))
-            shared[go] = np.minimum(shared[go] + more, depth)
-            go = go[(more == 8) & (shared[go] < depth)]
-        inside = i < n
-        out[place[i[inside]]] = shared[inside]
-    return out
+            differ = words[x + s] ^ words[y + s]
+            more = np.where(differ == 0, 8, (differ.view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1))
+            most = np.minimum(depth, n - np.maximum(x, y))
+            s = np.minimum(s + more, most)
+            shared[go] = s
+            on = np.flatnonzero((more == 8) & (s < most))
+            go, x, y, s = go[on], x[on], y[on], s[on]
+        out[step] = shared
+    return out.T.ravel()[:n][sa]
 
 
 def repeated_starts(text: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:

@@ -352,7 +352,7 @@ def test_suffix_array_and_prefixes():
     data = text.tobytes()
     order = suffixes.suffix_array(text)
     assert [data[i:] for i in order] == sorted(data[i:] for i in range(len(data)))
-    shared = suffixes.common_prefixes(text, order, 400, lanes=7)
+    shared = suffixes.common_prefixes(text, order, 400, stretch=7)
 
     def common(a, b):
         k = 0
