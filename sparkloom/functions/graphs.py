@@ -5,14 +5,19 @@ Groups are bounded by their number of nodes or variables, which the caller decla
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import deque
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .distributions import t_two_sided_p
 
 MAX_NODES = 2000
+MAX_ROWS = 100_000
 
 
 def _check(n: int) -> None:
@@ -137,39 +142,44 @@ def spectral_gap(adjacency: np.ndarray) -> float:
 
 
 def partial_correlation_p(data: np.ndarray, i: int, j: int, given: tuple[int, ...]) -> float:
-    """STA10: Fisher's z test of the partial correlation of two columns given others."""
+    """STA10: p of the partial correlation of two columns given others; without others, of Pearson's r by its t.
+
+    With others, the covariance has 1e-6 added to its diagonal, r is held to 0.9999, and Fisher's z has n - |given| - 2
+    degrees of freedom, at least 1.
+    """
+    n = len(data)
+    if not given:
+        r = float(np.corrcoef(data[:, i], data[:, j])[0, 1])
+        return 0.0 if abs(r) >= 1 else t_two_sided_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
     idx = [i, j, *given]
-    precision = np.linalg.pinv(np.corrcoef(data[:, idx], rowvar=False))
-    r = float(np.clip(-precision[0, 1] / math.sqrt(max(precision[0, 0] * precision[1, 1], 1e-300)), -0.999999, 0.999999))
-    free = len(data) - len(given) - 3
-    return 1.0 if free <= 0 else math.erfc(abs(math.atanh(r)) * math.sqrt(free) / math.sqrt(2))
+    precision = np.linalg.pinv(np.cov(data[:, idx], rowvar=False) + 1e-6 * np.eye(len(idx)))
+    r = float(np.clip(-precision[0, 1] / math.sqrt(abs(precision[0, 0] * precision[1, 1]) + 1e-10), -0.9999, 0.9999))
+    z = 0.5 * math.log((1 + r) / (1 - r + 1e-10))
+    return math.erfc(abs(z) * math.sqrt(max(n - len(given) - 2, 1)) / math.sqrt(2))
 
 
 def pc(data: np.ndarray, alpha: float, most: int) -> np.ndarray:
-    """STA11: a directed graph by constraint-based search; columns are taken in order.
+    """STA11: a directed graph by constraint-based search; columns are taken in order, and each removal counts at once.
 
-    Edges go where a test with up to `most` neighbours given doesn't reject independence; colliders are turned, then
-    edges that would make a new collider; what is left points from the smaller to the larger column.
+    An edge of a smaller and a larger column goes where a test given up to `most` other neighbours of the smaller one
+    doesn't reject independence. Both edges of a collider turn to it; then an undirected edge points away from a column
+    that some column not linked to its other end points to; what is left points from the smaller to the larger column.
     """
-    import itertools
-
     p = data.shape[1]
     _check(p)
     linked = ~np.eye(p, dtype=bool)
     apart: dict[tuple[int, int], tuple[int, ...]] = {}
+    pairs = list(itertools.combinations(range(p), 2))
     for size in range(most + 1):
-        for i, j in itertools.combinations(range(p), 2):
-            for side in (i, j):
-                if not linked[i, j]:
-                    break
-                others = [k for k in np.flatnonzero(linked[side]).tolist() if k not in (i, j)]
-                for given in itertools.combinations(others, size):
-                    if partial_correlation_p(data, i, j, given) > alpha:
-                        linked[i, j] = linked[j, i] = False
-                        apart[i, j] = given
-                        break
+        for i, j in pairs:
+            if linked[i, j]:
+                others = [k for k in np.flatnonzero(linked[i]).tolist() if k != j]
+                given = next((g for g in itertools.combinations(others, size) if partial_correlation_p(data, i, j, g) > alpha), None)
+                if given is not None:
+                    linked[i, j] = linked[j, i] = False
+                    apart[i, j] = given
     out = linked.copy()
-    for i, j in itertools.combinations(range(p), 2):
+    for i, j in pairs:
         if not linked[i, j]:
             for k in np.flatnonzero(linked[i] & linked[j]).tolist():
                 if k not in apart.get((i, j), ()):
@@ -177,41 +187,40 @@ def pc(data: np.ndarray, alpha: float, most: int) -> np.ndarray:
     changed = True
     while changed:
         changed = False
-        for a, b in itertools.permutations(range(p), 2):
-            if out[a, b] and not out[b, a]:
-                for c in range(p):
-                    if c != a and out[b, c] and out[c, b] and not linked[a, c]:
-                        out[c, b] = False
-                        changed = True
-    for i, j in itertools.combinations(range(p), 2):
+        for i, j in itertools.permutations(range(p), 2):
+            if out[i, j] and out[j, i]:
+                into, apart_of_j = out[:, i] & ~out[i], ~out[:, j] & ~out[j]
+                into[[i, j]] = False
+                if (into & apart_of_j).any():
+                    out[j, i] = False
+                    changed = True
+    for i, j in pairs:
         if out[i, j] and out[j, i]:
             out[j, i] = False
     return out
 
 
-def bootstrap_edges(matrix: DataFrame, repeats: int, alpha: float = 0.05, most: int = 1, seed: int = 1) -> DataFrame:
-    """STA12: (src, dst, frequency) of edges over resampled fits, a repeat being a task.
+def bootstrap_edges(matrix: DataFrame, repeats: int, alpha: float = 0.05, most: int = 3, seed: int = 1, by: str | None = None) -> DataFrame:
+    """STA12: (by, src, dst, frequency) of edges over resampled fits; a fit is a task, however many groups there are.
 
-    matrix: (row, values array), the observations of few variables; each task gets all, so their size is checked.
+    matrix: (by, row, values array), the observations of few variables. A group's observations meet in the tasks of its
+    own fits, MAX_ROWS at most (an error beyond), and nowhere else.
     """
-    spark = matrix.sparkSession
-    rows = matrix.limit(100_001).toPandas()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100000 observations; aggregate them first")
-    data = np.array(rows.sort_values("row")["values"].tolist(), float)
-
-    def run(batches):
-        for pdf in batches:
-            for repeat in pdf.id:
-                rng = np.random.default_rng([seed, int(repeat)])
-                x = data[rng.integers(0, len(data), len(data))]
-                src, dst = np.nonzero(pc(x, alpha, most))
-                yield pd.DataFrame({"src": src, "dst": dst})
+    g = F.lit(0) if by is None else F.col(by)
+    rows = matrix.select(g.alias("g"), "row", "values", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    kind = rows.schema["g"].dataType.simpleString()
 
-    from pyspark.sql import functions as F
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_ROWS:
+            raise ValueError(f"a group of {len(pdf)} observations; at most {MAX_ROWS} are taken")
+        data = np.array(pdf.sort_values("row")["values"].tolist(), float)
+        rng = np.random.default_rng([seed, int(key[1])])
+        src, dst = np.nonzero(pc(data[rng.integers(0, len(data), len(data))], alpha, most))
+        return pd.DataFrame({"g": [key[0]] * len(src), "src": src, "dst": dst})
 
-    found = spark.range(repeats, numPartitions=min(repeats, spark.sparkContext.defaultParallelism)).mapInPandas(run, "src int, dst int")
-    return found.groupBy("src", "dst").agg((F.count(F.lit(1)) / repeats).alias("frequency"))
+    found = rows.groupBy("g", "repeat").applyInPandas(run, f"g {kind}, src int, dst int")
+    out = found.groupBy("g", "src", "dst").agg((F.count(F.lit(1)) / repeats).alias("frequency"))
+    return out.drop("g") if by is None else out.withColumnRenamed("g", by)
 
 
 def linear_sem(data: np.ndarray, mask: np.ndarray, l1: float = 0.01, acyclic: float = 1.0, steps: int = 300, rate: float = 0.02) -> np.ndarray:
@@ -234,3 +243,57 @@ def linear_sem(data: np.ndarray, mask: np.ndarray, l1: float = 0.01, acyclic: fl
         a -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     np.fill_diagonal(a, 0)
     return a
+
+
+def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
+    """GRA2: the triangles of a Delaunay triangulation, by inserting point after point (Bowyer and Watson).
+
+    Equal points after the first take no part; points on a line have no triangle. Where four points lie on a circle,
+    either diagonal may be taken.
+    """
+    _check(len(xy))
+    p = np.asarray(xy, float)
+    if len(p) < 3:
+        return []
+    centre, size = (p.min(axis=0) + p.max(axis=0)) / 2, max(float(np.ptp(p, axis=0).max()), 1e-9)
+    q = np.vstack([p - centre, size * 1e4 * np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]])])
+    n, seen = len(p), set()
+    triangles = np.array([[n, n + 1, n + 2]])
+    for i in range(n):
+        if tuple(p[i]) in seen:
+            continue
+        seen.add(tuple(p[i]))
+        a, b, c = (q[triangles[:, k]] - q[i] for k in range(3))
+        size2 = [(v * v).sum(axis=1) for v in (a, b, c)]
+        inside = size2[0] * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0]) - size2[1] * (a[:, 0] * c[:, 1] - a[:, 1] * c[:, 0]) + size2[2] * (a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) > 0
+        sides = np.concatenate([triangles[inside][:, [k, (k + 1) % 3]] for k in range(3)])
+        held = {tuple(s) for s in sides.tolist()}
+        rim = [s for s in sides.tolist() if (s[1], s[0]) not in held]
+        triangles = np.concatenate([triangles[~inside], np.array([[s, t, i] for s, t in rim]).reshape(-1, 3)])
+    return sorted(tuple(sorted(t)) for t in triangles.tolist() if max(t) < n)
+
+
+def ward(points: np.ndarray, weights: np.ndarray, n_groups: list[int]) -> dict[int, np.ndarray]:
+    """GRA15: labels from 0 for each number of groups, by merging the two groups whose union adds least to the squares."""
+    _check(len(points))
+    groups = {i: [i] for i in range(len(points))}
+    centre, mass = {i: np.asarray(x, float) for i, x in enumerate(points)}, {i: float(w) for i, w in enumerate(weights)}
+    out: dict[int, np.ndarray] = {}
+
+    def note() -> None:
+        if len(groups) in n_groups:
+            labels = np.zeros(len(points), int)
+            for k, members in enumerate(sorted(groups.values())):
+                labels[members] = k
+            out[len(groups)] = labels
+
+    note()
+    while len(groups) > 1:
+        cost = lambda a, b: mass[a] * mass[b] / max(mass[a] + mass[b], 1e-300) * float(((centre[a] - centre[b]) ** 2).sum())
+        a, b = min(itertools.combinations(sorted(groups), 2), key=lambda x: (round(cost(*x), 12), x))
+        total = mass[a] + mass[b]
+        centre[a] = (mass[a] * centre[a] + mass[b] * centre[b]) / max(total, 1e-300)
+        mass[a] = total
+        groups[a] = sorted(groups[a] + groups.pop(b))
+        note()
+    return out

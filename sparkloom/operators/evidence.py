@@ -166,6 +166,69 @@ def cluster_bootstrap(units: DataFrame, cluster: str, difference: str, repeats:
     return n.crossJoin(ends).select(F.col("n").alias("n_clusters"), "estimate", "ci_low", "ci_high")
 
 
+def nested_bootstrap(units: DataFrame, repeats: int, seed: str) -> DataFrame:
+    """STA17: estimate and 95 % interval of a mean of strata's means of clusters' means of blocks.
+
+    units: (stratum, cluster, block, value). In each repeat every stratum draws as many clusters as it has, with
+    replacement, and each drawn cluster as many of its blocks; place k of n is floor(u * n) of a hash.
+    """
+    blocks = units.withColumn("_bp", F.row_number().over(Window.partitionBy("stratum", "cluster").orderBy("block")) - 1)
+    clusters = units.groupBy("stratum", "cluster").agg(F.count(F.lit(1)).alias("_nb"))
+    clusters = clusters.withColumns({"_cp": F.row_number().over(Window.partitionBy("stratum").orderBy("cluster")) - 1, "_nc": F.count(F.lit(1)).over(Window.partitionBy("stratum"))})
+    runs = units.sparkSession.range(repeats).withColumnRenamed("id", "_r")
+    slots = clusters.select("stratum", "_nc").distinct().crossJoin(runs).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nc") - 1)))  # repeats times clusters
+    taken = slots.withColumn("_cp", F.floor(draw(F.lit(seed), F.col("_r"), F.col("stratum"), F.col("_slot")) * F.col("_nc")).cast("int")).join(clusters.drop("_nc"), ["stratum", "_cp"])
+    inner = taken.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
+    inner = inner.withColumn("_bp", F.floor(draw(F.lit(seed), F.col("_r"), F.col("stratum"), F.col("_slot"), F.col("_i")) * F.col("_nb")).cast("int"))
+    means = inner.join(blocks.select("stratum", "cluster", "_bp", "value"), ["stratum", "cluster", "_bp"]).groupBy("_r", "stratum", "_slot").agg(F.avg("value").alias("value"))
+    for by in (["_r", "stratum"], ["_r"]):
+        means = means.groupBy(*by).agg(F.avg("value").alias("value"))
+    whole = units.groupBy("stratum", "cluster").agg(F.avg("value").alias("value")).groupBy("stratum").agg(F.avg("value").alias("value")).agg(F.avg("value").alias("estimate"))
+    return whole.crossJoin(means.agg(F.percentile("value", 0.025).alias("ci_low"), F.percentile("value", 0.975).alias("ci_high")))
+
+
+def precision_difference(rows: DataFrame, repeats: int, seed: str) -> DataFrame:
+    """STA17: mean and 95 % interval of the difference of two scores' average precision, sources drawn with replacement.
+
+    rows: (source, target, score_a, score_b, positive). A source drawn several times counts so often in every row of its
+    own; only sources' places are drawn.
+    """
+    from .screening import weighted_metrics
+
+    placed = rows.select("source").distinct().withColumn("_p", F.row_number().over(Window.orderBy("source")) - 1)
+    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    slots = rows.sparkSession.range(repeats).withColumnRenamed("id", "_r").crossJoin(F.broadcast(n)).withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    taken = slots.withColumn("_p", F.floor(draw(F.lit(seed), F.col("_r"), F.col("_slot")) * F.col("_n")).cast("int"))
+    times = taken.join(placed, "_p").groupBy("_r", "source").agg(F.count(F.lit(1)).alias("_c"))
+    both = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"score_{k}").alias("score")) for k in "ab"))).alias("x")
+    scored = weighted_metrics(times.join(rows, "source").select("_r", "_c", "positive", both).select("_r", "_c", "positive", "x.*"), "score", "positive", "_c", ["_r", "k"])
+    of = lambda k: F.max(F.when(F.col("k") == k, F.col("average_precision")))
+    gaps = scored.groupBy("_r").agg((of("a") - of("b")).alias("_d"))
+    return gaps.agg(F.avg("_d").alias("mean_difference"), F.percentile("_d", 0.025).alias("ci_low"), F.percentile("_d", 0.975).alias("ci_high"))
+
+
+def null_frequencies(freq: DataFrame, names: DataFrame, runs: int, seed: str) -> DataFrame:
+    """STA14: (run, src, dst, freq) of null matrices, by turns all values permuted, the nodes relabelled, and each row permuted.
+
+    freq: (src, dst, freq), missing pairs being 0; names: (node), whose pairs are the matrix. Permutations are the hash
+    order against the order of the names.
+    """
+    node = names.select("node")
+    grid = node.toDF("src").join(node.toDF("dst"), F.col("src") != F.col("dst")).join(freq, ["src", "dst"], "left").select("src", "dst", F.coalesce("freq", F.lit(0.0)).alias("freq"))
+    run = names.sparkSession.range(runs).withColumnRenamed("id", "run")
+    cells = grid.crossJoin(run)  # the matrices themselves
+    out = []
+    for mode, by in ((0, ["run"]), (2, ["run", "src"])):
+        own = Window.partitionBy(*by)
+        part = cells.filter(F.col("run") % 3 == mode).select("run", "src", "dst", "freq", F.row_number().over(own.orderBy("src", "dst")).alias("_a"), F.row_number().over(own.orderBy(draw(F.lit(seed), F.col("run"), F.col("src"), F.col("dst")), "src", "dst")).alias("_b"))
+        out.append(part.select("run", "src", "dst", "_a").join(part.select(*by, F.col("_b").alias("_a"), "freq"), [*by, "_a"]).select("run", "src", "dst", "freq"))
+    own = Window.partitionBy("run")
+    order = node.crossJoin(run.filter("run % 3 = 1")).select("run", "node", F.row_number().over(own.orderBy("node")).alias("_a"), F.row_number().over(own.orderBy(draw(F.lit(seed), F.col("run"), F.col("node")), "node")).alias("_b"))
+    new = order.select("run", F.col("node").alias("old"), F.col("_b").alias("_a")).join(order.select("run", "_a", F.col("node").alias("new")), ["run", "_a"]).drop("_a")
+    moved = grid.join(new.toDF("run", "src", "_s"), "src").join(new.toDF("run", "dst", "_d"), ["run", "dst"]).select("run", F.col("_s").alias("src"), F.col("_d").alias("dst"), "freq")
+    return out[0].union(moved).union(out[1])
+
+
 def edge_frequency(edges: DataFrame, n_samples: int, floor: float = 0.5) -> DataFrame:
     """AGG23: in what share of samples each edge (sample, src, dst) occurs, and whether that is above the floor."""
     return edges.select("sample", "src", "dst").distinct().groupBy("src", "dst").agg((F.count(F.lit(1)) / n_samples).alias("frequency")).withColumn("robust", F.col("frequency") > floor)

@@ -91,13 +91,18 @@ def welch(values: DataFrame, by: Sequence[str], group: str, value: str, case: st
     return out.select(*by, "n_case", "n_control", "mean_case", "mean_control", t.alias("t"), dof.alias("dof"))
 
 
-def rank_sum(values: DataFrame, by: Sequence[str], group: str, value: str, case: str, control: str) -> DataFrame:
+def rank_sum(values: DataFrame, by: Sequence[str], group: str, value: str, case: str, control: str, ties: bool = False) -> DataFrame:
     """STA2: Mann-Whitney U of the cases, with the tie-corrected, continuity-corrected z of the larger U.
 
     Values are counted first, so that the ordered window holds distinct values only.
     """
     rows = values.filter(F.col(group).isin(case, control))
     per = rows.groupBy(*by, value).agg(F.count_if(F.col(group) == case).alias("_a"), F.count(F.lit(1)).alias("_m"))
+    return rank_sum_of_counts(per, by, value, ties)
+
+
+def rank_sum_of_counts(per: DataFrame, by: Sequence[str], value: str, ties: bool = False) -> DataFrame:
+    """STA2 of counted values: (by, value, _a of the cases, _m in all); with ties a column tells whether values are equal."""
     before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_rank", F.coalesce(F.sum("_m").over(before), F.lit(0)) + (F.col("_m") + 1) / 2.0)
     m = F.col("_m").cast("double")
@@ -108,7 +113,7 @@ def rank_sum(values: DataFrame, by: Sequence[str], group: str, value: str, case:
     spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_t") / (n * (n - 1))))
     out = out.filter((F.col("n_case") > 0) & (F.col("_n") > F.col("n_case")) & (F.col("_n") > 1))
     z = F.when(spread > 0, (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / spread)
-    return out.select(*by, "n_case", (F.col("_n") - F.col("n_case")).alias("n_control"), u.alias("u"), z.alias("z"))
+    return out.select(*by, "n_case", (F.col("_n") - F.col("n_case")).alias("n_control"), u.alias("u"), z.alias("z"), *([(F.col("_t") > 0).alias("ties")] if ties else []))
 
 
 def standardize(rows: DataFrame, control: Column, by: Sequence[str], value: str, out: str = "z") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.distributions import normal_sf, t_two_sided
 from ..operators import expression as X
 from ..operators import ranking as R
 from ._register import query
@@ -83,14 +82,6 @@ def welch_statistics(spark, d):
     return out.select("gene", "cell_type", "n_case", "n_control", *(F.round(c, 6).alias(c) for c in ("mean_case", "mean_control", "t")), F.round("dof", 4).alias("dof"))
 
 
-@query("welch_p_values")
-def welch_p_values(spark, d):
-    """Two-sided p and q of Welch's test; the distribution has no SQL form."""
-    out = X.welch(two_groups(spark, d), ["gene", "cell_type"], "response", "value", "F", "O")
-    out = out.withColumn("p", F.coalesce(t_two_sided("t", "dof"), F.lit(1.0)))
-    return R.benjamini_hochberg(out, "p", ["cell_type"]).select("gene", "cell_type", "t", "p", "q")
-
-
 RANKSUM = f"""WITH v AS ({TWO}), r AS (SELECT gene, cell_type, response, rank() OVER (PARTITION BY gene, cell_type ORDER BY value) + (count(*) OVER (PARTITION BY gene, cell_type, value) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY gene, cell_type, value) AS m FROM v),
 s AS (SELECT gene, cell_type, count(*) FILTER (response = 'F')::DOUBLE AS n1, count(*)::DOUBLE AS n, sum(r) FILTER (response = 'F')::DOUBLE AS r, sum(m * m - 1)::DOUBLE AS t FROM r GROUP BY ALL),
 u AS (SELECT *, n - n1 AS n2, r - n1 * (n1 + 1) / 2 AS u FROM s WHERE n1 > 0 AND n > n1)
@@ -103,14 +94,6 @@ def rank_sum_statistics(spark, d):
     return out.select("gene", "cell_type", "n_case", "n_control", F.round("u", 4).alias("u"), F.round("z", 6).alias("z"))
 
 
-@query("rank_sum_p_values")
-def rank_sum_p_values(spark, d):
-    """Two-sided asymptotic p and q of the rank-sum test."""
-    out = X.rank_sum(two_groups(spark, d), ["gene", "cell_type"], "response", "value", "F", "O")
-    out = out.withColumn("p", F.least(F.lit(1.0), 2 * normal_sf(F.coalesce(F.col("z"), F.lit(0.0)))))
-    return R.benjamini_hochberg(out, "p", ["cell_type"]).select("gene", "cell_type", "z", "p", "q")
-
-
 @query("control_standardized", f"WITH v AS (SELECT cell_id, gene, value, response = 'O' AS control FROM ({EXPR}) JOIN ({CELLS}) USING (cell_id)), s AS (SELECT gene, avg(value) AS m, stddev_pop(value) AS d FROM v WHERE control GROUP BY gene) SELECT gene, control, round(avg((value - m) / CASE WHEN d > 1e-6 THEN d ELSE 1 END), 6) + 0.0 AS mean_z, count(*)::BIGINT AS n FROM v JOIN s USING (gene) GROUP BY ALL")
 def control_standardized(spark, d):
     rows = donor_values(spark, d).withColumn("control", F.col("response") == "O")

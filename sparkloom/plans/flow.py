@@ -291,11 +291,3 @@ def rule_responses(spark, d):
     both = node_expr(spark, d).join(F.broadcast(rules(spark)), F.col("gene") == F.col("signal"))
     value = D.response(F.col("value"), F.col("response"), F.col("direction"), F.col("base"), F.col("saturation"), F.col("half_max"), F.col("hill_power"))
     return both.select("node", "gene", F.round(value, 6).alias("response_value"))
-
-
-@query("tissue_simulation")
-def tissue_simulation(spark, d):
-    """Populations over time under the parsed rules; a recurrence, so without SQL."""
-    signals = node_expr(spark, d).join(nodes(spark, d), "node").groupBy(F.col("node_type").alias("cell_type"), F.col("gene").alias("signal")).agg(F.avg("value").alias("value"))
-    signed = rules(spark).withColumn("sign", F.when(F.col("behavior") == "growth", -1.0).otherwise(1.0))
-    return D.simulate(signed, signals, 10, 0.1)

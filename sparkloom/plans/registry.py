@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence, expression, flow, graphs, quality, ranking, space  # noqa: F401
+from . import discovery, evidence, expression, flow, graphs, quality, ranking, screening, space  # noqa: F401
 from ._register import QUERIES, SQL
 
 FLAGSHIP = "evidence_gated_ranking"
