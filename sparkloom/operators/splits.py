@@ -41,7 +41,7 @@ def spread_blocks(blocks: DataFrame, adjacent: DataFrame, by: Sequence[str]) ->
     pairs = b.withColumnRenamed("block", "a").join(b.withColumnRenamed("block", "b"), list(by)).filter("a < b").join(both, ["a", "b"], "left_anti")
     on = [*by, "a"]
     triples = pairs.join(pairs.withColumnRenamed("b", "c"), on).filter("b < c")
-    triples = triples.join(pairs.withColumnsRenamed({"a": "b", "b": "c"}), [*by, "b", "c"], "left_semi")
+    triples = triples.join(pairs.select(*by, F.col("a").alias("b"), F.col("b").alias("c")), [*by, "b", "c"], "left_semi")
     found = triples.select(*by).distinct().withColumn("_ok", F.lit(True))
     return b.select(*by).distinct().join(found, list(by), "left").withColumn("spread", F.coalesce("_ok", F.lit(False))).drop("_ok")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def required_columns(df: DataFrame, required: Sequence[str], table: str) -> list[str]:
@@ -71,9 +74,25 @@ def to_boolean(value: Column) -> Column:
     return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False).otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), F.coalesce(text, F.lit("null")))).cast("boolean"))
 
 
+@F.pandas_udf(T.BooleanType())
+def _composed(value: pd.Series) -> pd.Series:
+    return value.map(lambda x: None if x is None else unicodedata.is_normalized("NFC", x))
+
+
 def canonical_text(value: Column) -> Column:
-    """FIL12: whether a name is trimmed, not empty and free of control characters."""
-    return (F.length(value) > 0) & (F.trim(value) == value) & ~F.rlike(value, F.lit(r"\p{Cntrl}"))
+    """FIL12: whether a name is trimmed, not empty, free of control characters and in composed form (NFC).
+
+    Only names with letters beyond ASCII are looked at by Python, in Arrow batches.
+    """
+    plain = F.octet_length(value) == F.length(value)
+    return (F.length(value) > 0) & (F.trim(value) == value) & ~F.rlike(value, F.lit(r"\p{Cntrl}")) & (plain | _composed(F.when(~plain, value)))
+
+
+def keep_equal(df: DataFrame, wanted: dict) -> DataFrame:
+    """FIL4: the rows whose columns have these values, such as cells that are kept or spots that lie in tissue."""
+    for column, value in wanted.items():
+        df = df.filter(F.col(column) == F.lit(value))
+    return df
 
 
 def unique_names(df: DataFrame, name: str, order: str, out: str = "unique_name", sep: str = ".") -> DataFrame:
@@ -141,7 +160,7 @@ def outer_compare(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -
 
 
 def complete_universe(raw: DataFrame, names: DataFrame, *, source: str = "source", target: str = "target", score: str = "score") -> DataFrame:
-    """JOI5: all ordered pairs of distinct names with the largest score given, 0 and returned = false where none is.
+    """JOI5 and SET5: all ordered pairs of distinct names with the largest score given, 0 and returned = false where none is.
 
     names: (name, place), the declared universe, which is the size of the result's square root. Pairs outside it and
     pairs of a name with itself are dropped; columns source, target, score, returned and the places.

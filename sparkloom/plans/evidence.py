@@ -142,32 +142,6 @@ def group_edges(spark, d):
     return E.group_edges(samples(spark, d).withColumn("sample", F.col("sample").cast("string")), 7)
 
 
-CLAIMS = [("spatial", "c1", 0.02, 0.01, 10, 10, ["completed"]), ("spatial", "c2", 0.01, 0.03, 10, 10, ["completed"]), ("causal", "c1", 0.05, 0.01, 10, 9, ["completed", "failed"]), ("bridge", "c1", -0.01, 0.01, 5, 5, ["completed"])]
-NEEDED = [("spatial", "c1"), ("spatial", "c2"), ("causal", "c1"), ("bridge", "c1"), ("other", "c9")]
-
-
-def decisions(spark):
-    ev = spark.createDataFrame(CLAIMS, "claim string, comparator string, ci_low double, adjusted_p double, attempted int, completed int, statuses array<string>")
-    return E.claim_decisions(ev, spark.createDataFrame(NEEDED, "claim string, comparator string"))
-
-
-@query("claim_decisions", "SELECT * FROM (VALUES ('spatial', 'admitted'), ('causal', 'blocked'), ('bridge', 'audit_only'), ('other', 'blocked')) AS v(claim, status)")
-def claim_decisions(spark, d):
-    return decisions(spark).select("claim", "status")
-
-
-@query("joint_claim", "SELECT 'audit_only' AS status")
-def joint_claim(spark, d):
-    return E.joint_claim(decisions(spark), "spatial", "bridge")
-
-
-@query("promotion_gates", "SELECT * FROM (VALUES ('a', true), ('b', false), ('c', false)) AS v(task, promoted)")
-def promotion_gates(spark, d):
-    rows = [("a", 0.95, 0.05, 5, [True, True], [0.1, 0.2]), ("b", 0.95, 0.05, 5, [True, False], [0.1, 0.2]), ("c", 0.95, 0.05, 2, [True, True], [0.1, 0.2])]
-    ev = spark.createDataFrame(rows, "task string, coverage double, abstention double, seeds int, gates array<boolean>, improvement array<double>")
-    return E.promotion(ev, 0.9, 0.1, 3, 0.0).select("task", "promoted")
-
-
 @query("run_statuses", f"SELECT cell_type, count(*)::BIGINT AS attempted, count(*) FILTER (response = 'F')::BIGINT AS completed, round(avg((response = 'F')::INT), 6) AS completion FROM ({CELLS}) GROUP BY cell_type")
 def run_statuses(spark, d):
     runs = cells(spark, d).withColumn("status", F.when(F.col("response") == "F", "completed").otherwise("failed"))
@@ -194,9 +168,3 @@ def capped_sample(spark, d):
 def niche_enrichment(spark, d):
     rows = table(spark, d, "customer").select((F.col("c_nationkey") % 4).alias("niche"), F.col("c_mktsegment").alias("label"))
     return rounded(E.enrichment(rows, "niche", "label"))
-
-
-@query("module_admission", "SELECT * FROM (VALUES ('ranking', 25::DOUBLE, 'admitted'), ('spatial', 0.2::DOUBLE, 'audit_only'), ('perturbation', NULL, 'missing')) AS v(module, metric, status)")
-def module_admission(spark, d):
-    one = spark.createDataFrame([(25, 0.2, None)], "genes int, r2 double, score double")
-    return E.module_admission(one, [("ranking", "genes", 1.0), ("spatial", "r2", 0.5), ("perturbation", "score", 0.1)])
