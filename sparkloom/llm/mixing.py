@@ -1,14 +1,14 @@
 """Mixing sources to target weights: raking of token weights, then calibrated sampling.
 
 Iterative proportional fitting over the cells (source, language, topic): each pass scales the cells' weights
-to the target share of one margin after the other. Only cells are iterated on, never documents; the documents
-are read once for the cells' token counts and once for the decision, and neither pass carries their texts
-through a shuffle.
+to the target share of one margin after the other, within what the cells hold. Only cells are iterated on, never
+documents; the documents are read once for the cells' token counts and once for the decision, and neither pass carries
+their texts through a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,27 +17,30 @@ from ._common import col, need, table, written
 
 NULL = "(null)"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Of a topic rule: the name and the text that marks it, the first that occurs counts. Fixed values of the test corpus.
-TOPIC_MARKS = (("table", " | "), ("shout", "!! "), ("symbols", "$$$ "))
-TOPIC_REST = "prose"
+#: A text's topic is its register: the first class of marks of which it has at least DENSE for each word, in this order;
+#: numbers, where digits are at least DENSE of all letters; else prose.
+MARKS = {"table": "|", "shout": "!", "symbols": "$%&*#@^~=+<>"}
+DENSE = 0.1
 LANG_SHARE = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
 TOPIC_SHARE = {"prose": 0.90, "table": 0.06, "shout": 0.02, "symbols": 0.02}
-PASSES = 8
-POWER = 0.5
-#: Of the bounded fit: passes between two checks, at most so many checks, and the distance of any margin, as a part of the
-#: sample, at which it ends. So few cells are fitted in one task, without a shuffle for each margin.
-BLOCK, BLOCKS, NEAR = 4, 8, 1e-4
+KEEP, POWER = 0.5, 0.5
+#: Passes over the margins at most, passes between two checks, and the distance of a margin from its target, as a part of
+#: the sample, at which they end.
+PASSES, BLOCK, NEAR = 40, 8, 1e-12
+#: So few cells are fitted in one task, without a shuffle for each margin.
 FEW = 1 << 14
 #: The columns that mix() adds.
 ADDED = ("_source", "_lang", "_topic", "_tokens", "_share", "_p", "_u", "_sampled")
+MARGINS = ("_source", "_lang", "_topic")
 
 
-def topic_of(text: Column, marks: Sequence[tuple[str, str]] = TOPIC_MARKS, rest: str = TOPIC_REST) -> Column:
-    """The first mark that the text holds; null and unmarked texts are of the rest."""
-    out = F.lit(rest)
-    for name, mark in reversed(marks):
-        out = F.when(F.contains(F.coalesce(text, F.lit("")), F.lit(mark)), name).otherwise(out)
-    return out
+def topic_of(text: Column, tokens: Column) -> Column:
+    """The register of a text with so many words; null and empty texts are prose."""
+    out = F.when(F.regexp_count(text, F.lit("[0-9]")) >= DENSE * F.length(text), "numbers").otherwise("prose")
+    for name, marks in reversed(MARKS.items()):
+        n = F.length(text) - F.length(F.replace(text, F.lit(marks), F.lit(""))) if len(marks) == 1 else F.regexp_count(text, F.lit("[" + "".join("\\" + m for m in marks) + "]"))
+        out = F.when(n >= DENSE * tokens, name).otherwise(out)
+    return F.when(tokens > 0, out).otherwise("prose")
 
 
 def tokens_of(text: Column) -> Column:
@@ -55,114 +58,100 @@ def _targets(spark, share: Mapping[str, float], name: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in share.items()], f"{name} string, _share double")
 
 
-def rake(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], passes: int = PASSES) -> DataFrame:
-    """Fits the cells' weights to margins; adds column share, whose sum is 1.
+def _levels(margin: DataFrame, size: Column) -> DataFrame:
+    """margin (value, _share, _supply) with the target of each value: least(_supply, level * _share), the level being such
+    that the targets sum to size.
 
-    margins: for each column of cells, a DataFrame (column, _share). Shares are scaled to 1 over the values that
-    occur; a value without a target, or whose target is not above 0, gets none. Cells without weight stay without.
-    Every other pass is written to the shared folder, which keeps the plan short.
+    Values are taken whole in the order of supply over share until the rest can be shared out; a margin's values are as
+    many as there are sources, languages or topics.
     """
-    out = cells.withColumn("share", F.col(weight).cast("double"))
-    for column, target in margins.items():
-        out = out.join(target.withColumnRenamed("_share", f"_t_{column}"), column, "left").withColumn(f"_t_{column}", F.greatest(F.coalesce(F.col(f"_t_{column}"), F.lit(0.0)), F.lit(0.0)))
-    targets = [f"_t_{c}" for c in margins]
-    positive = F.lit(True)
-    for t in targets:
-        positive = positive & (F.col(t) > 0)
-    out = out.withColumn("share", F.when(positive, F.col("share")).otherwise(0.0))
-    out = written(out, "cells")
-    for i in range(passes):
-        for column in margins:
-            total = F.sum("share").over(Window.partitionBy(column))
-            out = out.withColumn("share", F.when(total > 0, F.col("share") * F.col(f"_t_{column}") / total).otherwise(0.0))
-        if i % 4 == 3 and i + 1 < passes:
-            out = written(out, "cells")
-    whole = written(out, "cells")
-    total = whole.agg(F.sum("share").alias("_total"))
-    return whole.crossJoin(F.broadcast(total)).withColumn("share", F.when(F.col("_total") > 0, F.col("share") / F.col("_total")).otherwise(0.0)).drop("_total", *targets)
-
-
-def _level(margin: DataFrame, size: float) -> float:
-    """The factor of the shares in (_share, _supply) by which least(_supply, factor * _share) sums to size."""
-    level, last = size, -1.0
-    while level > last:
-        full = F.lit(level) * F.col("_share") >= F.col("_supply")
-        taken, open_share = margin.agg(F.sum(F.when(full, F.col("_supply"))), F.sum(F.when(~full, F.col("_share")))).first()
-        if not open_share:
-            return level
-        level, last = (size - (taken or 0.0)) / open_share, level
-    return last
-
-
-def bound(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], keep: float) -> DataFrame:
-    """From the fit of rake() (column share) the tokens to sample of each cell, column _take, at most its weight.
-
-    Where no cell's share of the sample (keep of all weight) exceeds its weight, the fit is left as it is. Otherwise a
-    value whose weight is less than its target is taken whole and the other values of its margin share the rest by their
-    targets; then the cells are raked to these targets, full cells staying full while their margin lacks tokens. So the
-    sample has the size asked for, as far as the cells with a share hold it.
+    open_ = margin.filter("_share > 0 and _supply > 0").withColumn("_r", F.col("_supply") / F.col("_share"))
+    order = Window.orderBy("_r", F.col(margin.columns[0]))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0.0)
+    steps = open_.select("_r", ((size - F.coalesce(F.sum("_supply").over(before), zero)) / (F.sum("_share").over(Window.partitionBy()) - F.coalesce(F.sum("_share").over(before), zero))).alias("_l"))
+    level = steps.agg(F.coalesce(F.min(F.when(F.col("_l") <= F.col("_r"), F.struct("_r", "_l")))["_l"], F.max("_r"), zero).alias("_level"))
+    return margin.crossJoin(F.broadcast(level)).select(margin.columns[0], F.least("_supply", F.col("_level") * F.col("_share")).alias("_target"))
+
+
+def rake(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], keep: float, passes: int = PASSES) -> DataFrame:
+    """Adds _take, the tokens to sample of each cell, at most its weight, and _gap, how far its margins are from their
+    targets at most.
+
+    margins: for each column of cells, a DataFrame (column, _share). The sample is the part keep of all weight, as far as
+    cells hold it whose three shares are above 0. A value that holds less than its share is taken whole, and the others of
+    its margin share the rest by their shares. From keep times its weight on, a cell is scaled by what its margins lack, one
+    after the other; full cells stay full while their margin lacks tokens. This ends with `passes` passes, or when all
+    margins meet their targets.
     """
-    cap, few = F.col(weight).cast("double"), lambda df, n: df.coalesce(1) if n <= FEW else df
-    n, whole, supply = cells.agg(F.count(F.lit(1)), F.sum(weight), F.sum(F.when(F.col("share") > 0, cap))).first()
-    size = min(float(keep) * float(whole or 0), supply or 0.0)
-    out = cells.withColumn("_take", F.least(cap, F.lit(size) * F.col("share")))
-    if not out.filter((F.lit(size) * F.col("share") > cap) & (cap > 0)).limit(1).count():
-        return out
-    for column, target in margins.items():
-        margin = written(cells.filter("share > 0").groupBy(column).agg(F.sum(cap).alias("_supply")).join(target, column), "margin")
-        level = F.lit(_level(margin, size))
-        out = out.join(margin.select(column, F.least(F.col("_supply"), level * F.col("_share")).alias(f"_t_{column}")), column, "left")
-    targets = [f"_t_{c}" for c in margins]
-    out = written(out, "bounded")
-    for _ in range(BLOCKS):
-        out = few(out, n)
-        for _ in range(BLOCK):
+    cap = F.col(weight).cast("double")
+    out = cells
+    for column, share in margins.items():
+        out = out.join(share.select(column, F.col("_share").alias(f"_s{column}")), column, "left")
+    open_ = F.lit(True)
+    for column in margins:
+        open_ = open_ & (F.coalesce(F.col(f"_s{column}"), F.lit(0.0)) > 0)
+    out = written(out.withColumn("_open", open_ & (cap > 0)).withColumn("_cap", F.when(F.col("_open"), cap).otherwise(0.0)), "cells")
+    n, whole, supply = out.agg(F.count(F.lit(1)), F.sum(weight), F.sum("_cap")).first()
+    size = F.lit(min(float(keep) * float(whole or 0), supply or 0.0))
+    for column, share in margins.items():
+        margin = out.groupBy(column).agg(F.sum("_cap").alias("_supply")).join(share.select(column, "_share"), column).select(column, "_share", "_supply")
+        out = out.join(_levels(margin, size).withColumnRenamed("_target", f"_t{column}"), column, "left")
+    out = written(out.withColumn("_take", F.col("_cap") * F.lit(float(keep))).fillna(0.0, [f"_t{c}" for c in margins]), "raked")
+    for at in range(0, passes, BLOCK):
+        out = out.coalesce(1) if n <= FEW else out
+        for _ in range(min(BLOCK, passes - at)):
             out = out.withColumn("_gap", F.lit(0.0))
-            for column, t in zip(margins, targets, strict=True):
-                at, full, want = Window.partitionBy(column), F.col("_take") >= cap * (1 - 1e-12), F.col(t)
-                out = out.withColumns({"_sum": F.sum("_take").over(at), "_full": F.sum(F.when(full, F.col("_take")).otherwise(0.0)).over(at)})
-                more = F.when(full, F.col("_take")).otherwise(F.least(cap, F.col("_take") * (want - F.col("_full")) / F.nullif(F.col("_sum") - F.col("_full"), F.lit(0.0))))
+            for column in margins:
+                w, want = Window.partitionBy(column), F.col(f"_t{column}")
+                full = F.col("_take") >= F.col("_cap") * (1 - 1e-12)
+                out = out.withColumns({"_sum": F.sum("_take").over(w), "_full": F.sum(F.when(full, F.col("_take")).otherwise(0.0)).over(w)})
+                more = F.when(full, F.col("_take")).otherwise(F.least(F.col("_cap"), F.col("_take") * (want - F.col("_full")) / F.nullif(F.col("_sum") - F.col("_full"), F.lit(0.0))))
                 take = F.when(F.col("_sum") < want, more).otherwise(F.col("_take") * want / F.nullif(F.col("_sum"), F.lit(0.0)))
-                out = out.withColumns({"_gap": F.greatest(F.col("_gap"), F.abs(F.col("_sum") - want)), "_take": F.when(F.col("share") > 0, F.coalesce(take, F.col("_take"))).otherwise(0.0)}).drop("_sum", "_full")
-        out = written(out, "bounded")
-        if (out.agg(F.max("_gap")).first()[0] or 0.0) <= NEAR * size:
+                out = out.withColumns({"_gap": F.greatest(F.col("_gap"), F.abs(F.col("_sum") - want)), "_take": F.coalesce(take, F.col("_take"))}).drop("_sum", "_full")
+        out = written(out, "raked")
+        if (out.agg(F.max("_gap")).first()[0] or 0.0) <= NEAR * float(whole or 0):
             break
-        out = out.drop("_gap")
-    total = out.agg(F.sum("_take").alias("_total"))
-    return out.crossJoin(F.broadcast(total)).withColumn("share", F.col("_take") / F.col("_total")).drop("_total", "_gap", *targets)
+    return out.drop("_open", "_cap", *(f"_s{c}" for c in margins))
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", lang_share: Mapping[str, float] = LANG_SHARE, topic_share: Mapping[str, float] = TOPIC_SHARE, power: float = POWER, keep: float = 0.5, passes: int = PASSES, seed: str = "mix", bounded: bool = True) -> DataFrame:
+def fit(docs: DataFrame, *, source: str = "source", lang: str = "lang", text: str = "text", lang_share: Mapping[str, float] = LANG_SHARE, topic_share: Mapping[str, float] = TOPIC_SHARE, power: float = POWER, keep: float = KEEP, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
+    """(marked documents, fitted cells): the first half of mix()."""
+    spark = docs.sparkSession
+    marked = docs.withColumns({"_source": F.coalesce(col(source).cast("string"), F.lit(NULL)), "_lang": F.coalesce(col(lang).cast("string"), F.lit(NULL)), "_tokens": tokens_of(col(text))}).withColumn("_topic", topic_of(col(text), F.col("_tokens")))
+    cells = written(marked.groupBy(*MARGINS).agg(F.sum("_tokens").alias("_cell_tokens")), "cells")
+    sources = cells.groupBy("_source").agg(F.sum("_cell_tokens").cast("double").alias("_n")).withColumn("_share", F.when(F.col("_n") > 0, F.pow(F.col("_n"), F.lit(float(power)))).otherwise(0.0))
+    margins = {"_source": _norm(sources, "_source"), "_lang": _stated(cells, _targets(spark, lang_share, "_lang"), "_lang"), "_topic": _stated(cells, _targets(spark, topic_share, "_topic"), "_topic")}
+    return marked, rake(cells, "_cell_tokens", margins, keep, passes)
+
+
+def margins_of(fitted: DataFrame) -> DataFrame:
+    """(margin, value, target, reached) in tokens: what the fit aims at and what it samples, for each margin's values."""
+    rows = F.explode(F.array(*(F.struct(F.lit(m[1:]).alias("margin"), F.col(m).alias("value"), F.col(f"_t{m}").alias("target")) for m in MARGINS))).alias("x")
+    return fitted.select(rows, "_take").groupBy("x.margin", "x.value").agg(F.max("x.target").alias("target"), F.sum("_take").alias("reached"))
+
+
+def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", lang_share: Mapping[str, float] = LANG_SHARE, topic_share: Mapping[str, float] = TOPIC_SHARE, power: float = POWER, keep: float = KEEP, passes: int = PASSES, seed: str = "mix") -> DataFrame:
     """Adds _source, _lang, _topic, _tokens, _share, _p, _u and _sampled to the documents.
 
     Targets: sources by their tokens to the given power (1 leaves them as they are, 0 makes them equal), languages and
-    topics by the given shares. Tokens are words. A document's probability is keep * all tokens * its cell's share /
-    its cell's tokens. Shares are fitted within what the cells hold (bound()), so that the expected sample has the part
-    keep of all tokens and the target shares; a value with fewer tokens than its target is taken whole. With bounded
-    False, probabilities over 1 are cut to 1 and nothing makes up for them. A null source or language is the value "(null)". A language or topic without a stated
-    share has its part of all tokens as target, and the stated shares are scaled to the rest; a share stated as 0 excludes. A
-    document without words weighs nothing and is not sampled; equal keys (null among them) share their draw, so repeated rows come or go together. An
-    empty table gives an empty result. Texts are read whole, however long. Other columns pass through, but columns of the names
-    added are replaced; none of these names can be that of the key, source, language or text (a ValueError).
+    topics by the given shares, of a sample with the part keep of all tokens; tokens are words. A document's probability is
+    what the fit (see rake) takes of its cell over what the cell holds, and _share the cell's part of the sample. A value
+    with fewer tokens than its target is taken whole; margins_of() tells what is reached. A null source or language is the
+    value "(null)". A language or topic without a stated share has its part of all tokens as target, and the stated shares
+    are scaled to the rest; a share stated as 0 excludes. A document without words weighs nothing and is not sampled; equal
+    keys (null among them) share their draw, so repeated rows come or go together. An empty table gives an empty result.
+    Texts are read whole, however long. Other columns pass through, but columns of the names added are replaced; none of
+    these names can be that of the key, source, language or text (a ValueError).
     """
     need(docs, key, source, lang, text)
     if clash := set(ADDED) & {c.lower() for c in (key, source, lang, text)}:
         raise ValueError(f"columns are added under these names: {sorted(clash)}")
     docs = docs.select(*(col(c) for c in docs.columns if c.lower() not in ADDED))
-    marked = docs.withColumns({"_source": F.coalesce(col(source).cast("string"), F.lit(NULL)), "_lang": F.coalesce(col(lang).cast("string"), F.lit(NULL)), "_topic": topic_of(col(text)), "_tokens": tokens_of(col(text))})
-    cells = written(marked.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("_cell_tokens")), "cells")
-    spark = docs.sparkSession
-    sources = cells.groupBy("_source").agg(F.pow(F.sum("_cell_tokens").cast("double"), F.lit(float(power))).alias("_share"))
-    margins = {"_source": _norm(sources, "_source"), "_lang": _stated(cells, _targets(spark, lang_share, "_lang"), "_lang"), "_topic": _stated(cells, _targets(spark, topic_share, "_topic"), "_topic")}
-    fitted = rake(cells, "_cell_tokens", margins, passes)
-    if bounded:
-        fitted = bound(written(fitted, "cells"), "_cell_tokens", margins, keep)
-    else:
-        total = fitted.agg(F.sum("_cell_tokens").alias("_all"))
-        fitted = fitted.crossJoin(F.broadcast(total)).withColumn("_take", F.lit(float(keep)) * F.col("_all") * F.col("share"))
-    fitted = fitted.select("_source", "_lang", "_topic", F.col("share").alias("_share"), F.when(F.col("_cell_tokens") > 0, F.least(F.lit(1.0), F.col("_take") / F.col("_cell_tokens"))).otherwise(0.0).alias("_p"))
-    fitted = written(fitted, "fitted")
-    out = marked.join(fitted, ["_source", "_lang", "_topic"], "left")
+    marked, fitted = fit(docs, source=source, lang=lang, text=text, lang_share=lang_share, topic_share=topic_share, power=power, keep=keep, passes=passes)
+    total = fitted.agg(F.sum("_take").alias("_all"))
+    fitted = fitted.crossJoin(F.broadcast(total)).select(*MARGINS, F.coalesce(F.col("_take") / F.nullif(F.col("_all"), F.lit(0.0)), F.lit(0.0)).alias("_share"), F.when(F.col("_cell_tokens") > 0, F.least(F.lit(1.0), F.col("_take") / F.col("_cell_tokens"))).otherwise(0.0).alias("_p"))
+    out = marked.join(written(fitted, "fitted"), list(MARGINS), "left")
     out = out.withColumn("_p", F.when(F.col("_tokens") > 0, F.col("_p")).otherwise(0.0)).withColumn("_u", uniform_of(col(key), seed))
     return out.withColumn("_sampled", F.col("_u") < F.col("_p"))
 
@@ -182,30 +171,42 @@ def _norm(target: DataFrame, column: str) -> DataFrame:
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
-    """Per document its cell, its probability and whether it is sampled; probabilities as its SQL has them, not bounded."""
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), bounded=False)
+    """Per document its cell, its probability and whether it is sampled."""
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_share", 6).alias("share"), F.round("_p", 6).alias("probability"), F.col("_sampled").alias("sampled"))
 
 
-def mix_sql(docs: str = "documents", keep: float = 0.5, power: float = POWER, passes: int = PASSES, lang_share: Mapping[str, float] = LANG_SHARE, topic_share: Mapping[str, float] = TOPIC_SHARE) -> str:
-    """DuckDB's SQL for mix(): a chain of common table expressions that ends in one named mixed."""
-    case = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{m}') THEN '{n}'" for n, m in TOPIC_MARKS) + f" ELSE '{TOPIC_REST}' END"
+def mix_sql(docs: str = "documents", keep: float = KEEP, power: float = POWER, passes: int = PASSES, lang_share: Mapping[str, float] = LANG_SHARE, topic_share: Mapping[str, float] = TOPIC_SHARE) -> str:
+    """DuckDB's SQL for mix(), with all passes: a chain of common table expressions that ends in one named mixed."""
+    dense = lambda marks: f"length(text) - length(translate(text, '{marks}', ''))"
+    case = "CASE WHEN coalesce(_tokens, 0) = 0 THEN 'prose' " + " ".join(f"WHEN {dense(m)} >= {DENSE} * _tokens THEN '{n}'" for n, m in MARKS.items()) + f" WHEN {dense('0123456789')} >= {DENSE} * length(text) THEN 'numbers' ELSE 'prose' END"
     values = lambda share: ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in share.items())
     parts = [
-        f"marked AS MATERIALIZED (SELECT *, coalesce(source, '{NULL}') AS _source, coalesce(lang, '{NULL}') AS _lang, {case} AS _topic, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS _tokens FROM {docs})",
-        "cells AS (SELECT _source, _lang, _topic, sum(_tokens)::BIGINT AS _cell_tokens FROM marked GROUP BY ALL)",
-        f"t_source AS (SELECT _source AS k, w / sum(w) OVER () AS s FROM (SELECT _source, pow(sum(_cell_tokens)::DOUBLE, {power!r}) AS w FROM cells GROUP BY _source))",
+        f"counted AS MATERIALIZED (SELECT *, coalesce(source, '{NULL}') AS _source, coalesce(lang, '{NULL}') AS _lang, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS _tokens FROM {docs})",
+        f"marked AS MATERIALIZED (SELECT *, {case} AS _topic FROM counted)",
+        "cells AS (SELECT _source, _lang, _topic, sum(_tokens)::DOUBLE AS n FROM marked GROUP BY ALL)",
+        f"s_source AS (SELECT _source AS k, w / nullif(sum(w) OVER (), 0) AS s FROM (SELECT _source, CASE WHEN sum(n) > 0 THEN pow(sum(n), {power!r}) ELSE 0 END AS w FROM cells GROUP BY _source))",
     ]
     for name, share in (("lang", lang_share), ("topic", topic_share)):
-        parts.append(f"t_{name} AS (SELECT k, s / sum(s) OVER () AS s FROM (VALUES {values(share)}) AS v(k, s) WHERE k IN (SELECT _{name} FROM cells WHERE _cell_tokens > 0))")
-    parts.append("w0 AS (SELECT c.*, CASE WHEN a.s > 0 AND b.s > 0 AND d.s > 0 THEN _cell_tokens::DOUBLE ELSE 0 END AS w, coalesce(a.s, 0) AS t_s, coalesce(b.s, 0) AS t_l, coalesce(d.s, 0) AS t_t FROM cells c LEFT JOIN t_source a ON a.k = _source LEFT JOIN t_lang b ON b.k = _lang LEFT JOIN t_topic d ON d.k = _topic)")
+        parts.append(f"n_{name} AS (SELECT _{name} AS k, sum(n) AS n, any_value(v.s) AS s FROM cells LEFT JOIN (VALUES {values(share)}) AS v(k, s) ON v.k = _{name} GROUP BY _{name} HAVING sum(n) > 0)")
+        parts.append(f"s_{name} AS (SELECT k, CASE WHEN s IS NULL THEN n / sum(n) OVER () WHEN sum(s) OVER () > 0 THEN s / sum(s) OVER () * (1 - coalesce(sum(n) FILTER (s IS NULL) OVER (), 0) / sum(n) OVER ()) ELSE 0 END AS s FROM n_{name})")
+    parts.append("opened AS (SELECT c.*, CASE WHEN a.s > 0 AND b.s > 0 AND d.s > 0 THEN n ELSE 0 END AS cap FROM cells c LEFT JOIN s_source a ON a.k = _source LEFT JOIN s_lang b ON b.k = _lang LEFT JOIN s_topic d ON d.k = _topic)")
+    parts.append(f"size AS (SELECT least({keep!r} * sum(n), sum(cap)) AS size FROM opened)")
+    for name in ("source", "lang", "topic"):
+        parts.append(f"m_{name} AS (SELECT o.k, o.supply, s.s, o.supply / s.s AS r FROM (SELECT _{name} AS k, sum(cap) AS supply FROM opened GROUP BY _{name}) o JOIN s_{name} s ON s.k = o.k)")
+        steps = f"SELECT r, ((SELECT size FROM size) - coalesce(sum(supply) OVER w, 0)) / (sum(s) OVER () - coalesce(sum(s) OVER w, 0)) AS l FROM m_{name} WHERE s > 0 AND supply > 0 WINDOW w AS (ORDER BY r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        parts.append(f"l_{name} AS (SELECT coalesce(arg_min(l, r) FILTER (l <= r), max(r), 0) AS level FROM ({steps}))")
+    target = lambda x: f"(SELECT k, least(supply, level * s) AS t FROM m_{x}, l_{x})"
+    parts.append(f"w0 AS MATERIALIZED (SELECT o.*, cap * {keep!r} AS w, coalesce(a.t, 0) AS t_source, coalesce(b.t, 0) AS t_lang, coalesce(d.t, 0) AS t_topic FROM opened o LEFT JOIN {target('source')} a ON a.k = _source LEFT JOIN {target('lang')} b ON b.k = _lang LEFT JOIN {target('topic')} d ON d.k = _topic)")
     n = 0
     for _ in range(passes):
-        for column, t in (("_source", "t_s"), ("_lang", "t_l"), ("_topic", "t_t")):
-            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT _source, _lang, _topic, _cell_tokens, CASE WHEN sum(w) OVER (PARTITION BY {column}) > 0 THEN w * {t} / sum(w) OVER (PARTITION BY {column}) ELSE 0 END AS w, t_s, t_l, t_t FROM w{n})")
+        for name in ("source", "lang", "topic"):
+            sums = f"SELECT _source, _lang, _topic, n, cap, w, t_source, t_lang, t_topic, sum(w) OVER p AS s, sum(CASE WHEN w >= cap * (1 - 1e-12) THEN w ELSE 0 END) OVER p AS f FROM w{n} WINDOW p AS (PARTITION BY _{name})"
+            more = f"CASE WHEN w >= cap * (1 - 1e-12) THEN w ELSE least(cap, w * (t_{name} - f) / nullif(s - f, 0)) END"
+            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (s, f) REPLACE (coalesce(CASE WHEN s >= t_{name} THEN w * t_{name} / nullif(s, 0) ELSE {more} END, w) AS w) FROM ({sums}))")
             n += 1
     parts += [
-        f"fitted AS (SELECT _source, _lang, _topic, w / sum(w) OVER () AS _share, CASE WHEN _cell_tokens > 0 THEN least(1.0, {keep!r} * sum(_cell_tokens) OVER () * (w / sum(w) OVER ()) / _cell_tokens) ELSE 0 END AS _p FROM w{n})",
+        f"fitted AS (SELECT _source, _lang, _topic, coalesce(w / nullif(sum(w) OVER (), 0), 0) AS _share, CASE WHEN n > 0 THEN least(1.0, w / n) ELSE 0 END AS _p FROM w{n})",
         "mixed AS (SELECT m.*, f._share, CASE WHEN _tokens > 0 THEN f._p ELSE 0 END AS _p, (CASE WHEN _tokens > 0 THEN f._p ELSE 0 END) > ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS _sampled FROM marked m JOIN fitted f USING (_source, _lang, _topic))",
     ]
     return "WITH " + ",\n".join(parts)
