@@ -222,15 +222,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.select(*(col(c) for c in docs.columns if c.lower() != "_score"))
     columns = docs.columns
     at = columns.index("text")
+    plain = [f"c{i}" for i in range(len(columns))]  # Spark doesn't pass names with dots to Arrow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features_of(part.column(at))))], names=[*columns, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features_of(part.column(at))))], names=[*plain, "_score"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    rows = docs.toDF(*plain)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])).toDF(*columns, "_score")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

@@ -112,6 +112,14 @@ def test_mixing_gives_the_surplus_of_full_cells_to_others(spark):
     assert by(1, "en") == pytest.approx((whole - 1000) * 0.68 / 0.88, rel=1e-3)
     assert by(1, "de") == pytest.approx((whole - 1000) * 0.2 / 0.88, rel=1e-3)
     assert by(0, "a") == pytest.approx(whole * 9800 / 21000, rel=1e-3)
+    margins = mixing.margins_of(mixing.fit(docs, lang_share={"en": 0.68, "de": 0.2, "es": 0.12}, topic_share={"prose": 1.0}, power=1.0, keep=0.8)[1]).collect()
+    assert len(margins) == 6 and all(r["reached"] == pytest.approx(r["target"], rel=1e-3) for r in margins)
+
+
+def test_registers_of_texts(spark):
+    texts = {"a | b | c d": "table", "stop ! it now": "shout", "$$$ win $$$": "symbols", "1 2 33 4 5": "numbers", "plain words, here.": "prose", "": "prose", "| ! a b": "table"}
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", mixing.topic_of(F.col("t"), mixing.tokens_of(F.col("t"))).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in rows} == texts | {None: "prose"}
 
 
 def test_clashing_columns_pass_through_or_are_replaced(spark):
