@@ -24,12 +24,6 @@ def null_report(spark, d):
     return V.null_report(table(spark, d, "lineitem"), ["l_quantity", "l_shipdate"])
 
 
-@query("schema_issue_report", "SELECT * FROM (VALUES ('cells: missing column ''barcode'''), ('cells: missing column ''sample_id''')) AS v(issue)")
-def schema_issue_report(spark, d):
-    issues = V.required_columns(cells(spark, d), ["cell_id", "barcode", "donor", "sample_id"], "cells")
-    return spark.createDataFrame([(i,) for i in issues], "issue string")
-
-
 @query("label_taxonomy_map", f"SELECT {TYPE_CASE} AS level1, CASE {TYPE_CASE} WHEN 'basic_plain' THEN 'basic' WHEN 'basic_offer' THEN 'basic' ELSE {TYPE_CASE} END AS level0, count(*)::BIGINT AS n FROM part GROUP BY ALL")
 def label_taxonomy_map(spark, d):
     parts = table(spark, d, "part").withColumn("level1", V.label_by_rules(F.col("p_type"), TYPE_RULES))

@@ -169,3 +169,33 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """SRC19: these columns of a Parquet table; no others are read."""
     return spark.read.parquet(path).select(*columns)
+
+
+def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """SNK3: (nodes, edges) of a GraphML file: id or src and dst, and a column of text for each of its keys; a small graph."""
+    import xml.etree.ElementTree as Tree
+
+    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    if b"<!DOCTYPE" in content or b"<!ENTITY" in content:
+        raise ValueError(f"{path}: documents with entities aren't read")
+    root = Tree.fromstring(content)
+    space = root.tag.removesuffix("graphml")
+    keys = {k.get("id"): (k.get("for"), k.get("attr.name")) for k in root.iter(f"{space}key")}
+    out = []
+    for kind, ends in (("node", {"id": "id"}), ("edge", {"src": "source", "dst": "target"})):
+        names = [n for f, n in keys.values() if f == kind]
+        rows = []
+        for x in root.iter(f"{space}{kind}"):
+            held = {keys[v.get("key")][1]: v.text for v in x.iter(f"{space}data")}
+            rows.append((*(x.get(a) for a in ends.values()), *(held.get(n) for n in names)))
+        out.append(spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in [*ends, *names])))
+    return out[0], out[1]
+
+
+def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
+    """SNK3: (src, dst, weight) of an archive with adjacency and ids, zeros left out."""
+    content = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+        matrix, ids = z["adjacency"], z["ids"].astype(str)
+    i, j = np.nonzero(matrix)
+    return spark.createDataFrame([(str(ids[a]), str(ids[b]), float(matrix[a, b])) for a, b in zip(i, j, strict=True)], "src string, dst string, weight double")

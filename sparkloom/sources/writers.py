@@ -94,6 +94,55 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.parquet(f"{path}/edges")
 
 
+#: A graph in one file is small; beyond this many nodes, write_graph() is the way.
+MAX_NODES = 20_000
+
+
+def _small(nodes: DataFrame, edges: DataFrame) -> tuple[list, list]:
+    held = nodes.orderBy("id").limit(MAX_NODES + 1).collect()
+    if len(held) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes; write the graph as tables")
+    return held, edges.orderBy("src", "dst").collect()
+
+
+def _put(spark: SparkSession, path: str, data: bytes) -> None:
+    p, fs = _fs(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(data))
+    out.close()
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """SNK3: one GraphML file of a small directed graph; nodes: (id, ...), edges: (src, dst, ...). Nulls have no entry."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    held, links = _small(nodes, edges)
+    kind = {"string": "string", "double": "double", "bigint": "long", "int": "int", "boolean": "boolean"}
+    own = {k: [(c, kind.get(t, "string")) for c, t in df.dtypes if c not in skip] for k, df, skip in (("node", nodes, {"id"}), ("edge", edges, {"src", "dst"}))}
+    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    out += [f"<key id={quoteattr(f'{k}_{c}')} for={quoteattr(k)} attr.name={quoteattr(c)} attr.type={quoteattr(t)}/>" for k, cols in own.items() for c, t in cols]
+    data = lambda k, r: "".join(f"<data key={quoteattr(f'{k}_{c}')}>{escape(str(r[c]))}</data>" for c, _ in own[k] if r[c] is not None)
+    out += ['<graph edgedefault="directed">', *(f"<node id={quoteattr(str(r['id']))}>{data('node', r)}</node>" for r in held)]
+    out += [*(f"<edge source={quoteattr(str(r['src']))} target={quoteattr(str(r['dst']))}>{data('edge', r)}</edge>" for r in links), "</graph>", "</graphml>"]
+    _put(nodes.sparkSession, path, "\n".join(out).encode())
+
+
+def write_adjacency(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """SNK3: an npz archive of a small graph's dense adjacency (weights, 0 without an edge) and its nodes' ids in order."""
+    import io
+
+    import numpy as np
+
+    held, links = _small(nodes.select("id"), edges.select("src", "dst", "weight"))
+    place = {r["id"]: i for i, r in enumerate(held)}
+    matrix = np.zeros((len(held), len(held)))
+    for r in links:
+        matrix[place[r["src"]], place[r["dst"]]] = r["weight"]
+    out = io.BytesIO()
+    np.savez_compressed(out, adjacency=matrix, ids=np.array([str(r["id"]) for r in held]))
+    _put(nodes.sparkSession, path, out.getvalue())
+
+
 def digest(df: DataFrame) -> DataFrame:
     """SNK4: rows and an order-independent hash of them."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
