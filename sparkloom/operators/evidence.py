@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import number_by_draw
+
 
 def draw(*keys: Column) -> Column:
     """A number in [0, 1) from 52 bits of MD5 over the keys; the same keys give the same number on any engine."""
@@ -36,15 +38,13 @@ def mean_difference(rows: DataFrame, control: str, min_cells: int, *, label: str
 
 
 def split_units(units: DataFrame, key: str, seed: str, cuts: Sequence[tuple[str, float]]) -> DataFrame:
-    """EVD3: each unit's part by its place in hash order; cuts are (name, upper share) and the last share is 1.
-
-    Places are exact: an ordered window over the units alone, which are sources or controls, not measurements.
-    """
-    place = F.percent_rank().over(Window.orderBy(draw(F.lit(seed), F.col(key)), key))
+    """EVD3: each unit's part by its exact place in hash order; cuts are (name, upper share) and the last share is 1."""
+    numbered = number_by_draw(units.select(key), draw(F.lit(seed), F.col(key)), [key], "_place")
+    place = F.when(F.col("_n") > 1, F.col("_place") / (F.col("_n") - 1)).otherwise(0.0)
     out = F.lit(cuts[-1][0])
     for name, upper in reversed(cuts[:-1]):
         out = F.when(place < upper, name).otherwise(out)
-    return units.select(key, out.alias("part"))
+    return numbered.select(key, out.alias("part"))
 
 
 def spatial_holdout(points: DataFrame, step: float, span: int, buffer: int) -> DataFrame:
@@ -140,11 +140,11 @@ def empirical_check(real: float, nulls: DataFrame, max_p: float = 0.05, min_adva
 def permute_labels(rows: DataFrame, key: str, label: str, control: str, seed: str) -> DataFrame:
     """STA16: labels of rows that aren't controls, dealt out anew; their numbers stay.
 
-    The n-th row by key gets the label of the n-th row in hash order, which two ordered ranks and a join give.
+    The n-th row in one hash order gets the label of the n-th row in another.
     """
-    rest = rows.filter(F.col(label) != control)
-    a = rest.select(key, F.row_number().over(Window.orderBy(key)).alias("_rn"))
-    b = rest.select(F.col(label).alias("permuted"), F.row_number().over(Window.orderBy(draw(F.lit(seed), F.col(key)), key)).alias("_rn"))
+    rest = rows.filter(F.col(label) != control).select(key, label)
+    a = number_by_draw(rest, draw(F.lit(seed), F.lit("to"), F.col(key)), [key], "_rn").select(key, "_rn")
+    b = number_by_draw(rest, draw(F.lit(seed), F.col(key)), [key], "_rn").select(F.col(label).alias("permuted"), "_rn")
     dealt = a.join(b, "_rn").select(key, "permuted")
     return rows.join(dealt, key, "left").withColumn("permuted", F.coalesce("permuted", F.col(label)))
 
@@ -298,7 +298,7 @@ def stratified_sample(rows: DataFrame, strata: Sequence[str], key: str, n: int,
     order = Window.orderBy(F.round(F.col("_exact") - F.col("_q"), 9).desc(), *strata)
     quota = quota.withColumn("_o", F.row_number().over(order)).crossJoin(F.broadcast(left)).withColumn("_q", F.col("_q") + F.when(F.col("_o") <= F.col("_left"), 1).otherwise(0)).select(*strata, "_q")
     ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*strata).orderBy(draw(F.lit(seed), F.col(key)), key)))
-    return ranked.join(F.broadcast(quota), list(strata)).filter(F.col("_rn") <= F.col("_q")).drop("_rn", "_q")
+    return ranked.join(quota, list(strata)).filter(F.col("_rn") <= F.col("_q")).drop("_rn", "_q")
 
 
 def capped_sample(rows: DataFrame, label: str, key: str, cap: int, seed: str) -> DataFrame:

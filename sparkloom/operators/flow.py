@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .ordering import running
+
 
 def cluster_adjacency(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """AGG9: summed weights between different clusters over (n_i * n_j + 1e-10), divided by the largest.
@@ -183,8 +186,7 @@ def false_positive_filter(ranked: DataFrame, score: str = "score", size: str = "
     rows = ranked.crossJoin(F.broadcast(stats))
     # sizes of both kinds in one order give all counts by a running sum
     tagged = rows.select(F.explode(F.array(F.struct(F.abs(score).alias("v"), F.lit(0).alias("null"), F.lit(1).alias("own")), F.struct(F.abs(F.col(score) - F.col("_m")).alias("v"), F.lit(1).alias("null"), F.lit(0).alias("own")))).alias("t")).groupBy("t.v").agg(F.sum("t.null").alias("a"), F.sum("t.own").alias("b"))
-    down = Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = tagged.select("v", F.sum("a").over(down).alias("_fp"), F.sum("b").over(down).alias("_tp"))
+    counts = running(tagged, "v", {"_fp": "a", "_tp": "b"}, descending=True).select("v", "_fp", "_tp")
     rows = rows.withColumn("_v", F.abs(score)).join(counts, F.col("_v") == F.col("v"))
     fdr = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("_fp") / F.col("_n")) / F.greatest(F.col("_tp") / F.col("_n"), F.lit(1e-8))))
     bio = (F.col("prior_hit") | (F.col(size) >= F.col("_cut"))) if rule else F.lit(True)
@@ -202,12 +204,13 @@ def row_normalized(edges: DataFrame) -> DataFrame:
 def temporal_spread(start: DataFrame, times: list[float], causal: DataFrame, spatial: DataFrame | None = None, *, diffusion: float = 0.35, decay: float = 0.08, top: float = 1.0) -> DataFrame:
     """GRA7: (step, node, effect) by x' = (1 - decay dt) x + diffusion dt A^T x, held to [0, top].
 
-    start: (node, effect), all nodes. A is the row-normalised graph, or 0.7 of it and 0.3 of the spatial one. The plan
-    has a join and an aggregation for each time; grids are short.
+    start: (node, effect), all nodes. A is the row-normalised graph, or 0.7 of it and 0.3 of the spatial one. Every
+    fourth step is written, so that the plan stays short.
     """
     a = row_normalized(causal)
     if spatial is not None:
         a = a.select("src", "dst", (F.col("w") * 0.7).alias("w")).union(row_normalized(spatial).select("src", "dst", (F.col("w") * 0.3).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    a = written(a, "steps")  # every step reads it
     x = start.select("node", F.col("effect").cast("double").alias("effect"))
     out = x.select(F.lit(0).alias("step"), "node", "effect")
     for i in range(1, len(times)):
@@ -215,6 +218,8 @@ def temporal_spread(start: DataFrame, times: list[float], causal: DataFrame, spa
         got = a.join(x, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("effect")).alias("_g"))
         moved = F.col("effect") * (1 - decay * dt) + diffusion * dt * F.coalesce("_g", F.lit(0.0))
         x = x.join(got, "node", "left").select("node", F.least(F.lit(top), F.greatest(F.lit(0.0), moved)).alias("effect"))
+        if i % 4 == 0:
+            x = written(x, "step")
         out = out.union(x.select(F.lit(i).alias("step"), "node", "effect"))
     return out
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import least_from, running
+
 #: Parts of the legacy weighted sum.
 LEGACY_WEIGHTS = {"causal": 0.25, "spatial": 0.25, "consistency": 0.25, "actionability": 0.10, "niche": 0.15}
 
@@ -87,20 +89,20 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "q") -> DataFrame:
     """WIN4: q = min over p' >= p of p' * n / rank. Null and NaN p are 1.
 
-    Equal p have the rank of the last of them, so only distinct p values pass the ordered windows.
+    Equal p have the rank of the last of them, so only distinct p are ordered, and those by buckets of a group.
     """
     v = F.coalesce(F.nanvl(F.col(p).cast("double"), F.lit(1.0)), F.lit(1.0))
     rows = df.withColumn("_p", v)
     counts = rows.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_m"))
-    up = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("_p")
-    n = F.sum("_m").over(Window.partitionBy(*by) if by else Window.partitionBy())
-    counts = counts.withColumns({"_rank": F.sum("_m").over(up.rowsBetween(Window.unboundedPreceding, 0)), "_n": n}).withColumn("_raw", F.col("_p") * F.col("_n") / F.col("_rank"))
-    counts = counts.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(up.rowsBetween(0, Window.unboundedFollowing)))).drop("_m", "_rank", "_n", "_raw")
-    counts = counts.select(F.col("_p").alias("_p2"), F.col(out), *(F.col(c).alias(f"_by_{c}") for c in by))
+    ranked = running(counts, "_p", {"_rank": "_m"}, by)
+    total = F.broadcast(counts.agg(F.sum("_m").alias("_n"))) if not by else counts.groupBy(*by).agg(F.sum("_m").alias("_n"))
+    ranked = ranked.crossJoin(total) if not by else ranked.join(total, list(by))
+    done = least_from(ranked.withColumn("_raw", F.col("_p") * F.col("_n") / F.col("_rank")), "_p", "_raw", out, by)
+    done = done.select(F.col("_p").alias("_p2"), F.least(F.lit(1.0), out).alias(out), *(F.col(c).alias(f"_by_{c}") for c in by))
     on = F.col("_p") == F.col("_p2")
     for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return rows.join(counts, on).select(*df.columns, out)
+        on = on & (F.col(c) == F.col(f"_by_{c}"))
+    return rows.join(done, on).select(*df.columns, out)
 
 
 def holm(df: DataFrame, p: str, by: Sequence[str], order: Sequence[Column], out: str = "adjusted_p") -> DataFrame:

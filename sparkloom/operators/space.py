@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +19,12 @@ def square_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
     return sum(((p - q) * (p - q) for p, q in zip(a, b, strict=True)), F.lit(0.0))
 
 
-def knn(points: DataFrame, k: int, *, section: str = "section", point: str = "id", xy: Sequence[str] = ("x", "y"), width: float | None = None) -> DataFrame:
+def knn(points: DataFrame, k: int, *, section: str = "section", point: str = "id", xy: Sequence[str] = ("x", "y"), width: float | None = None, rings: int = 2) -> DataFrame:
     """JOI14: (section, id, neighbor, d2, rank), the k nearest others in the section by squared distance, then id.
 
     With a width only neighbours in the point's grid cell and the cells around it are candidates, which is exact for
-    points with k of them within that width, and others are searched in the whole section; without, all are.
+    points with k of them within that width. Others are searched in a grid of twice the width, and so on for `rings` grids,
+    and the rest in the whole section; without a width, all are.
     """
     p = points.select(F.col(section).alias("section"), F.col(point).alias("id"), *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(xy)))
     dims = range(len(xy))
@@ -31,17 +35,20 @@ def knn(points: DataFrame, k: int, *, section: str = "section", point: str = "id
         w = Window.partitionBy("section", "id").orderBy("d2", "neighbor")
         return pairs.filter("id <> neighbor").select("section", "id", "neighbor", d2.alias("d2")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
-    if width is None:
-        return nearest(p.join(other, "section"))
-    cells = [F.floor(F.col(f"_{i}") / width).alias(f"_c{i}") for i in dims]
-    around = p.select("*", *cells)
-    for i in dims:
-        around = around.withColumn(f"_c{i}", F.explode(F.array(F.col(f"_c{i}") - 1, F.col(f"_c{i}"), F.col(f"_c{i}") + 1)))
-    at = other.select("*", *(F.floor(F.col(f"_n{i}") / width).alias(f"_c{i}") for i in dims))
-    near = nearest(around.join(at, ["section", *(f"_c{i}" for i in dims)]))
-    done = near.filter((F.col("rank") == k) & (F.col("d2") <= width * width)).select("section", "id")
-    rest = p.join(done, ["section", "id"], "left_anti")
-    return near.join(done, ["section", "id"], "left_semi").unionByName(nearest(rest.join(other, "section")))
+    out, rest = None, p
+    for ring in range(rings if width is not None else 0):
+        size = width * 2**ring
+        around = rest.select("*", *(F.floor(F.col(f"_{i}") / size).alias(f"_c{i}") for i in dims))
+        for i in dims:
+            around = around.withColumn(f"_c{i}", F.explode(F.array(F.col(f"_c{i}") - 1, F.col(f"_c{i}"), F.col(f"_c{i}") + 1)))
+        at = other.select("*", *(F.floor(F.col(f"_n{i}") / size).alias(f"_c{i}") for i in dims))
+        near = nearest(around.join(at, ["section", *(f"_c{i}" for i in dims)]))
+        done = near.filter((F.col("rank") == k) & (F.col("d2") <= size * size)).select("section", "id")
+        found = near.join(done, ["section", "id"], "left_semi")
+        out = found if out is None else out.unionByName(found)
+        rest = rest.join(done, ["section", "id"], "left_anti")
+    whole = nearest(rest.join(other, "section"))
+    return whole if out is None else out.unionByName(whole)
 
 
 def knn_graph(neighbors: DataFrame) -> DataFrame:
@@ -114,12 +121,78 @@ def perturbation_neighbors(cells: DataFrame, ranked: DataFrame, primary: int = 1
     return rel.join(mixed, ["section", "neighbor"], "left_anti").withColumn("band", band(F.col("rank"))).select("section", "perturbation", F.col("id").alias("source"), "neighbor", "rank", "band")
 
 
-def vector_pairs(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, neighbor, dot, d2) of all query vectors with all targets. queries, targets: (id, v)."""
-    other = targets.select(F.col("id").alias("neighbor"), F.col("v").alias("w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    d2 = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return queries.join(other, F.col("id") != F.col("neighbor")).select("id", "neighbor", dot.alias("dot"), d2.alias("d2"))
+#: Vectors of a block; two blocks and their products are what a task holds.
+BLOCK = 2048
+
+
+def blocks_of(vectors: DataFrame, block: int = BLOCK, label: str | None = None) -> tuple[DataFrame, int]:
+    """(rows (block, ids, labels, data), number of blocks): vectors (id, v) packed by the hash of their ids."""
+    n = max(1, -(-vectors.count() // block))
+    rows = vectors.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.col("id").cast("bigint").alias("id"), (F.col(label) if label else F.lit(0)).cast("bigint").alias("label"), F.col("v").cast("array<double>").alias("v"))
+
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        return pd.DataFrame([(int(key[0]), pdf.id.to_numpy().tobytes(), pdf.label.to_numpy().tobytes(), np.stack(pdf.v.to_list()).astype(float).tobytes())], columns=["block", "ids", "labels", "data"])
+
+    return rows.groupBy("block").applyInPandas(pack, "block int, ids binary, labels binary, data binary"), n
+
+
+def block_pairs(queries: DataFrame, targets: DataFrame, work, schema: str, block: int = BLOCK, label: str | None = None) -> DataFrame:
+    """The rows that work(ids_a, labels_a, a, ids_b, labels_b, b) gives for every pair of blocks, a pair being one row.
+
+    So pairs of vectors are matrix products within tasks, and only what work gives is shuffled. All pairs are compared; the
+    vectors travel once for each block of the other side.
+    """
+    (a, _), (b, nb) = blocks_of(queries, block, label), blocks_of(targets, block, label)
+    left = a.select(*(F.col(c).alias(f"{c}_a") for c in a.columns), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("block_b"))
+    both = left.join(b.select(*(F.col(c).alias(f"{c}_b") for c in b.columns)), "block_b")
+    both = both.repartition("block_a", "block_b").select(*(f"{c}_{s}" for s in "ab" for c in ("ids", "labels", "data")))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ia, la, xa, ib, lb, xb = (np.frombuffer(c[k].as_py(), t) for c, t in zip(batch.columns, ("<i8", "<i8", "<f8") * 2, strict=True))
+                yield from work(ia, la, xa.reshape(len(ia), -1), ib, lb, xb.reshape(len(ib), -1))
+
+    return both.mapInArrow(run, schema)
+
+
+def vector_knn(vectors: DataFrame, k: int, by: str = "distance", digits: int = 6) -> DataFrame:
+    """(id, neighbor, rank) of each vector's k nearest others by Euclidean distance or by product, then by id.
+
+    vectors: (id, v). Distances are squares rounded to the digits, so that ties are broken alike on any engine. Each pair of
+    blocks gives its k best for a query, and their best are taken after the shuffle.
+    """
+
+    def work(ia, la, a, ib, lb, b):
+        score = -(a @ b.T) if by == "product" else (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+        score = np.round(score, digits) + 0.0
+        score[ia[:, None] == ib[None, :]] = np.inf
+        m = min(k, score.shape[1])
+        cut = np.partition(score, m - 1, axis=1)[:, m - 1]
+        i, j = np.nonzero((score <= cut[:, None]) & np.isfinite(score))
+        order = np.lexsort((ib[j], score[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array(ib[j]), pa.array(score[i, j])], names=["id", "neighbor", "score"])
+
+    near = block_pairs(vectors, vectors, work, "id bigint, neighbor bigint, score double")
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("score", "neighbor"))).filter(F.col("rank") <= k).select("id", "neighbor", "rank")
+
+
+def label_separation(vectors: DataFrame, digits: int = 6) -> DataFrame:
+    """GRA20: (within, between, separation) over all ordered pairs of vectors (id, v, label): the mean distances and their ratio."""
+
+    def work(ia, la, a, ib, lb, b):
+        d = np.sqrt(np.maximum(np.round((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), digits), 0))
+        other = ia[:, None] != ib[None, :]
+        same = (la[:, None] == lb[None, :]) & other
+        yield pa.RecordBatch.from_arrays([pa.array([int(same.sum())]), pa.array([float(d[same].sum())]), pa.array([int((other & ~same).sum())]), pa.array([float(d[other & ~same].sum())])], names=["n", "s", "m", "t"])
+
+    sums = block_pairs(vectors, vectors, work, "n bigint, s double, m bigint, t double", label="label").agg(*(F.sum(c).alias(c) for c in "nsmt"))
+    out = sums.select((F.col("s") / F.col("n")).alias("within"), (F.col("t") / F.col("m")).alias("between"))
+    return out.withColumn("separation", F.col("between") / F.greatest(F.col("within"), F.lit(1e-12)))
 
 
 def knn_preservation(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
@@ -130,27 +203,26 @@ def knn_preservation(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return ids.join(both, "id", "left").select("id", (n / (2 * k - n)).alias("jaccard"))
 
 
-def prototypes(vectors: DataFrame, label: str, dim: int) -> DataFrame:
-    """SCA11: the mean vector of each label, scaled to length 1; vectors: (label, v)."""
-    means = vectors.groupBy(F.col(label).alias("label")).agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dim))).alias("m"))
+def prototypes(vectors: DataFrame, label: str) -> DataFrame:
+    """SCA11: the mean vector of each label, scaled to length 1; vectors: (label, v), of any one length."""
+    parts = vectors.select(F.col(label).alias("label"), F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("m"))
     norm = F.sqrt(F.aggregate(F.transform("m", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
     return means.withColumn("_l", norm).select("label", F.transform("m", lambda x: x / F.col("_l")).alias("m"))
 
 
+#: So many prototypes are sent to every task; more are joined without a broadcast.
+FEW_PROTOTYPES = 4096
+
+
 def label_transfer(vectors: DataFrame, protos: DataFrame) -> DataFrame:
-    """SCA11: each vector's most similar prototype and the softmax confidence of it. vectors: (id, v); protos are few."""
+    """SCA11: each vector's most similar prototype and the softmax confidence of it. vectors: (id, v)."""
     norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * x), F.lit(0.0), lambda s, x: s + x))
-    scored = vectors.withColumn("_l", norm).crossJoin(F.broadcast(protos))
+    scored = vectors.withColumn("_l", norm).crossJoin(F.broadcast(protos) if protos.count() <= FEW_PROTOTYPES else protos)
     scored = scored.select("id", "label", (F.aggregate(F.zip_with("v", "m", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / F.col("_l")).alias("s"))
     return scored.groupBy("id").agg(F.max_by("label", F.struct(F.round("s", 9), (-F.col("label")).alias("l"))).alias("predicted"), (F.exp(F.max("s")) / F.sum(F.exp("s"))).alias("confidence"))
 
 
-def separation(pairs: DataFrame) -> DataFrame:
-    """GRA20: mean distance between labels over that within labels; pairs: (distance, same)."""
-    out = pairs.agg(F.avg(F.when(F.col("same"), F.col("distance"))).alias("within"), F.avg(F.when(~F.col("same"), F.col("distance"))).alias("between"))
-    return out.withColumn("separation", F.col("between") / F.greatest(F.col("within"), F.lit(1e-12)))
-
-
 def clustering_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     """GRA18 and EVD15: adjusted Rand index and normalised mutual information (arithmetic mean) of two labellings."""
     cells = rows.groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))

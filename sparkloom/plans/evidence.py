@@ -106,7 +106,7 @@ def null_check(spark, d):
     return rounded(E.empirical_check(11.0, nulls, max_p=0.3))
 
 
-@query("label_permutation", f"WITH c AS ({CELLS}), r AS (SELECT cell_id, label FROM c WHERE label <> '5-LOW'), a AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) AS rn FROM r), b AS (SELECT label AS permuted, row_number() OVER (ORDER BY {DRAW.format(chr(39) + 'perm' + chr(39) + ', cell_id::VARCHAR')}, cell_id) AS rn FROM r) SELECT cell_id, permuted FROM a JOIN b USING (rn) UNION ALL SELECT cell_id, label FROM c WHERE label = '5-LOW'")
+@query("label_permutation", f"WITH c AS ({CELLS}), r AS (SELECT cell_id, label FROM c WHERE label <> '5-LOW'), a AS (SELECT cell_id, row_number() OVER (ORDER BY {DRAW.format(chr(39) + 'perm' + chr(39) + ', ' + chr(39) + 'to' + chr(39) + ', cell_id::VARCHAR')}, cell_id) AS rn FROM r), b AS (SELECT label AS permuted, row_number() OVER (ORDER BY {DRAW.format(chr(39) + 'perm' + chr(39) + ', cell_id::VARCHAR')}, cell_id) AS rn FROM r) SELECT cell_id, permuted FROM a JOIN b USING (rn) UNION ALL SELECT cell_id, label FROM c WHERE label = '5-LOW'")
 def label_permutation(spark, d):
     return E.permute_labels(cells(spark, d).select("cell_id", "label"), "cell_id", "label", "5-LOW", "perm").select("cell_id", "permuted")
 

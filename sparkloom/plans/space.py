@@ -59,7 +59,7 @@ m AS (SELECT section, neighbor FROM b GROUP BY ALL HAVING count(DISTINCT perturb
 SELECT section, perturbation, id AS source, neighbor, rank, CASE WHEN rank <= 5 THEN 'proximal' WHEN rank <= 15 THEN 'local' WHEN rank <= 30 THEN 'transition' ELSE 'distal' END AS band FROM b WHERE (section, neighbor) NOT IN (SELECT (section, neighbor) FROM m)""")
 def neighbor_bands(spark, d):
     c = points(spark, d).select("section", "id", (F.col("id") % 10 == 0).alias("positive"), (F.col("id") % 3).alias("perturbation"))
-    return P.perturbation_neighbors(c, neighbors(spark, d, 40, None))
+    return P.perturbation_neighbors(c, neighbors(spark, d, 40, 300.0))
 
 
 @query("correlation_network", f"WITH e AS ({EXPR}), n AS (SELECT count(DISTINCT cell_id)::DOUBLE AS n FROM e), s AS (SELECT gene, sum(value) AS s, sum(value * value) AS q FROM e GROUP BY gene), x AS (SELECT a.gene AS a, b.gene AS b, sum(a.value * b.value) AS xy FROM e a JOIN e b USING (cell_id) WHERE a.gene < b.gene GROUP BY ALL), r AS (SELECT x.a, x.b, (xy - sa.s * sb.s / n) / sqrt((sa.q - sa.s ** 2 / n) * (sb.q - sb.s ** 2 / n)) AS r FROM x JOIN s sa ON sa.gene = x.a JOIN s sb ON sb.gene = x.b, n) SELECT a, b, round(r, 6) AS r FROM r WHERE r > -0.035")
@@ -75,13 +75,6 @@ VEC = "SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings"
 VKNN = f"SELECT id, neighbor, rank FROM (SELECT a.id, b.id AS neighbor, row_number() OVER (PARTITION BY a.id ORDER BY {{}}, b.id) AS rank FROM ({VEC}) a JOIN ({VEC}) b ON a.id <> b.id) WHERE rank <= 10"
 
 
-def _vector_knn(spark, d, order):
-    from pyspark.sql import Window
-
-    pairs = P.vector_pairs(vectors(spark, d).select("id", "v"), vectors(spark, d).select("id", "v"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter("rank <= 10").select("id", "neighbor", "rank")
-
-
 BY_D2 = "round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2)), 6)"
 BY_DOT = "round(-list_dot_product(a.v, b.v), 6)"
 
@@ -89,12 +82,12 @@ BY_DOT = "round(-list_dot_product(a.v, b.v), 6)"
 @query("embedding_knn", VKNN.format(BY_D2))
 def embedding_knn(spark, d):
     """Every vector against all others."""
-    return _vector_knn(spark, d, [F.round("d2", 6), F.col("neighbor")])
+    return P.vector_knn(vectors(spark, d), 10)
 
 
 @query("knn_preservation", f"WITH a AS ({VKNN.format(BY_D2)}), b AS ({VKNN.format(BY_DOT)}) SELECT a.id, round(count(b.id) / (20 - count(b.id))::DOUBLE, 6) AS jaccard FROM a LEFT JOIN b ON a.id = b.id AND a.neighbor = b.neighbor GROUP BY a.id")
 def knn_preservation(spark, d):
-    return rounded(P.knn_preservation(_vector_knn(spark, d, [F.round("d2", 6), F.col("neighbor")]), _vector_knn(spark, d, [F.round(-F.col("dot"), 6), F.col("neighbor")]), 10))
+    return rounded(P.knn_preservation(P.vector_knn(vectors(spark, d), 10), P.vector_knn(vectors(spark, d), 10, "product"), 10))
 
 
 DIM = 64
@@ -104,13 +97,13 @@ TRANSFER = f"WITH p AS ({MEANS}), s AS (SELECT id, t.label AS truth, p.label, li
 
 @query("label_transfer", f"SELECT id, predicted, round(confidence, 6) AS confidence FROM ({TRANSFER})")
 def label_transfer(spark, d):
-    protos = P.prototypes(vectors(spark, d), "label", DIM)
+    protos = P.prototypes(vectors(spark, d), "label")
     return rounded(P.label_transfer(vectors(spark, d).select("id", "v"), protos))
 
 
 @query("prediction_qc", f"WITH t AS ({TRANSFER}), l AS (SELECT truth AS l FROM t UNION SELECT predicted FROM t), f AS (SELECT l, 2.0 * count(*) FILTER (truth = l AND predicted = l) / (count(*) FILTER (truth = l) + count(*) FILTER (predicted = l)) AS f FROM t, l GROUP BY l) SELECT round((SELECT avg((truth = predicted)::INT) FROM t), 6) AS accuracy, round(avg(f), 6) AS macro_f1 FROM f")
 def prediction_qc(spark, d):
-    protos = P.prototypes(vectors(spark, d), "label", DIM)
+    protos = P.prototypes(vectors(spark, d), "label")
     out = P.label_transfer(vectors(spark, d).select("id", "v"), protos).join(vectors(spark, d).select("id", "label"), "id")
     return rounded(P.accuracy_f1(out, "label", "predicted"))
 
@@ -125,17 +118,18 @@ def clustering_agreement(spark, d):
 
 @query("within_between_separation", f"WITH p AS (SELECT sqrt({BY_D2}) AS distance, a.label = b.label AS same FROM ({VEC}) a JOIN ({VEC}) b ON a.id <> b.id), s AS (SELECT avg(distance) FILTER (same) AS within, avg(distance) FILTER (NOT same) AS between FROM p) SELECT round(within, 5) AS within, round(between, 5) AS between, round(between / within, 5) AS separation FROM s")
 def within_between_separation(spark, d):
-    pairs = P.vector_pairs(vectors(spark, d).select("id", "v"), vectors(spark, d).select("id", "v"))
-    label = vectors(spark, d).select("id", "label")
-    pairs = pairs.join(label, "id").join(label.toDF("neighbor", "other"), "neighbor")
-    return rounded(P.separation(pairs.select(F.sqrt(F.round("d2", 6)).alias("distance"), (F.col("label") == F.col("other")).alias("same"))), 5)
+    return rounded(P.label_separation(vectors(spark, d)), 5)
+
+
+CENTRES = f"SELECT label, [{', '.join(f'avg(v[{i + 1}])' for i in range(DIM))}] AS m FROM ({VEC}) GROUP BY label"
 
 
-@query("hyperbolic_distance", "WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), l AS (SELECT id, sqrt(1 + x * x + y * y) AS t, x, y FROM p) SELECT a.id, round(acosh(greatest(a.t * b.t - a.x * b.x - a.y * b.y, 1 + 1e-7)), 6) AS lorentz, round(acosh(greatest(1 + 2 * ((a.x / (a.t + 1) - b.x / (b.t + 1)) ** 2 + (a.y / (a.t + 1) - b.y / (b.t + 1)) ** 2) / greatest((1 - (a.x ** 2 + a.y ** 2) / (a.t + 1) ** 2) * (1 - (b.x ** 2 + b.y ** 2) / (b.t + 1) ** 2), 1e-7), 1 + 1e-7)), 6) AS poincare, round(sqrt(greatest(a.t * a.t - a.x * a.x - a.y * a.y, 0)), 6) AS on_sheet FROM l a JOIN l b ON b.id = a.id + 1")
+@query("hyperbolic_distance", f"WITH a AS (SELECT id, v, list_dot_product(v, v) AS q FROM ({VEC})), c AS (SELECT label, m, list_dot_product(m, m) AS q FROM ({CENTRES})), l AS (SELECT id, label, sqrt(1 + a.q) AS t, sqrt(1 + c.q) AS u, a.q AS q, c.q AS r, list_dot_product(v, m) AS p FROM a, c) SELECT id, label, round(acosh(greatest(t * u - p, 1 + 1e-7)), 6) AS lorentz, round(acosh(greatest(1 + 2 * (q / (t + 1) ** 2 + r / (u + 1) ** 2 - 2 * p / ((t + 1) * (u + 1))) / greatest((1 - q / (t + 1) ** 2) * (1 - r / (u + 1) ** 2), 1e-7), 1 + 1e-7)), 6) AS poincare, round(sqrt(greatest(t * t - q, 0)), 6) AS on_sheet FROM l")
 def hyperbolic_distance(spark, d):
-    """Neighbouring ids' distances in both models, over the first two components."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("v"))
-    p = e.select("id", H.lift(F.col("v")).alias("x"))
-    pairs = p.join(p.select((F.col("id") - 1).alias("id"), F.col("x").alias("y")), "id")
+    """Every vector's distances from each label's mean vector in both models, over all components."""
+    v = vectors(spark, d)
+    parts = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
+    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("m"))
+    pairs = v.select("id", H.lift(F.col("v")).alias("x")).crossJoin(means.select("label", H.lift(F.col("m")).alias("y")))  # labels are few
     x, y = F.col("x"), F.col("y")
-    return rounded(pairs.select("id", H.distance(x, y).alias("lorentz"), H.ball_distance(H.to_ball(x), H.to_ball(y)).alias("poincare"), F.sqrt(F.greatest(-H.inner(x, x), F.lit(0.0))).alias("on_sheet")))
+    return rounded(pairs.select("id", "label", H.distance(x, y).alias("lorentz"), H.ball_distance(H.to_ball(x), H.to_ball(y)).alias("poincare"), F.sqrt(F.greatest(-H.inner(x, x), F.lit(0.0))).alias("on_sheet")))

@@ -36,3 +36,10 @@ def _clean() -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # the JVM may have ended first
             return
+
+
+def written(df, name: str):
+    """The rows, written to the shared folder once and read from there: what several branches of a plan use."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
