@@ -245,6 +245,55 @@ def linear_sem(data: np.ndarray, mask: np.ndarray, l1: float = 0.01, acyclic: fl
     return a
 
 
+def sem_by_context(values: DataFrame, names: list[str], context: str, unit: str, name: str, value: str, floor: float = 0.02, steps: int = 300) -> DataFrame:
+    """MOD3: (context, src, dst, w) of weights above the floor in size, a fit for each context.
+
+    values: one row for each unit and name, missing ones being 0; columns are scaled by context. The fit needs products of
+    columns alone, so a context's task gets the names' squares and products, summed before, not its units.
+    """
+    _check(len(names))
+    rows = values.filter(F.col(name).isin(names))
+    n = rows.select(context, unit).distinct().groupBy(context).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    a, b = (rows.select(context, unit, F.col(name).alias(s), F.col(value).cast("double").alias(f"v{s}")) for s in "ab")
+    cross = a.join(b, [context, unit]).groupBy(context, "a", "b").agg(F.sum(F.col("va") * F.col("vb")).alias("p"), F.sum("va").alias("s"))
+    held = cross.join(n, context)
+    place, d = {x: i for i, x in enumerate(names)}, len(names)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = float(pdf.n.iloc[0])
+        i, j = pdf.a.map(place).to_numpy(), pdf.b.map(place).to_numpy()
+        product, mean = np.zeros((d, d)), np.zeros(d)
+        product[i, j] = pdf.p.to_numpy() / total
+        mean[i[i == j]] = pdf.s.to_numpy()[i == j] / total
+        cov = product - np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(cov), 0))
+        scale = np.where(scale > 1e-6, scale, 1.0)
+        w = sem_of_products(cov / np.outer(scale, scale), steps=steps)
+        src, dst = np.nonzero(np.abs(w) > floor)
+        text = lambda x: pd.Series(x, dtype=object)
+        return pd.DataFrame({context: text([key[0]] * len(src)), "src": text([names[k] for k in src]), "dst": text([names[k] for k in dst]), "w": w[src, dst]})
+
+    return held.groupBy(context).applyInPandas(run, f"{context} {dict(values.dtypes)[context]}, src string, dst string, w double")
+
+
+def sem_of_products(products: np.ndarray, l1: float = 0.01, acyclic: float = 1.0, steps: int = 300, rate: float = 0.02) -> np.ndarray:
+    """MOD3 without interventions: linear_sem() from the mean products of the columns, which is all its gradient uses."""
+    d = len(products)
+    a, m, v = np.zeros((d, d)), np.zeros((d, d)), np.zeros((d, d))
+    for t in range(1, steps + 1):
+        gradient = (products @ a - products) * 2 / d
+        square, term, total = a * a, np.eye(d), np.eye(d)
+        for k in range(1, 13):
+            term = term @ square / k
+            total = total + term
+        gradient += l1 * np.sign(a) + acyclic * total.T * 2 * a
+        np.fill_diagonal(gradient, 0)
+        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
+        a -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    np.fill_diagonal(a, 0)
+    return a
+
+
 def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
     """GRA2: the triangles of a Delaunay triangulation, by inserting point after point (Bowyer and Watson).
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,27 +73,41 @@ def nation_lines(spark: SparkSession, d: str) -> DataFrame:
     return items.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o.join(c, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst", "l_partkey", "l_quantity", "l_shipdate")
 
 
-def flow(spark: SparkSession, d: str) -> DataFrame:
+def traffic(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, gene, n, qty), written: line items by the nations of customer and supplier and the part's brand.
+
+    The graph and the nodes' values are sums over it, so a query that uses several of them joins the line items once.
+    """
+    p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("gene"))
+    rows = nation_lines(spark, d).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    return written(rows.groupBy("src", "dst", "gene").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty")), "traffic")
+
+
+def flow(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     """(src, dst, n, qty): a directed graph of nations."""
+    if base is not None:
+        return base.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.sum("qty").alias("qty"))
     return nation_lines(spark, d).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("qty"))
 
 
 CAUSAL = f"SELECT src, dst, w FROM (SELECT src, dst, n / (sum(n) OVER (PARTITION BY src))::DOUBLE AS w FROM ({FLOW}) WHERE src <> dst) WHERE w > 0.043"
 
 
-def causal(spark: SparkSession, d: str, floor: float = 0.043) -> DataFrame:
+def causal(spark: SparkSession, d: str, floor: float = 0.043, base: DataFrame | None = None) -> DataFrame:
     """(src, dst, w): edges whose share of what leaves src is above the floor."""
     from pyspark.sql import Window
 
-    shares = flow(spark, d).filter("src <> dst").withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("src")))
+    shares = flow(spark, d, base).filter("src <> dst").withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("src")))
     return shares.filter(F.col("w") > floor).select("src", "dst", "w")
 
 
 NODE_EXPR = "SELECT c_nationkey AS node, p_brand AS gene, avg(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"
 
 
-def node_expr(spark: SparkSession, d: str) -> DataFrame:
+def node_expr(spark: SparkSession, d: str, base: DataFrame | None = None) -> DataFrame:
     """(node, gene, value): mean quantity of a brand in the orders of a nation's customers."""
+    if base is not None:
+        return base.groupBy(F.col("src").alias("node"), "gene").agg((F.sum("qty") / F.sum("n")).alias("value"))
     p = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("gene"))
     return nation_lines(spark, d).join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("src").alias("node"), "gene").agg(F.avg("l_quantity").alias("value"))
 

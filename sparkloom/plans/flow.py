@@ -8,15 +8,15 @@ from ..operators import dosing as D
 from ..operators import flow as G
 from ..operators import summary as S
 from ._register import query
-from .bindings import CAUSAL, CHAINS_SQL, FLOW, NODE_EXPR, NODES, causal, chains, flow, node_expr, nodes, table
+from .bindings import CAUSAL, CHAINS_SQL, FLOW, NODE_EXPR, NODES, causal, chains, flow, node_expr, nodes, table, traffic
 from .expression import rounded
 
 SPATIAL = f"SELECT src, dst, n / (max(n) OVER ())::DOUBLE AS w FROM ({FLOW}) WHERE src <> dst"
 DISTANCE = "SELECT a.n_nationkey AS src, b.n_nationkey AS dst, abs(a.n_nationkey - b.n_nationkey)::DOUBLE AS w FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey"
 
 
-def spatial(spark, d):
-    f = flow(spark, d).filter("src <> dst")
+def spatial(spark, d, base=None):
+    f = flow(spark, d, base).filter("src <> dst")
     return f.crossJoin(F.broadcast(f.agg(F.max("n").alias("m")))).select("src", "dst", (F.col("n") / F.col("m")).alias("w"))
 
 
@@ -36,7 +36,8 @@ edges AS (SELECT *, support * weight AS flow_score, CASE WHEN fwd AND rev THEN '
 
 
 def communication(spark, d):
-    return G.communication(chains(spark), nodes(spark, d), node_expr(spark, d), spatial(spark, d), distance(spark, d), causal(spark, d))
+    base = traffic(spark, d)
+    return G.communication(chains(spark), nodes(spark, d), node_expr(spark, d, base), spatial(spark, d, base), distance(spark, d), causal(spark, d, base=base))
 
 
 @query("communication_flow", f"{COMM} SELECT pathway, ligand, receptor, tf, target, src, dst, missing_genes, round(flow_score, 6) AS flow_score, round(flow_score / max(flow_score) OVER (), 6) AS normalized_flow, direction_status FROM edges")
@@ -63,8 +64,9 @@ s AS (SELECT *, w * ((CASE WHEN v1 > 0.1 THEN 1 ELSE 0.3 END) + (CASE WHEN v2 >
 edges AS (SELECT pathway, causal_edge, 0 AS source_layer, 1 AS target_layer, ligand AS source, receptor AS target, s AS weight, v1 AS source_value, v2 AS target_value FROM s UNION ALL SELECT pathway, causal_edge, 1, 2, receptor, tf, s * 0.8, v2, v3 FROM s UNION ALL SELECT pathway, causal_edge, 2, 3, tf, target, s * 0.6, v3, v4 FROM s)"""
 
 
-def signal(spark, d):
-    return G.signal_flow(chains(spark), nodes(spark, d), node_expr(spark, d), causal(spark, d))
+def signal(spark, d, base=None):
+    base = traffic(spark, d) if base is None else base
+    return G.signal_flow(chains(spark), nodes(spark, d), node_expr(spark, d, base), causal(spark, d, base=base))
 
 
 @query("signal_flow_edges", f"{SIGNAL} SELECT pathway, causal_edge, source_layer, target_layer, source, target, round(weight, 6) AS weight FROM edges")
@@ -132,8 +134,8 @@ def prior_injection(spark, d):
 KNOCK = f"SELECT node, node_type, gene, value, value * CASE WHEN gene = 'Brand#1' AND node_type = 'ASIA' THEN 0.2 WHEN gene = 'Brand#2' AND node_type = 'EUROPE' THEN 0.6 ELSE 1 END AS counterfactual FROM ({NODE_EXPR}) JOIN ({NODES}) USING (node)"
 
 
-def knocked(spark, d):
-    return G.knockout(node_expr(spark, d), nodes(spark, d), "Brand#1", "ASIA", "Brand#2", "EUROPE", 0.8)
+def knocked(spark, d, base=None):
+    return G.knockout(node_expr(spark, d, base), nodes(spark, d), "Brand#1", "ASIA", "Brand#2", "EUROPE", 0.8)
 
 
 @query("knockout_effects", f"SELECT node_type, gene, round(avg(counterfactual) - avg(value), 6) + 0.0 AS delta FROM ({KNOCK}) GROUP BY ALL HAVING abs(avg(counterfactual) - avg(value)) > 1e-9")
@@ -150,7 +152,8 @@ cf AS (SELECT upper(source) AS ligand, upper(target) AS receptor, causal_edge, p
 
 def ranked_cf(spark, d):
     prior = spark.createDataFrame([("Brand#1", "Brand#2")], "ligand string, receptor string")
-    return G.counterfactual_rank(signal(spark, d), knocked(spark, d), prior, 1e-4, 50)
+    base = traffic(spark, d)
+    return G.counterfactual_rank(signal(spark, d, base), knocked(spark, d, base), prior, 1e-4, 50)
 
 
 @query("counterfactual_ranking", f"{CF} SELECT ligand, receptor, causal_edge, round(combined_delta, 6) AS combined_delta, prior_hit, round(score, 6) AS score FROM cf")
@@ -183,7 +186,8 @@ def _spread_sql() -> str:
 @query("temporal_diffusion", _spread_sql())
 def temporal_diffusion(spark, d):
     start = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.when(F.col("n_nationkey") % 5 == 0, 1.0).otherwise(0.0).alias("effect"))
-    return rounded(G.temporal_spread(start, STEPS, causal(spark, d), spatial(spark, d)))
+    base = traffic(spark, d)
+    return rounded(G.temporal_spread(start, STEPS, causal(spark, d, base=base), spatial(spark, d, base)))
 
 
 @query("hop_propagation", f"WITH ca AS (SELECT src, dst FROM ({CAUSAL}) WHERE w > 0.045), n AS (SELECT dst AS node, count(*) AS n FROM ca GROUP BY dst), h0 AS (SELECT 0 AS node, 0 AS hop, 1.0::DOUBLE AS effect), h1 AS (SELECT dst AS node, 1 AS hop, sum(effect) / any_value(n.n) AS effect FROM ca JOIN h0 ON src = h0.node JOIN n ON n.node = dst WHERE dst NOT IN (SELECT node FROM h0) GROUP BY dst), s1 AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1), h2 AS (SELECT dst AS node, 2 AS hop, sum(effect) / any_value(n.n) AS effect FROM ca JOIN s1 ON src = s1.node JOIN n ON n.node = dst WHERE dst NOT IN (SELECT node FROM s1) GROUP BY dst) SELECT node, hop, round(effect, 6) AS effect FROM s1 UNION ALL SELECT node, hop, round(effect, 6) FROM h2")
@@ -192,6 +196,15 @@ def hop_propagation(spark, d):
     return rounded(G.hop_propagation(causal(spark, d).filter("w > 0.045").select("src", "dst"), start, 2))
 
 
+@query("relaxed_flow", f"WITH ca AS ({CAUSAL}), k AS (SELECT src, dst, w FROM ca WHERE w > 0.045), b AS (SELECT 1 AS part, src, dst, w FROM k UNION ALL SELECT 1, dst, src, w FROM k UNION ALL SELECT 2, src, dst, w FROM k) SELECT part, src, dst, round(max(w), 6) AS w FROM b GROUP BY ALL")
+def relaxed_flow(spark, d):
+    """GRA11: a graph whose flow found nothing gets its edges turned round (part 1), another is left as it is (part 2)."""
+    base = traffic(spark, d)
+    edges = causal(spark, d, 0.045, base)
+    none, some = (flow(spark, d, base).filter(c) for c in ("qty < 0", "qty > 0"))
+    return rounded(G.symmetric_if_empty(edges, none).withColumn("part", F.lit(1)).union(G.symmetric_if_empty(edges, some).withColumn("part", F.lit(2))))
+
+
 @query("cluster_adjacency", f"WITH f AS (SELECT src, dst, n::DOUBLE AS w FROM ({FLOW})), c AS (SELECT node, node_type FROM ({NODES})), k AS (SELECT node_type, count(*) AS k FROM c GROUP BY ALL), s AS (SELECT a.node_type AS ci, b.node_type AS cj, sum(w) AS w FROM f JOIN c a ON a.node = src JOIN c b ON b.node = dst WHERE a.node_type <> b.node_type GROUP BY ALL), v AS (SELECT ci, cj, w / (ka.k * kb.k + 1e-10) AS w FROM s JOIN k ka ON ka.node_type = ci JOIN k kb ON kb.node_type = cj) SELECT ci, cj, round(w / max(w) OVER (), 6) AS w FROM v")
 def cluster_adjacency(spark, d):
     edges = flow(spark, d).select("src", "dst", F.col("n").cast("double").alias("w"))
@@ -276,14 +289,30 @@ def rules(spark):
     return D.parse_rules(spark.createDataFrame([(r,) for r in RULES], "statement string"))
 
 
-@query("rule_parsing", "SELECT * FROM (VALUES ('ASIA', 'Brand#1', 'increases', 'migration', 'hill', 0.1::DOUBLE, 0.9::DOUBLE, 10::DOUBLE, 2::DOUBLE), ('EUROPE', 'Brand#2', 'decreases', 'growth', 'linear', 0::DOUBLE, 1::DOUBLE, 30::DOUBLE, 1::DOUBLE), ('AFRICA', 'Brand#3', 'decreases', 'growth', 'step', 0.2::DOUBLE, 0.8::DOUBLE, 25.5::DOUBLE, 1::DOUBLE)) AS v(cell_type, signal, direction, behavior, response, base, saturation, half_max, hill_power)")
+#: A rule for each nation and one of eight brands, as columns and as a sentence; numbers as both engines write them.
+RULE_TABLE = "SELECT n_name AS cell_type, 'Brand#' || (1 + k) AS signal, CASE WHEN (n_nationkey + k) % 2 = 0 THEN 'increases' ELSE 'decreases' END AS direction, CASE (n_nationkey + k) % 3 WHEN 0 THEN 'migration' WHEN 1 THEN 'cell growth' ELSE 'exhaustion' END AS behavior, CASE k % 3 WHEN 0 THEN 'hill' WHEN 1 THEN 'linear' ELSE 'step' END AS response, n_regionkey / 8.0::DOUBLE AS base, 1 + k / 4.0::DOUBLE AS saturation, n_nationkey + 0.5::DOUBLE AS half_max, 1.0::DOUBLE + k AS hill_power FROM nation, (SELECT unnest(range(8)) AS k)"
+SHORT = "regexp_replace(regexp_replace(printf('%.6f', {}), '0+$', ''), '\\.$', '')"
+
+
+def rule_table(spark, d):
+    n, k = F.col("n_nationkey"), F.col("k")
+    rows = table(spark, d, "nation").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return rows.select(F.col("n_name").alias("cell_type"), F.concat(F.lit("Brand#"), (k + 1).cast("string")).alias("signal"), F.when((n + k) % 2 == 0, "increases").otherwise("decreases").alias("direction"), F.when((n + k) % 3 == 0, "migration").when((n + k) % 3 == 1, "cell growth").otherwise("exhaustion").alias("behavior"), F.when(k % 3 == 0, "hill").when(k % 3 == 1, "linear").otherwise("step").alias("response"), (F.col("n_regionkey") / 8.0).alias("base"), (1 + k / 4.0).alias("saturation"), (n + 0.5).alias("half_max"), (k + 1.0).alias("hill_power"))
+
+
+@query("rule_parsing", RULE_TABLE)
 def rule_parsing(spark, d):
-    return rules(spark).drop("statement")
+    """SCA7: the columns that are read back from each rule's sentence."""
+    r = rule_table(spark, d)
+    number = lambda c: F.col(c).cast("string")
+    text = F.concat(F.lit("In "), "cell_type", F.lit(" cells, "), "signal", F.lit(" "), "direction", F.lit(" "), "behavior", F.lit(" with a "), "response", F.lit(" response, base "), number("base"), F.lit(", max "), number("saturation"), F.lit(", half-max "), number("half_max"), F.lit(", hill "), number("hill_power"))
+    return D.parse_rules(r.select(text.alias("statement"))).drop("statement")
 
 
-@query("rule_rendering", "SELECT * FROM (VALUES " + ", ".join(f"('{r}')" for r in RULES) + ") AS v(statement)")
+@query("rule_rendering", "SELECT 'In ' || cell_type || ' cells, ' || signal || ' ' || direction || ' ' || behavior || ' with a ' || response || ' response, base ' || " + SHORT.format("base") + " || ', max ' || " + SHORT.format("saturation") + " || ', half-max ' || " + SHORT.format("half_max") + " || ', hill ' || " + SHORT.format("hill_power") + f" AS statement FROM ({RULE_TABLE})")
 def rule_rendering(spark, d):
-    return D.render_rules(rules(spark).drop("statement")).select("statement")
+    """SCA7: each rule's sentence, read and written again."""
+    return D.render_rules(D.parse_rules(D.render_rules(rule_table(spark, d)).select("statement")).drop("statement")).select("statement")
 
 
 @query("rule_responses", f"WITH v AS ({NODE_EXPR}) SELECT node, gene, round(CASE gene WHEN 'Brand#1' THEN 0.1 + 0.8 * pow(value, 2) / (pow(10, 2) + pow(value, 2) + 1e-12) WHEN 'Brand#2' THEN 1 - least(1, value / 30) ELSE 0.2 + 0.6 * (value < 25.5)::INT END, 6) AS response_value FROM v WHERE gene IN ('Brand#1', 'Brand#2', 'Brand#3')")

@@ -11,13 +11,22 @@ from ._register import query
 from .bindings import CAUSAL, causal, expr, nation_lines, node_expr, nodes, table
 
 
-@query("betweenness")
+def _paths_sql(levels: int = 8) -> str:
+    """Numbers of shortest paths p(s, t, k, n) of the graph e, k edges long, level by level."""
+    parts = ["l0 AS (SELECT v AS s, v AS t, 0 AS k, 1::DOUBLE AS n FROM (SELECT src AS v FROM e UNION SELECT dst FROM e))", "r0 AS (SELECT s, t, k, n FROM l0)"]
+    for i in range(1, levels + 1):
+        parts.append(f"l{i} AS (SELECT s, dst AS t, {i} AS k, sum(n) AS n FROM l{i - 1} JOIN e ON src = t WHERE (s, dst) NOT IN (SELECT (s, t) FROM r{i - 1}) GROUP BY s, dst)")
+        parts.append(f"r{i} AS MATERIALIZED (SELECT * FROM r{i - 1} UNION ALL SELECT * FROM l{i})")
+    return ", ".join([*parts, f"p AS (SELECT * FROM r{levels})"])
+
+
+@query("betweenness", f"WITH e AS (SELECT src, dst FROM ({CAUSAL})), {_paths_sql()}, n AS (SELECT count(DISTINCT s)::DOUBLE AS n FROM p), b AS (SELECT a.t AS node, sum(a.n * c.n / w.n) AS b FROM p w JOIN p a ON a.s = w.s JOIN p c ON c.s = a.t AND c.t = w.t WHERE w.k = a.k + c.k AND a.t <> w.s AND a.t <> w.t GROUP BY a.t) SELECT DISTINCT p.s AS node, round(coalesce(b, 0) / ((n.n - 1) * (n.n - 2)), 9) AS betweenness FROM p LEFT JOIN b ON b.node = p.s, n")
 def betweenness(spark, d):
     """GRA8 over the nations' graph: one group, of 25 nodes."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*rows.src, *rows.dst})
         found = A.betweenness(sorted(zip(rows.src, rows.dst, strict=True)), names)
-        return pd.DataFrame({"node": names, "betweenness": [found[n] for n in names]})
+        return pd.DataFrame({"node": names, "betweenness": [round(found[n], 9) for n in names]})
 
     return causal(spark, d).select("src", "dst", F.lit(1).alias("g")).groupBy("g").applyInPandas(run, "node int, betweenness double")
 
@@ -51,7 +60,7 @@ def pc_bootstrap_edges(spark, d):
     """STA12: nations' regions as variables, brands as observations."""
     types = node_expr(spark, d).join(nodes(spark, d), "node").groupBy("gene").pivot("node_type", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]).agg(F.avg("value"))
     rows = types.select(F.col("gene").alias("row"), F.array(*(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in types.columns[1:])).alias("values"))
-    return A.bootstrap_edges(rows, 20, alpha=0.2)
+    return A.bootstrap_edges(rows, 20, alpha=0.2, most=3)
 
 
 @query("prototype_matching")
@@ -82,20 +91,12 @@ def niche_kmeans(spark, d):
 
 @query("sparse_sem")
 def sparse_sem(spark, d):
-    """MOD3: weights between ten brands, each status a context with a fit of its own; cells are few enough for a task."""
+    """MOD3: weights between all brands, each status a context with a fit of its own; donors are a fit's rows."""
     from .bindings import cells
 
-    genes = [f"Brand#{i}" for i in range(1, 11)]
-    means = expr(spark, d).filter(F.col("gene").isin(*genes)).join(cells(spark, d), "cell_id").groupBy("response", "donor", "gene").agg(F.avg("value").alias("v"))
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.pivot(index="donor", columns="gene", values="v").reindex(columns=genes).fillna(0.0).to_numpy()
-        s = x.std(axis=0)
-        a = A.linear_sem((x - x.mean(axis=0)) / np.where(s > 1e-6, s, 1), np.ones_like(x), steps=100)
-        i, j = np.nonzero(np.abs(a) > 0.02)
-        return pd.DataFrame({"response": key[0], "src": [genes[k] for k in i], "dst": [genes[k] for k in j], "w": a[i, j]})
-
-    return means.groupBy("response").applyInPandas(run, "response string, src string, dst string, w double")
+    genes = [f"Brand#{i}" for i in range(1, 26)]
+    means = expr(spark, d).join(cells(spark, d), "cell_id").groupBy("response", "donor", "gene").agg(F.avg("value").alias("v"))
+    return A.sem_by_context(means, genes, "response", "donor", "gene", "v", floor=0.02)
 
 
 @query("graph_statistics", f"WITH c AS ({CAUSAL}) SELECT count(*)::BIGINT AS n_edges, round(1 - count(*) / (25 * 24)::DOUBLE, 6) AS sparsity, round(avg(w), 6) AS mean, round(quantile_cont(w, 0.5), 6) AS median, round(stddev_pop(w), 6) AS sd, round(min(w), 6) AS least, round(max(w), 6) AS most FROM c")

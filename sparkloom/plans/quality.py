@@ -39,6 +39,7 @@ def first_nonempty_label(spark, d):
 
 @query("cohort_selection", f"SELECT cell_id FROM ({CELLS}) WHERE cell_type IN ('BUILDING', 'MACHINERY') AND label ILIKE '%high%' AND response IS NOT NULL AND length(label) > 0")
 def cohort_selection(spark, d):
+    """FIL7: membership, text within text in any case, and values that are there."""
     c = cells(spark, d)
     return c.filter(F.col("cell_type").isin("BUILDING", "MACHINERY") & F.col("label").ilike("%high%") & F.col("response").isNotNull() & (F.length("label") > 0)).select("cell_id")
 
@@ -212,6 +213,7 @@ def set_overlap(spark, d):
 
 @query("wide_to_long", "SELECT region, kind, n FROM (SELECT r_name AS region, count(*) FILTER (c_acctbal >= 0)::BIGINT AS credit, count(*) FILTER (c_acctbal < 0)::BIGINT AS debit FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL) UNPIVOT (n FOR kind IN (credit, debit))")
 def wide_to_long(spark, d):
+    """SET6."""
     c = table(spark, d, "customer").join(nodes(spark, d), F.col("c_nationkey") == F.col("node"))
     wide = c.groupBy(F.col("node_type").alias("region")).agg(F.count_if(F.col("c_acctbal") >= 0).alias("credit"), F.count_if(F.col("c_acctbal") < 0).alias("debit"))
     return wide.unpivot(["region"], ["credit", "debit"], "kind", "n")
