@@ -10,10 +10,8 @@ any record can be read at once, in any order.
 
 from __future__ import annotations
 
-import array
 import re
 import struct
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -83,8 +81,8 @@ class Encoder:
         self.marks = [x["content"] for x in parts["added_tokens"]]
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        self.pack = lambda ids: array.array(kind, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+        self.packed = [np.array([i], self.dtype).tobytes() for i in range(self.size)]
+        self.tokenize = self.tokenizer.model.tokenize if self.by_word else None
         import regex
 
         self.pieces_of = regex.compile(self.PATTERN).findall
@@ -97,11 +95,17 @@ class Encoder:
         return self._model(text)
 
     def _model(self, text: str) -> bytes:
-        return self.pack([t.id for t in self.tokenizer.model.tokenize(text)])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(text)])
 
     def _word(self, word: str) -> bytes:
-        if plain := PLAIN(word):
-            # letters that lowering and composing treat alike everywhere; the most common words by far
+        # letters that lowering and composing treat alike everywhere, alone or before a mark; the most common words by far
+        if word.isascii():
+            if word.isalpha():
+                return self.pieces[word.lower()]
+            if word[-1] in ".," and word[:-1].isalpha():
+                return self.pieces[word[:-1].lower()] + self.pieces[word[-1]]
+        elif plain := PLAIN(word):
             return self.pieces[plain[1].lower()] + (self.pieces[plain[2]] if plain[2] else b"")
         if any(m in word for m in self.marks):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
