@@ -26,7 +26,7 @@ TOPIC_SHARE = {"prose": 0.90, "table": 0.06, "shout": 0.02, "symbols": 0.02}
 KEEP, POWER = 0.5, 0.5
 #: Passes over the margins at most, passes between two checks, and the distance of a margin from its target, as a part of
 #: the sample, at which they end.
-PASSES, BLOCK, NEAR = 40, 8, 1e-12
+PASSES, BLOCK, NEAR = 40, 2, 1e-9
 #: So few cells are fitted in one task, without a shuffle for each margin.
 FEW = 1 << 14
 #: The columns that mix() adds.
