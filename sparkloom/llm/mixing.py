@@ -27,7 +27,7 @@ KEEP, POWER = 0.5, 0.5
 #: Passes over the margins at most, passes between two checks, and the distance of a margin from its target, as a part of
 #: the sample, at which they end.
 PASSES, BLOCK, NEAR = 40, 2, 1e-9
-#: So few cells are fitted in one task, without a shuffle for each margin.
+#: So many cells are fitted in one row.
 FEW = 1 << 14
 #: The columns that mix() adds.
 ADDED = ("_source", "_lang", "_topic", "_tokens", "_share", "_p", "_u", "_sampled")
@@ -70,19 +70,80 @@ def _levels(margin: DataFrame, size: Column) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0)
     steps = open_.select("_r", ((size - F.coalesce(F.sum("_supply").over(before), zero)) / (F.sum("_share").over(Window.partitionBy()) - F.coalesce(F.sum("_share").over(before), zero))).alias("_l"))
-    level = steps.agg(F.coalesce(F.min(F.when(F.col("_l") <= F.col("_r"), F.struct("_r", "_l")))["_l"], F.max("_r"), zero).alias("_level"))
+    # from the first value on that can be scaled, later ones would give less
+    level = steps.agg(F.coalesce(F.max(F.when(F.col("_l") <= F.col("_r"), F.col("_l"))), F.max("_r"), zero).alias("_level"))
     return margin.crossJoin(F.broadcast(level)).select(margin.columns[0], F.least("_supply", F.col("_level") * F.col("_share")).alias("_target"))
 
 
-def rake(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], keep: float, passes: int = PASSES) -> DataFrame:
-    """Adds _take, the tokens to sample of each cell, at most its weight, and _gap, how far its margins are from their
-    targets at most.
+def _rake_few(cells: DataFrame, columns: list[str], passes: int) -> DataFrame:
+    """_rake_many() of cells that fit into one row: all passes are one expression over arrays, so one small task."""
+    names = cells.columns
+    one = cells.agg(F.array_sort(F.collect_list(F.struct(*columns, "_cap", "_take", *(f"_t{c}" for c in columns), *(c for c in names if c not in {*columns, "_cap", "_take", *(f"_t{m}" for m in columns)})))).alias("x")).filter(F.size("x") > 0)
+    one = one.withColumns({"i": F.sequence(F.lit(0), F.size("x") - 1), "cap": F.col("x._cap"), "take": F.col("x._take")} | {f"v{c}": F.array_sort(F.array_distinct(F.col(f"x.{c}"))) for c in columns})
+    members = lambda c: F.transform(f"v{c}", lambda v: F.filter(F.col("i"), lambda i: F.col(f"x.{c}")[i] == v))
+    places = lambda c: F.transform(F.col(f"x.{c}"), lambda v: (F.array_position(F.col(f"v{c}"), v) - 1).cast("int"))
+    one = one.withColumns({f"m{c}": members(c) for c in columns} | {f"p{c}": places(c) for c in columns})
+    targets = lambda c: F.transform(f"m{c}", lambda m: F.col(f"x._t{c}")[m[0]])
+    one = one.withColumns({f"t{c}": targets(c) for c in columns})
+    full = lambda take, i: take[i] >= F.col("cap")[i] * (1 - 1e-12)
+
+    def step(take: Column, c: str) -> Column:
+        added = lambda m, f: F.aggregate(m, F.lit(0.0), lambda s, i: s + f(i))
+        sums = F.transform(f"m{c}", lambda m: F.struct(added(m, lambda i: take[i]).alias("sum"), added(m, lambda i: F.when(full(take, i), take[i]).otherwise(0.0)).alias("full")))
+
+        def scaled(i: Column, held: Column) -> Column:
+            at, want = held[F.col(f"p{c}")[i]], F.col(f"t{c}")[F.col(f"p{c}")[i]]
+            return _scaled(take[i], F.col("cap")[i], at["sum"], at["full"], want, full(take, i))
+
+        # the sums are bound to a variable, so that they are taken once a step
+        return F.flatten(F.transform(F.array(sums), lambda held: F.transform("i", lambda i: scaled(i, held))))
+
+    def bound(take: Column, c: str) -> Column:
+        return F.flatten(F.transform(F.array(take), lambda t: step(t, c)))
+
+    def turn(take: Column) -> Column:
+        for c in columns:
+            take = bound(take, c)
+        return take
+
+    done = one.select("x", F.aggregate(F.sequence(F.lit(1), F.lit(passes)), F.col("take"), lambda take, _: turn(take)).alias("take"))
+    rows = done.select(F.explode(F.arrays_zip("x", "take")).alias("r")).select("r.x.*", F.col("r.take").alias("_new"))
+    return rows.withColumn("_take", F.col("_new")).select(*names)
+
+
+def _scaled(take: Column, cap: Column, total: Column, held: Column, want: Column, full: Column) -> Column:
+    """A cell's next take: scaled down with its margin's total, or up with what its margin's open cells lack."""
+    more = F.when(full, take).otherwise(F.least(cap, take * (want - held) / F.nullif(total - held, F.lit(0.0))))
+    return F.coalesce(F.when(total < want, more).otherwise(take * want / F.nullif(total, F.lit(0.0))), take)
+
+
+def _rake_many(cells: DataFrame, columns: list[str], passes: int, near: float) -> DataFrame:
+    """Scales _take to the targets of one column after the other; every second pass is written, and judged by `near`."""
+    out = cells
+    for at in range(0, passes, BLOCK):
+        for _ in range(min(BLOCK, passes - at)):
+            out = out.withColumn("_gap", F.lit(0.0))
+            for column in columns:
+                w, want = Window.partitionBy(column), F.col(f"_t{column}")
+                full = F.col("_take") >= F.col("_cap") * (1 - 1e-12)
+                out = out.withColumns({"_sum": F.sum("_take").over(w), "_full": F.sum(F.when(full, F.col("_take")).otherwise(0.0)).over(w)})
+                take = _scaled(F.col("_take"), F.col("_cap"), F.col("_sum"), F.col("_full"), want, full)
+                out = out.withColumns({"_gap": F.greatest(F.col("_gap"), F.abs(F.col("_sum") - want)), "_take": take}).drop("_sum", "_full")
+        out = written(out, "raked")
+        if (out.agg(F.max("_gap")).first()[0] or 0.0) <= near:
+            break
+        out = out.drop("_gap")
+    return out.drop("_gap")
+
+
+def rake(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], keep: float, passes: int = PASSES, few: int = FEW) -> DataFrame:
+    """Adds _take, the tokens to sample of each cell, at most its weight, and its margins' targets (_t and the column).
 
     margins: for each column of cells, a DataFrame (column, _share). The sample is the part keep of all weight, as far as
     cells hold it whose three shares are above 0. A value that holds less than its share is taken whole, and the others of
     its margin share the rest by their shares. From keep times its weight on, a cell is scaled by what its margins lack, one
-    after the other; full cells stay full while their margin lacks tokens. This ends with `passes` passes, or when all
-    margins meet their targets.
+    after the other; full cells stay full while their margin lacks tokens. This ends with `passes` passes, or, with more
+    than `few` cells, when all margins meet their targets; up to `few` cells are scaled in one row, more by windows.
     """
     cap = F.col(weight).cast("double")
     out = cells
@@ -98,21 +159,8 @@ def rake(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], keep:
         margin = out.groupBy(column).agg(F.sum("_cap").alias("_supply")).join(share.select(column, "_share"), column).select(column, "_share", "_supply")
         out = out.join(_levels(margin, size).withColumnRenamed("_target", f"_t{column}"), column, "left")
     out = written(out.withColumn("_take", F.col("_cap") * F.lit(float(keep))).fillna(0.0, [f"_t{c}" for c in margins]), "raked")
-    for at in range(0, passes, BLOCK):
-        out = out.coalesce(1) if n <= FEW else out
-        for _ in range(min(BLOCK, passes - at)):
-            out = out.withColumn("_gap", F.lit(0.0))
-            for column in margins:
-                w, want = Window.partitionBy(column), F.col(f"_t{column}")
-                full = F.col("_take") >= F.col("_cap") * (1 - 1e-12)
-                out = out.withColumns({"_sum": F.sum("_take").over(w), "_full": F.sum(F.when(full, F.col("_take")).otherwise(0.0)).over(w)})
-                more = F.when(full, F.col("_take")).otherwise(F.least(F.col("_cap"), F.col("_take") * (want - F.col("_full")) / F.nullif(F.col("_sum") - F.col("_full"), F.lit(0.0))))
-                take = F.when(F.col("_sum") < want, more).otherwise(F.col("_take") * want / F.nullif(F.col("_sum"), F.lit(0.0)))
-                out = out.withColumns({"_gap": F.greatest(F.col("_gap"), F.abs(F.col("_sum") - want)), "_take": F.coalesce(take, F.col("_take"))}).drop("_sum", "_full")
-        out = written(out, "raked")
-        if (out.agg(F.max("_gap")).first()[0] or 0.0) <= NEAR * float(whole or 0):
-            break
-    return out.drop("_open", "_cap", *(f"_s{c}" for c in margins))
+    done = _rake_few(out, list(margins), passes) if n <= few else _rake_many(out, list(margins), passes, NEAR * float(whole or 0))
+    return done.drop("_open", "_cap", *(f"_s{c}" for c in margins))
 
 
 def fit(docs: DataFrame, *, source: str = "source", lang: str = "lang", text: str = "text", lang_share: Mapping[str, float] = LANG_SHARE, topic_share: Mapping[str, float] = TOPIC_SHARE, power: float = POWER, keep: float = KEEP, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
@@ -195,7 +243,7 @@ def mix_sql(docs: str = "documents", keep: float = KEEP, power: float = POWER, p
     for name in ("source", "lang", "topic"):
         parts.append(f"m_{name} AS (SELECT o.k, o.supply, s.s, o.supply / s.s AS r FROM (SELECT _{name} AS k, sum(cap) AS supply FROM opened GROUP BY _{name}) o JOIN s_{name} s ON s.k = o.k)")
         steps = f"SELECT r, ((SELECT size FROM size) - coalesce(sum(supply) OVER w, 0)) / (sum(s) OVER () - coalesce(sum(s) OVER w, 0)) AS l FROM m_{name} WHERE s > 0 AND supply > 0 WINDOW w AS (ORDER BY r, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-        parts.append(f"l_{name} AS (SELECT coalesce(arg_min(l, r) FILTER (l <= r), max(r), 0) AS level FROM ({steps}))")
+        parts.append(f"l_{name} AS (SELECT coalesce(max(l) FILTER (l <= r), max(r), 0) AS level FROM ({steps}))")
     target = lambda x: f"(SELECT k, least(supply, level * s) AS t FROM m_{x}, l_{x})"
     parts.append(f"w0 AS MATERIALIZED (SELECT o.*, cap * {keep!r} AS w, coalesce(a.t, 0) AS t_source, coalesce(b.t, 0) AS t_lang, coalesce(d.t, 0) AS t_topic FROM opened o LEFT JOIN {target('source')} a ON a.k = _source LEFT JOIN {target('lang')} b ON b.k = _lang LEFT JOIN {target('topic')} d ON d.k = _topic)")
     n = 0
