@@ -86,8 +86,8 @@ class Encoder:
         import regex
 
         self.pieces_of = regex.compile(self.PATTERN).findall
-        self.words = _Cache(self._word, CACHED_WORDS)
         self.pieces = _Cache(self._piece, CACHED_PIECES)
+        self.words = _Words(self, CACHED_WORDS)
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a piece in lower case, of ASCII and Latin-1 letters or marks."""
@@ -99,13 +99,9 @@ class Encoder:
         return b"".join([packed[t.id] for t in self.tokenize(text)])
 
     def _word(self, word: str) -> bytes:
-        # letters that lowering and composing treat alike everywhere, alone or before a mark; the most common words by far
-        if word.isascii():
-            if word.isalpha():
-                return self.pieces[word.lower()]
-            if word[-1] in ".," and word[:-1].isalpha():
-                return self.pieces[word[:-1].lower()] + self.pieces[word[-1]]
-        elif plain := PLAIN(word):
+        """The ids of any word."""
+        if plain := PLAIN(word):
+            # letters that lowering and composing treat alike everywhere, alone or before a mark
             return self.pieces[plain[1].lower()] + (self.pieces[plain[2]] if plain[2] else b"")
         if any(m in word for m in self.marks):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -137,6 +133,32 @@ class _Cache(dict):
         return out
 
 
+class _Words(dict):
+    """Words' ids. The most common words, ASCII letters with or without a mark behind, are worked out here, without calls."""
+
+    def __init__(self, encoder: Encoder, most: int):
+        super().__init__()
+        self.other, self.pieces, self.packed, self.tokenize, self.most = encoder._word, encoder.pieces, encoder.packed, encoder.tokenize, most
+
+    def __missing__(self, word: str) -> bytes:
+        stem = word if word.isalpha() else word[:-1] if word[-1] in ".," and word[:-1].isalpha() else ""
+        if not stem or not stem.isascii():
+            out = self.other(word)
+        else:
+            low = stem.lower()
+            out = self.pieces.get(low)
+            if out is None:
+                packed = self.packed
+                out = b"".join([packed[t.id] for t in self.tokenize(low)])
+                if len(self.pieces) < self.pieces.most and len(low) < 64:
+                    self.pieces[low] = out
+            if stem is not word:
+                out += self.pieces[word[-1]]
+        if len(self) < self.most and len(word) < 64:
+            self[word] = out
+        return out
+
+
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 SEPARATORS = re.compile("[\x1c-\x1f]").search
 #: Byte-level BPE's letter for each byte: itself if it is printable, else the next letter from 256 on.
