@@ -116,6 +116,17 @@ def test_mixing_gives_the_surplus_of_full_cells_to_others(spark):
     assert len(margins) == 6 and all(r["reached"] == pytest.approx(r["target"], rel=1e-3) for r in margins)
 
 
+def test_raking_in_one_row_equals_raking_by_windows(spark):
+    r = np.random.default_rng(6)
+    rows = [(f"s{a}", l, t, int(r.integers(0, 400))) for a in range(5) for l in ("en", "de", None) for t in ("x", "y")]
+    cells = spark.createDataFrame([(a, b or "(null)", c, n) for a, b, c, n in rows], "_source string, _lang string, _topic string, n bigint")
+    shares = {"_source": [(f"s{a}", 0.2) for a in range(5)], "_lang": [("en", 0.7), ("de", 0.2), ("(null)", 0.1)], "_topic": [("x", 0.9), ("y", 0.1)]}
+    margins = {k: spark.createDataFrame(v, f"{k} string, _share double") for k, v in shares.items()}
+    one, many = ({tuple(x[:3]): x["_take"] for x in mixing.rake(cells, "n", margins, 0.4, passes=12, few=few).select(*mixing.MARGINS, "_take").collect()} for few in (1000, 0))
+    assert one == pytest.approx(many, rel=1e-9) and sum(one.values()) == pytest.approx(0.4 * sum(n for *_, n in rows), rel=1e-3)
+    assert all(one[a, b or "(null)", c] <= n * (1 + 1e-12) for a, b, c, n in rows)
+
+
 def test_registers_of_texts(spark):
     texts = {"a | b | c d": "table", "stop ! it now": "shout", "$$$ win $$$": "symbols", "1 2 33 4 5": "numbers", "plain words, here.": "prose", "": "prose", "| ! a b": "table"}
     rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", mixing.topic_of(F.col("t"), mixing.tokens_of(F.col("t"))).alias("r")).collect()
@@ -156,6 +167,13 @@ def test_prefixing_conversations_are_dropped(spark):
     assert chat.render(chats(spark, [])).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "user", "b"), (None, 7, "user", "a"), (3, 0, "user", "a"), (4, 0, "user", "b"), (4, 1, "user", "c"), (None, None, None, None)]
+    out = sorted((r["conv_id"] or 0, r["n_turns"], r["rendered"]) for r in chat.render(chats(spark, rows)).collect())
+    # "a" stands twice without an id and once as conversation 3, of which one stays; "b" prefixes conversation 4
+    assert out == [(0, 1, "<|user|>\na\n"), (0, 1, "<||>\n\n"), (4, 2, "<|user|>\nb\n<|user|>\nc\n")]
+
+
 def test_long_conversations_come_in_parts(spark):
     rows = [(1, t, "user", str(t)) for t in range(700)] + [(2, t, "user", str(t)) for t in range(650)] + [(None, 0, "user", "x")]
     out = chat.render(chats(spark, rows)).orderBy("conv_id", "part").collect()
