@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import graphs as A
+from ..functions import hyperbolic as H
 from .evidence import draw
 from .space import knn, square_distance
 
@@ -259,3 +260,22 @@ def decayed_propagation(causal: DataFrame, sources: DataFrame, depth: int, coord
         new = reached.join(seen.select("node"), "node", "left_anti").join(total, "node").select("node", F.lit(i).alias("hop"), (F.col("_s") / F.greatest("_all", F.lit(1e-12))).alias("effect"))
         seen = seen.union(new)
     return seen
+
+
+def perturbation_vector(points: DataFrame, treated: str, vector: str = "x") -> DataFrame:
+    """MOD4: one row, delta: the mean tangent vector at the origin of treated points less that of the others.
+
+    points: Lorentz points of one length with a boolean column. Means are taken component by component, so no point leaves
+    its task as a whole.
+    """
+    o = F.transform(F.col(vector), lambda v, i: F.when(i == 0, 1.0).otherwise(0.0))
+    parts = points.select(F.col(treated).alias("t"), F.posexplode(H.log_map(F.col(vector), o)).alias("i", "v")).groupBy("i").agg((F.avg(F.when(F.col("t"), F.col("v"))) - F.avg(F.when(~F.col("t"), F.col("v")))).alias("d"))
+    return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda e: e["d"]).alias("delta"))
+
+
+def moved_points(points: DataFrame, delta: DataFrame, direction: float = -1.0, vector: str = "x", out: str = "moved") -> DataFrame:
+    """MOD4: each point moved along the vector, transported from the origin to it; direction -1 takes the effect away."""
+    x = F.col(vector)
+    o = F.transform(x, lambda v, i: F.when(i == 0, 1.0).otherwise(0.0))
+    rows = points.crossJoin(F.broadcast(delta))  # one row
+    return rows.withColumn(out, H.exp_map(H.transport(H.scaled(F.col("delta"), F.lit(float(direction))), o, x), x)).drop("delta")

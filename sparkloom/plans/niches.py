@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import hyperbolic as H
 from ..operators import niches as N
 from ..operators import space as P
 from ._register import query
@@ -162,3 +163,20 @@ def count_losses(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), x.alias("x"), (25.0 + F.col("l_discount") * 10).alias("m"), (2.0 + F.col("l_tax") * 10).alias("t"), (F.col("l_discount") * 20 - 1).alias("pi"))
     v = [F.col(c) for c in ("x", "m", "t", "pi")]
     return rows.groupBy("g").agg(F.round(-F.avg(L.nb_log_likelihood(*v[:3])), 6).alias("nb_loss"), F.round(-F.avg(L.zinb_log_likelihood(*v)), 6).alias("zinb_loss"))
+
+
+LIST = "list_transform(list_zip({0}, {1}), lambda p: {2})"
+SHIFTED = f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT id, v, list_dot_product(v, v) AS q, sqrt(1 + list_dot_product(v, v)) AS t FROM v),
+g AS (SELECT id, unnest(range(1, len(v) + 1)) AS i, unnest(list_transform(v, lambda y: y * acosh(t) / sqrt(q))) AS y FROM t), d AS (SELECT list(d ORDER BY i) AS d FROM (SELECT i, avg(y) FILTER (id % 3 = 0) - avg(y) FILTER (id % 3 <> 0) AS d FROM g GROUP BY i)),
+m AS (SELECT id, v, t, list_transform(d, lambda y: -y) AS d, sqrt(list_dot_product(d, d)) AS n FROM t, d), c AS (SELECT *, list_dot_product(v, d) / (t + 1) AS c FROM m),
+s AS (SELECT id, n, {LIST.format('v', 'd', 'cosh(n) * p[1] + sinh(n) / n * (p[2] + c * p[1])')} AS s FROM c)"""
+
+
+@query("latent_arithmetic", f"{SHIFTED} SELECT id, round(sqrt(1 + list_dot_product(s, s)), 6) AS x0, round(s[1], 6) + 0.0 AS x1, round(s[len(s)], 6) + 0.0 AS x_last, round(n, 5) AS length FROM s")
+def latent_arithmetic(spark, d):
+    """MOD4: all vectors moved against the mean difference of every third one from the rest."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), H.lift(F.transform("embedding", lambda x: x.cast("double"))).alias("x"))
+    delta = N.perturbation_vector(e.withColumn("t", F.col("id") % 3 == 0), "t")
+    out = N.moved_points(e, delta)
+    y = F.col("moved")
+    return out.select("id", F.round(y[0], 6).alias("x0"), (F.round(y[1], 6) + 0.0).alias("x1"), (F.round(F.element_at(y, -1), 6) + 0.0).alias("x_last"), F.round(H.distance(F.col("x"), y), 5).alias("length"))
