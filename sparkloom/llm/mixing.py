@@ -155,8 +155,10 @@ def rake(cells: DataFrame, weight: str, margins: Mapping[str, DataFrame], keep:
     out = written(out.withColumn("_open", open_ & (cap > 0)).withColumn("_cap", F.when(F.col("_open"), cap).otherwise(0.0)), "cells")
     n, whole, supply = out.agg(F.count(F.lit(1)), F.sum(weight), F.sum("_cap")).first()
     size = F.lit(min(float(keep) * float(whole or 0), supply or 0.0))
+    held = out
     for column, share in margins.items():
-        margin = out.groupBy(column).agg(F.sum("_cap").alias("_supply")).join(share.select(column, "_share"), column).select(column, "_share", "_supply")
+        supply_of = held.groupBy(column).agg(F.sum("_cap").alias("_supply"))
+        margin = written(supply_of.join(share.select(column, "_share"), column).select(column, "_share", "_supply"), "margin")
         out = out.join(_levels(margin, size).withColumnRenamed("_target", f"_t{column}"), column, "left")
     out = written(out.withColumn("_take", F.col("_cap") * F.lit(float(keep))).fillna(0.0, [f"_t{c}" for c in margins]), "raked")
     done = _rake_few(out, list(margins), passes) if n <= few else _rake_many(out, list(margins), passes, NEAR * float(whole or 0))
@@ -170,6 +172,7 @@ def fit(docs: DataFrame, *, source: str = "source", lang: str = "lang", text: st
     cells = written(marked.groupBy(*MARGINS).agg(F.sum("_tokens").alias("_cell_tokens")), "cells")
     sources = cells.groupBy("_source").agg(F.sum("_cell_tokens").cast("double").alias("_n")).withColumn("_share", F.when(F.col("_n") > 0, F.pow(F.col("_n"), F.lit(float(power)))).otherwise(0.0))
     margins = {"_source": _norm(sources, "_source"), "_lang": _stated(cells, _targets(spark, lang_share, "_lang"), "_lang"), "_topic": _stated(cells, _targets(spark, topic_share, "_topic"), "_topic")}
+    margins = {c: written(share.select(c, "_share"), "share") for c, share in margins.items()}  # each is read several times
     return marked, rake(cells, "_cell_tokens", margins, keep, passes)
 
 
