@@ -262,20 +262,35 @@ def decayed_propagation(causal: DataFrame, sources: DataFrame, depth: int, coord
     return seen
 
 
+def _once(value: Column, f) -> Column:
+    """f(value) with the value worked out once, not wherever f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def perturbation_vector(points: DataFrame, treated: str, vector: str = "x") -> DataFrame:
     """MOD4: one row, delta: the mean tangent vector at the origin of treated points less that of the others.
 
-    points: Lorentz points of one length with a boolean column. Means are taken component by component, so no point leaves
-    its task as a whole.
+    points: Lorentz points of one length with a boolean column. The logarithm at the origin of (t, v) is v times
+    acosh(t) / sqrt(t ** 2 - 1); means are taken component by component, so no point leaves its task as a whole.
     """
-    o = F.transform(F.col(vector), lambda v, i: F.when(i == 0, 1.0).otherwise(0.0))
-    parts = points.select(F.col(treated).alias("t"), F.posexplode(H.log_map(F.col(vector), o)).alias("i", "v")).groupBy("i").agg((F.avg(F.when(F.col("t"), F.col("v"))) - F.avg(F.when(~F.col("t"), F.col("v")))).alias("d"))
-    return parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda e: e["d"]).alias("delta"))
+    t = F.greatest(F.col(vector)[0], F.lit(1 + H.EPS))
+    scale = F.acosh(t) / F.sqrt(t * t - 1)
+    parts = points.select(F.col(treated).alias("t"), scale.alias("s"), F.posexplode(vector).alias("i", "v")).withColumn("v", F.when(F.col("i") > 0, F.col("v") * F.col("s")).otherwise(0.0))
+    means = parts.groupBy("i").agg((F.avg(F.when(F.col("t"), F.col("v"))) - F.avg(F.when(~F.col("t"), F.col("v")))).alias("d"))
+    return means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda e: e["d"]).alias("delta"))
 
 
 def moved_points(points: DataFrame, delta: DataFrame, direction: float = -1.0, vector: str = "x", out: str = "moved") -> DataFrame:
-    """MOD4: each point moved along the vector, transported from the origin to it; direction -1 takes the effect away."""
-    x = F.col(vector)
-    o = F.transform(x, lambda v, i: F.when(i == 0, 1.0).otherwise(0.0))
-    rows = points.crossJoin(F.broadcast(delta))  # one row
-    return rows.withColumn(out, H.exp_map(H.transport(H.scaled(F.col("delta"), F.lit(float(direction))), o, x), x)).drop("delta")
+    """MOD4: each point moved along the vector, transported from the origin to it; direction -1 takes the effect away.
+
+    Transport adds (o + x) <x, d> / (1 + x0) to d and keeps its length n; the exponential is cosh(n) x + sinh(n) / n times
+    that, whose first coordinate is set anew.
+    """
+    d, x = F.col("_d"), F.col(vector)
+    step = delta.select(F.transform("delta", lambda v: v * direction).alias("_d"))
+    step = step.withColumn("_n", F.least(F.sqrt(F.greatest(H.dot(d, d), F.lit(H.EPS))), F.lit(H.MAX_TANGENT)))
+    rows = points.crossJoin(F.broadcast(step))  # one row
+    a, b = F.cosh("_n"), F.sinh("_n") / F.col("_n")
+    # o is 1 in the first coordinate, which is set anew below, and 0 in all others
+    moved = _once(H.dot(x, d) / (1 + x[0]), lambda c: F.transform(x, lambda v, i: a * v + b * (d[i] + c * v)))
+    return rows.withColumn(out, _once(moved, H.project)).drop("_d", "_n")
