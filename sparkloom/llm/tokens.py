@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -28,8 +29,8 @@ END_ID = 1
 ROLL = 512 << 20
 READ_RECORDS = 2048
 OUT_BYTES = 4 << 20
-CACHED_WORDS = 1_200_000
-CACHED_PIECES = 800_000
+CACHED_WORDS = 700_000
+CACHED_PIECES = 400_000
 MASK = 0xA282EAD8
 NO_ID, WIDE = 1, 2
 MANIFEST = "shard bigint, file string, bytes bigint, records bigint, tokens bigint"
@@ -166,14 +167,16 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder, with its caches, for each file and Python worker.
+
+    The package goes to the workers by value, so a name of this module is a new one in each task; what a worker keeps has
+    to hang on a module that is there anyway.
+    """
+    kept = sys.__dict__.setdefault("_sparkloom_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _path(name: str) -> str:
