@@ -29,8 +29,8 @@ END_ID = 1
 ROLL = 512 << 20
 READ_RECORDS = 2048
 OUT_BYTES = 4 << 20
-CACHED_WORDS = 700_000
-CACHED_PIECES = 400_000
+CACHED_WORDS = 500_000
+CACHED_PIECES = 300_000
 MASK = 0xA282EAD8
 NO_ID, WIDE = 1, 2
 MANIFEST = "shard bigint, file string, bytes bigint, records bigint, tokens bigint"
