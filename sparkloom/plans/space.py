@@ -13,8 +13,8 @@ from .expression import rounded
 KNN = f"SELECT section, id, neighbor, d2, rank FROM (SELECT a.section, a.id, b.id AS neighbor, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) AS rank FROM ({POINTS}) a JOIN ({POINTS}) b ON a.section = b.section AND a.id <> b.id) WHERE rank <= {{}}"
 
 
-def neighbors(spark, d, k, width=150.0):
-    return P.knn(points(spark, d), k, width=width)
+def neighbors(spark, d, k, asking=None):
+    return P.knn(points(spark, d), k, asking=asking)
 
 
 @query("spatial_knn", KNN.format(6))
@@ -59,7 +59,7 @@ m AS (SELECT section, neighbor FROM b GROUP BY ALL HAVING count(DISTINCT perturb
 SELECT section, perturbation, id AS source, neighbor, rank, CASE WHEN rank <= 5 THEN 'proximal' WHEN rank <= 15 THEN 'local' WHEN rank <= 30 THEN 'transition' ELSE 'distal' END AS band FROM b WHERE (section, neighbor) NOT IN (SELECT (section, neighbor) FROM m)""")
 def neighbor_bands(spark, d):
     c = points(spark, d).select("section", "id", (F.col("id") % 10 == 0).alias("positive"), (F.col("id") % 3).alias("perturbation"))
-    return P.perturbation_neighbors(c, neighbors(spark, d, 40, 300.0))
+    return P.perturbation_neighbors(c, neighbors(spark, d, 40, F.col("id") % 10 == 0))
 
 
 @query("correlation_network", f"WITH e AS ({EXPR}), n AS (SELECT count(DISTINCT cell_id)::DOUBLE AS n FROM e), s AS (SELECT gene, sum(value) AS s, sum(value * value) AS q FROM e GROUP BY gene), x AS (SELECT a.gene AS a, b.gene AS b, sum(a.value * b.value) AS xy FROM e a JOIN e b USING (cell_id) WHERE a.gene < b.gene GROUP BY ALL), r AS (SELECT x.a, x.b, (xy - sa.s * sb.s / n) / sqrt((sa.q - sa.s ** 2 / n) * (sb.q - sb.s ** 2 / n)) AS r FROM x JOIN s sa ON sa.gene = x.a JOIN s sb ON sb.gene = x.b, n) SELECT a, b, round(r, 6) AS r FROM r WHERE r > -0.035")
