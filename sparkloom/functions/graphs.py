@@ -8,6 +8,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections import deque
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -294,32 +295,137 @@ def sem_of_products(products: np.ndarray, l1: float = 0.01, acyclic: float = 1.0
     return a
 
 
+#: Points of a triangulation; their edges take about 1 kB a point.
+MAX_CORNERS = 1_000_000
+
+
 def delaunay(xy: np.ndarray) -> list[tuple[int, int, int]]:
-    """GRA2: the triangles of a Delaunay triangulation, by inserting point after point (Bowyer and Watson).
+    """GRA2: the triangles of a Delaunay triangulation, by halving the points and merging (Guibas and Stolfi).
 
-    Equal points after the first take no part; points on a line have no triangle. Where four points lie on a circle,
-    either diagonal may be taken.
+    Equal points after the first take no part, nor points with a coordinate that is no finite number; points on a line have
+    no triangle. Where four points lie on a circle, either diagonal may be taken. Signs that doubles leave open are worked
+    out in whole fractions.
     """
-    _check(len(xy))
-    p = np.asarray(xy, float)
-    if len(p) < 3:
+    if len(xy) > MAX_CORNERS:
+        raise ValueError(f"a group of {len(xy)} points; at most {MAX_CORNERS} are taken")
+    p = np.asarray(xy, float).reshape(-1, 2)
+    ok = np.flatnonzero(np.isfinite(p).all(axis=1))
+    order = ok[np.lexsort((ok, p[ok, 1], p[ok, 0]))]
+    q = p[order]
+    order = order[np.concatenate([[True], (q[1:] != q[:-1]).any(axis=1)])] if len(q) else order
+    if len(order) < 3:
         return []
-    centre, size = (p.min(axis=0) + p.max(axis=0)) / 2, max(float(np.ptp(p, axis=0).max()), 1e-9)
-    q = np.vstack([p - centre, size * 1e4 * np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]])])
-    n, seen = len(p), set()
-    triangles = np.array([[n, n + 1, n + 2]])
-    for i in range(n):
-        if tuple(p[i]) in seen:
-            continue
-        seen.add(tuple(p[i]))
-        a, b, c = (q[triangles[:, k]] - q[i] for k in range(3))
-        size2 = [(v * v).sum(axis=1) for v in (a, b, c)]
-        inside = size2[0] * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0]) - size2[1] * (a[:, 0] * c[:, 1] - a[:, 1] * c[:, 0]) + size2[2] * (a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) > 0
-        sides = np.concatenate([triangles[inside][:, [k, (k + 1) % 3]] for k in range(3)])
-        held = {tuple(s) for s in sides.tolist()}
-        rim = [s for s in sides.tolist() if (s[1], s[0]) not in held]
-        triangles = np.concatenate([triangles[~inside], np.array([[s, t, i] for s, t in rim]).reshape(-1, 3)])
-    return sorted(tuple(sorted(t)) for t in triangles.tolist() if max(t) < n)
+    xs, ys = p[order, 0].tolist(), p[order, 1].tolist()
+    org: list[int] = []  # edge e runs from org[e] to org[e ^ 1]
+    after: list[int] = []  # the next edge around its origin, and the one before
+    before: list[int] = []
+
+    def side(a: int, b: int, c: int) -> float:
+        """Above 0 where a, b, c turn left, below where they turn right."""
+        left, right = (xs[a] - xs[c]) * (ys[b] - ys[c]), (ys[a] - ys[c]) * (xs[b] - xs[c])
+        det, most = left - right, abs(left) + abs(right)
+        if abs(det) > 4e-16 * most or most == 0:
+            return det
+        ax, ay, bx, by, cx, cy = map(Fraction, (xs[a], ys[a], xs[b], ys[b], xs[c], ys[c]))
+        exact = (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+        return (exact > 0) - (exact < 0)
+
+    def inside(a: int, b: int, c: int, d: int) -> bool:
+        """Whether d is within the circle through a, b, c, which turn right."""
+        dx, dy = xs[d], ys[d]
+        ax, ay, bx, by, cx, cy = xs[a] - dx, ys[a] - dy, xs[b] - dx, ys[b] - dy, xs[c] - dx, ys[c] - dy
+        a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        bc, cb, ca, ac, ab, ba = bx * cy, cx * by, cx * ay, ax * cy, ax * by, bx * ay
+        det = a2 * (bc - cb) + b2 * (ca - ac) + c2 * (ab - ba)
+        if abs(det) > 1.2e-15 * (a2 * (abs(bc) + abs(cb)) + b2 * (abs(ca) + abs(ac)) + c2 * (abs(ab) + abs(ba))):
+            return det < 0
+        fx, fy = Fraction(dx), Fraction(dy)
+        u, v, w = ((Fraction(xs[i]) - fx, Fraction(ys[i]) - fy) for i in (a, b, c))
+        m = lambda r, s: r[0] * s[1] - s[0] * r[1]
+        n = lambda r: r[0] * r[0] + r[1] * r[1]
+        return n(u) * m(v, w) + n(v) * m(w, u) + n(w) * m(u, v) < 0
+
+    def edge(a: int, b: int) -> int:
+        e = len(org)
+        org.extend((a, b))
+        after.extend((e, e + 1))
+        before.extend((e, e + 1))
+        return e
+
+    def splice(a: int, b: int) -> None:
+        if a != b:
+            before[after[a]], before[after[b]] = b, a
+            after[a], after[b] = after[b], after[a]
+
+    def connect(a: int, b: int) -> int:
+        e = edge(org[a ^ 1], org[b])
+        splice(e, before[a ^ 1])
+        splice(e ^ 1, b)
+        return e
+
+    def drop(e: int) -> None:
+        splice(e, before[e])
+        splice(e ^ 1, before[e ^ 1])
+        org[e] = org[e ^ 1] = -1
+
+    def halves(s: int, t: int) -> tuple[int, int]:
+        """Triangulates the points from s up to t; the outer edges at the first and at the last point."""
+        if t - s == 2:
+            a = edge(s, s + 1)
+            return a, a ^ 1
+        if t - s == 3:
+            a, b = edge(s, s + 1), edge(s + 1, s + 2)
+            splice(a ^ 1, b)
+            turn = side(s, s + 1, s + 2)
+            if turn < 0:
+                c = connect(b, a)
+                return c ^ 1, c
+            if turn > 0:
+                connect(b, a)
+            return a, b ^ 1
+        m = (s + t + 1) // 2
+        (ldo, ldi), (rdi, rdo) = halves(s, m), halves(m, t)
+        while True:  # the lower common tangent
+            if side(org[ldi], org[ldi ^ 1], org[rdi]) > 0:
+                ldi = after[ldi ^ 1]
+            elif side(org[rdi], org[rdi ^ 1], org[ldi]) < 0:
+                rdi = before[rdi ^ 1]
+            else:
+                break
+        base = connect(ldi ^ 1, rdi)
+        if org[ldi] == org[ldo]:
+            ldo = base
+        if org[rdi] == org[rdo]:
+            rdo = base ^ 1
+        while True:
+            r, n = after[base ^ 1], before[base]
+            b, c = org[base], org[base ^ 1]
+            on_r, on_n = side(b, c, org[r ^ 1]) > 0, side(b, c, org[n ^ 1]) > 0
+            if not (on_r or on_n):
+                return ldo, rdo
+            if on_r:
+                while side(b, c, org[after[r] ^ 1]) > 0 and inside(c, b, org[r ^ 1], org[after[r] ^ 1]):
+                    e = after[r]
+                    drop(r)
+                    r = e
+            if on_n:
+                while side(b, c, org[before[n] ^ 1]) > 0 and inside(c, b, org[n ^ 1], org[before[n] ^ 1]):
+                    e = before[n]
+                    drop(n)
+                    n = e
+            if not on_r or (on_n and inside(org[r ^ 1], org[r], org[n], org[n ^ 1])):
+                base = connect(n, base ^ 1)
+            else:
+                base = connect(base ^ 1, r ^ 1)
+
+    halves(0, len(order))
+    names, found = order.tolist(), set()
+    for e, a in enumerate(org):
+        if a >= 0:
+            b, c = org[e ^ 1], org[after[e] ^ 1]
+            if a < b and a < c and b != c and side(a, b, c) < 0:  # each triangle at its first corner
+                found.add(tuple(sorted((names[a], names[b], names[c]))))
+    return sorted(found)
 
 
 def ward(points: np.ndarray, weights: np.ndarray, n_groups: list[int]) -> dict[int, np.ndarray]:
