@@ -41,7 +41,8 @@ def disk(spark, d):
 
 @query("disk_neighbors", f"WITH d AS ({DISK}), e AS (SELECT section, a, b, row_number() OVER (PARTITION BY section, a ORDER BY g, b) AS rk FROM (SELECT a.section, a.id AS a, b.id AS b, (a.hx - b.hx) ** 2 + (a.hy - b.hy) ** 2 AS g FROM d a JOIN d b ON a.section = b.section AND a.id <> b.id)), c AS (SELECT section, a, b FROM e WHERE rk <= 23 UNION ALL SELECT section, id, id FROM d), h AS (SELECT c.section, c.a AS id, c.b AS neighbor, round(acosh(greatest(1 + 2 * ((p.hx - q.hx) ** 2 + (p.hy - q.hy) ** 2) / greatest((1 - (p.hx ** 2 + p.hy ** 2)) * (1 - (q.hx ** 2 + q.hy ** 2)), 1e-12), 1 + 1e-7)), 9) AS distance FROM c JOIN d p ON p.id = c.a AND p.section = c.section JOIN d q ON q.id = c.b AND q.section = c.section) SELECT section, id, neighbor, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY section, id ORDER BY distance, neighbor) AS rank FROM h) WHERE rank <= 6")
 def disk_neighbors(spark, d):
-    return rounded(N.disk_knn(disk(spark, d), 6, width=0.2))
+    # as SQL rounds a double, of which each thousandth is halfway after its nine digits
+    return N.disk_knn(disk(spark, d), 6).withColumn("distance", F.round(F.col("distance") * 1e6) / 1e6)
 
 
 COLO = "SELECT o_orderpriority AS \"table\", o_custkey AS unit, l_returnflag || l_linestatus AS type, l_quantity AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
