@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hyperbolic as H
 from ..operators import space as P
+from ..sources.shared import written
 from ._register import query
 from .bindings import EXPR, POINTS, expr, points, table
 from .expression import rounded
@@ -17,6 +18,10 @@ def neighbors(spark, d, k, asking=None):
     return P.knn(points(spark, d), k, asking=asking)
 
 
+def graph(spark, d):
+    return P.knn_graph(P.lists(points(spark, d), 6, own=True))
+
+
 @query("spatial_knn", KNN.format(6))
 def spatial_knn(spark, d):
     return neighbors(spark, d, 6)
@@ -28,13 +33,14 @@ GRAPH = f"SELECT section, least(id, neighbor) AS a, greatest(id, neighbor) AS b,
 @query("knn_graph_summary", f"SELECT section, n_nodes, count(a)::BIGINT AS n_edges, round(2 * count(a) / n_nodes::DOUBLE, 6) AS mean_degree, (SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT section AS s, a AS v FROM ({GRAPH}) UNION ALL SELECT section, b FROM ({GRAPH})) WHERE s = g.section GROUP BY v))::BIGINT AS max_degree FROM ({GRAPH}) g JOIN (SELECT c_nationkey AS section, count(*)::BIGINT AS n_nodes FROM customer GROUP BY ALL) USING (section) GROUP BY section, n_nodes")
 def knn_graph_summary(spark, d):
     n = points(spark, d).groupBy("section").agg(F.count(F.lit(1)).alias("n_nodes"))
-    return rounded(P.graph_summary(P.knn_graph(neighbors(spark, d, 6)), n))
+    return rounded(P.graph_summary(graph(spark, d), n))
 
 
 @query("decayed_adjacency", f"WITH g AS ({GRAPH}), m AS (SELECT section, quantile_cont(distance, 0.5) AS m FROM g GROUP BY section), w AS (SELECT section, exp(-distance / m) AS w FROM g JOIN m USING (section)) SELECT section, count(*)::BIGINT AS n, round(sum(w / x), 4) AS total FROM w JOIN (SELECT section, max(w) AS x FROM w GROUP BY section) USING (section) GROUP BY section")
 def decayed_adjacency(spark, d):
-    w = P.decayed(P.knn_graph(neighbors(spark, d, 6)))
-    return w.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("total"))
+    """Edges of equal distance have equal weights, so they are one row with their number."""
+    g = written(graph(spark, d).groupBy("section", "distance").agg(F.count(F.lit(1)).alias("n")), "distances")
+    return P.decayed(g, F.col("n")).groupBy("section").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("weight") * F.col("n")), 4).alias("total"))
 
 
 @query("spatial_contact", f"WITH c AS (SELECT a.c_mktsegment AS source, b.c_mktsegment AS target, count(*)::BIGINT AS n FROM ({KNN.format(6)}) k JOIN customer a ON k.id = a.c_custkey JOIN customer b ON k.neighbor = b.c_custkey GROUP BY a.c_mktsegment, b.c_mktsegment) SELECT source, target, n, round(n / (sum(n) OVER (PARTITION BY source))::DOUBLE, 6) AS fraction FROM c")
