@@ -50,7 +50,7 @@ def spatial_contact(spark, d):
 
 @query("morans_i", f"WITH k AS ({KNN.format(6)}), p AS ({POINTS}), z AS (SELECT id, section, value - avg(value) OVER (PARTITION BY section) AS z, count(*) OVER (PARTITION BY section) AS n FROM p), zz AS (SELECT section, n::BIGINT AS n, sum(z * z) AS zz FROM z GROUP BY ALL), g AS (SELECT id, count(*) AS deg FROM k GROUP BY id), c AS (SELECT k.section, sum(a.z * b.z / deg) AS c, sum(1.0 / deg) AS s0 FROM k JOIN g USING (id) JOIN z a ON a.id = k.id JOIN z b ON b.id = k.neighbor GROUP BY ALL) SELECT section, n, round(n * c / (s0 * zz), 6) AS morans_i FROM zz JOIN c USING (section)")
 def morans_i(spark, d):
-    return rounded(P.morans_i(neighbors(spark, d, 6), points(spark, d)))
+    return rounded(P.morans_i(points(spark, d), 6))
 
 
 @query("local_composition", f"WITH w AS (SELECT k.id, c_mktsegment AS label, sum(exp(-d2 / (2 * 100.0 * 100.0))) AS w FROM ({KNN.format(6)}) k JOIN customer ON c_custkey = neighbor WHERE d2 < 40000 GROUP BY ALL) SELECT id, label, round(w / sum(w) OVER (PARTITION BY id), 5) AS share FROM w")
