@@ -45,7 +45,7 @@ def decayed_adjacency(spark, d):
 
 @query("spatial_contact", f"WITH c AS (SELECT a.c_mktsegment AS source, b.c_mktsegment AS target, count(*)::BIGINT AS n FROM ({KNN.format(6)}) k JOIN customer a ON k.id = a.c_custkey JOIN customer b ON k.neighbor = b.c_custkey GROUP BY a.c_mktsegment, b.c_mktsegment) SELECT source, target, n, round(n / (sum(n) OVER (PARTITION BY source))::DOUBLE, 6) AS fraction FROM c")
 def spatial_contact(spark, d):
-    return rounded(P.contact_matrix(neighbors(spark, d, 6), points(spark, d)))
+    return rounded(P.contact_matrix(P.lists(points(spark, d), 6, carry=["cell_type"])))
 
 
 @query("morans_i", f"WITH k AS ({KNN.format(6)}), p AS ({POINTS}), z AS (SELECT id, section, value - avg(value) OVER (PARTITION BY section) AS z, count(*) OVER (PARTITION BY section) AS n FROM p), zz AS (SELECT section, n::BIGINT AS n, sum(z * z) AS zz FROM z GROUP BY ALL), g AS (SELECT id, count(*) AS deg FROM k GROUP BY id), c AS (SELECT k.section, sum(a.z * b.z / deg) AS c, sum(1.0 / deg) AS s0 FROM k JOIN g USING (id) JOIN z a ON a.id = k.id JOIN z b ON b.id = k.neighbor GROUP BY ALL) SELECT section, n, round(n * c / (s0 * zz), 6) AS morans_i FROM zz JOIN c USING (section)")
