@@ -55,7 +55,7 @@ def morans_i(spark, d):
 
 @query("local_composition", f"WITH w AS (SELECT k.id, c_mktsegment AS label, sum(exp(-d2 / (2 * 100.0 * 100.0))) AS w FROM ({KNN.format(6)}) k JOIN customer ON c_custkey = neighbor WHERE d2 < 40000 GROUP BY ALL) SELECT id, label, round(w / sum(w) OVER (PARTITION BY id), 5) AS share FROM w")
 def local_composition(spark, d):
-    return rounded(P.local_composition(neighbors(spark, d, 6).filter("d2 < 40000"), points(spark, d), F.lit(100.0)), 5)
+    return rounded(P.local_composition(P.lists(points(spark, d), 6, carry=["cell_type"]), F.lit(100.0), within=F.lit(40000)), 5)
 
 
 @query("neighbor_bands", f"""WITH k AS ({KNN.format(40)}), c AS (SELECT c_custkey AS id, c_custkey % 10 = 0 AS positive, c_custkey % 3 AS perturbation FROM customer),
