@@ -406,6 +406,18 @@ def test_repeated_bytes_equal_brute_force(spark):
     assert suffixes.suffix_dedup(docs.limit(0)).count() == 0
 
 
+def test_texts_that_end_with_zeros(spark):
+    """Bytes of 0 at the end of a shard, which once made the sort of its suffixes endless."""
+    r = np.random.default_rng(2)
+    for zeros in range(20):
+        data = r.integers(0, 2, 9).astype(np.uint8).tobytes() + b"\0" * zeros
+        assert [data[i:] for i in suffixes.suffix_array(np.frombuffer(data, np.uint8))] == sorted(data[i:] for i in range(len(data)))
+    texts = ["a" * 500 + "\0" * 3, "a" * 500 + "\0" * 3, "\0" * 900, "x" + "\0" * 450, "\0" * 399]
+    out = suffixes.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(tuple(x) for x in out) == [(0, 503, 503, 1, sha("")), (1, 503, 503, 1, sha("")), (2, 900, 900, 1, sha("")), (3, 451, 450, 1, sha("x")), (4, 399, 0, 0, sha(texts[4]))]
+
+
 def test_repeated_words_equal_brute_force(spark):
     docs = documents(spark)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
